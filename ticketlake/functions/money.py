@@ -10,9 +10,9 @@ QUANTITY = "decimal(10,3)"
 
 def cents_from(amount: Column) -> Column:
     """Signed "euros[,.]cents" text to cents; the sign comes from the text so "-0,50" is negative."""
-    euros = F.coalesce(F.try_to_number(F.nullif(F.regexp_extract(amount, "\\A-?(\\d+)", 1), F.lit("")), F.lit("9" * 15)), F.lit(0))
-    cents = F.coalesce(F.try_to_number(F.nullif(F.regexp_extract(amount, "\\A[^,.]*[,.](\\d+)", 1), F.lit("")), F.lit("9" * 15)), F.lit(0))
-    value = euros.cast("bigint") * 100 + cents.cast("bigint")
+    euros = F.regexp_extract(amount, "\\A-?(\\d+)", 1).try_cast("bigint")
+    cents = F.regexp_extract(amount, "\\A[^,.]*[,.](\\d+)", 1).try_cast("bigint")
+    value = F.coalesce(euros, F.lit(0)) * 100 + F.coalesce(cents, F.lit(0))
     return F.when(amount.isNotNull(), F.when(amount.startswith("-"), -value).otherwise(value))
 
 
