@@ -67,9 +67,8 @@ def recent_rows(t):
     SELECT receipt_id, rank, (SELECT count(*) FROM receipts_v) AS total_count FROM ranked WHERE rank BETWEEN 41 AND 60""")
 def third_page(t):
     rows = page_of(t.receipts, ops.index_order("total", "desc"), page=3)
-    total = t.receipts.agg(F.count("*").alias("total_count"))
-    # One counter row beside one page of rows.
-    return rows.select("receipt_id", F.col("rank").cast("bigint").alias("rank")).join(F.broadcast(total))
+    total = t.receipts.agg(F.count("*")).scalar()
+    return rows.select("receipt_id", F.col("rank").cast("bigint").alias("rank"), total.alias("total_count"))
 
 
 @query("stores_ordered", "SELECT store_id, brand_name, row_number() OVER (ORDER BY brand_name, location_name, channel, store_id) AS rank FROM store_names_v")

@@ -15,6 +15,11 @@ def cents(x: str) -> str:
     return f"CAST(CAST({x} AS DECIMAL(18,2)) * 100 AS BIGINT)"
 
 
+def _extent(wanted: str, ordered: str) -> str:
+    return f"""coalesce(list_max(flatten(list_transform(range(1, len({ordered}) + 1), lambda i: list_transform(range(i, len({ordered}) + 1),
+        lambda j: len(list_intersect({wanted}, {ordered}[i:j]))::DOUBLE / len(list_distinct(list_concat({wanted}, {ordered}[i:j]))))))), 0)"""
+
+
 VIEWS = {
     "retail_brands_v": "SELECT n_nationkey AS retail_brand_id, n_name AS name, [n_name] AS aliases FROM nation",
     "stores_v": """SELECT s_suppkey AS store_id, s_nationkey AS retail_brand_id, s_name AS location_name,
@@ -84,4 +89,36 @@ VIEWS = {
         WITH RECURSIVE walk AS (SELECT category_id, name, 1 AS depth, [category_id] AS path, name AS crumb FROM categories_v WHERE parent_id IS NULL
         UNION ALL SELECT c.category_id, c.name, w.depth + 1, list_append(w.path, c.category_id), w.crumb || ' > ' || c.name
         FROM categories_v c JOIN walk w ON c.parent_id = w.category_id) SELECT * FROM walk)""",
+    "texts_v": """SELECT x, o, list_distinct(o) AS s FROM (SELECT x, flatten(list_transform(string_split(x, ' '),
+        lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i, 3)))) AS o FROM (
+        SELECT p_name AS x FROM part UNION SELECT replace(replace(p_name, 'e', 'a'), 'll', 'l') FROM part
+        UNION SELECT lower(p_type) FROM part UNION SELECT regexp_replace(lower(p_brand), '[^a-z0-9]+', ' ', 'g') FROM part))""",
+    "scores_v": f"""SELECT a.x AS query, b.x AS name,
+        len(list_intersect(a.s, b.s))::DOUBLE / len(list_distinct(list_concat(a.s, b.s))) AS similarity,
+        {_extent('a.s', 'b.o')} AS forward, {_extent('b.s', 'a.o')} AS backward, greatest(similarity, forward, backward) AS score
+        FROM texts_v a, texts_v b""",
+    "attribute_hits_v": """SELECT query, 'product_brand' AS record_type, record_id, b.name, 'normalized_name' AS matched_attribute, 0 AS place, score
+        FROM scores_v s JOIN product_brands_v b ON s.name = b.normalized_name WHERE score >= 0.18
+        UNION ALL SELECT query, 'product', record_id, p.name, 'normalized_name', 0, score FROM scores_v s JOIN products_v p ON s.name = p.normalized_name WHERE score >= 0.18
+        UNION ALL SELECT query, 'product_variant', CAST(record_id AS VARCHAR), v.name, 'normalized_name', 0, score FROM scores_v s JOIN variants_v v ON s.name = v.normalized_name WHERE score >= 0.18
+        UNION ALL SELECT query, 'product_variant', CAST(record_id AS VARCHAR), v.name, 'product_name', 1, score FROM scores_v s JOIN variants_v v ON s.name = v.product_normalized_name WHERE score >= 0.18
+        UNION ALL SELECT query, 'product_variant', CAST(record_id AS VARCHAR), v.name, 'product_brand_name', 2, score FROM scores_v s JOIN variants_v v ON s.name = v.brand_normalized_name WHERE score >= 0.18""",
+    "hits_v": """SELECT query, record_type, record_id, name, arg_max(matched_attribute, (score, -place)) AS matched_attribute, round(max(score) * 100, 2) AS score
+        FROM attribute_hits_v WHERE query IN (SELECT p_name FROM part) GROUP BY ALL""",
+    "ranked_hits_v": """SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, record_type, name,
+        CASE WHEN record_type = 'product_variant' THEN '' ELSE record_id END, CASE WHEN record_type = 'product_variant' THEN CAST(record_id AS BIGINT) END) AS rank FROM hits_v""",
+    "expanded_v": """SELECT h.*, v.record_id AS variant_id, v.name AS variant_name FROM ranked_hits_v h JOIN variants_v v
+        ON (h.record_type = 'product_variant' AND h.record_id = CAST(v.record_id AS VARCHAR)) WHERE rank <= 20
+        UNION ALL SELECT h.*, v.record_id, v.name FROM ranked_hits_v h JOIN variants_v v ON h.record_type = 'product' AND h.record_id = v.product_id WHERE rank <= 20
+        UNION ALL SELECT h.*, v.record_id, v.name FROM ranked_hits_v h JOIN variants_v v ON h.record_type = 'product_brand' AND h.record_id = v.product_brand_id WHERE rank <= 20""",
+    "prior_v": """SELECT normalized_label_snapshot AS normalized_label, variant_id, max(decided_at) AS decided_at
+        FROM matches_v WHERE status = 'confirmed' GROUP BY ALL""",
+    "candidates_v": """SELECT normalized_label, variant_id, 'prior_confirmed_label' AS reason, CAST(1 AS DECIMAL(5,4)) AS confidence,
+        0 AS source, 0 AS hit, -epoch_us(decided_at) AS recency, '' AS variant_name FROM prior_v
+        UNION ALL SELECT query, variant_id, 'catalogue_search', CAST(least(greatest(CAST(score AS DECIMAL(9,4)) / 100, 0), 1) AS DECIMAL(5,4)),
+        1, rank, 0, variant_name FROM expanded_v""",
+    "suggestions_v": """SELECT line_id, variant_id, reason, confidence, rank FROM (SELECT *, row_number() OVER (PARTITION BY line_id ORDER BY source, hit, recency, variant_name, variant_id) AS rank FROM (
+        SELECT e.line_id, c.* FROM eligible_v e JOIN candidates_v c USING (normalized_label)
+        LEFT JOIN matches_v m ON m.line_id = e.line_id AND m.variant_id = c.variant_id AND m.status = 'rejected' WHERE m.line_id IS NULL
+        QUALIFY row_number() OVER (PARTITION BY e.line_id, c.variant_id ORDER BY source, hit, recency, variant_name) = 1)) WHERE rank <= 5""",
 }
