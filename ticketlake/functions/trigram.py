@@ -28,6 +28,11 @@ def _overlap(left: Column, right: Column) -> Column:
     return F.try_divide(shared.cast("double"), F.size(F.array_union(left, right)).cast("double"))
 
 
+def _let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and use it several times inside ``body``."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def set_similarity(left: Column, right: Column) -> Column:
     return F.coalesce(_overlap(left, right), F.lit(0.0))
 
@@ -37,17 +42,26 @@ def extent_similarity(wanted: Column, ordered: Column) -> Column:
 
     A best extent starts and ends on a wanted trigram, so only those positions are tried.
     """
-    hits = F.filter(F.sequence(F.lit(1), F.size(ordered)), lambda i: F.array_contains(wanted, F.element_at(ordered, i)))
-    scores = F.flatten(
-        F.transform(
-            hits,
-            lambda i: F.transform(
-                F.filter(hits, lambda j: j >= i),
-                lambda j: _overlap(wanted, F.slice(ordered, i, j - i + 1)),
-            ),
+
+    def best(pair: Column, hits: Column) -> Column:
+        return F.array_max(
+            F.flatten(
+                F.transform(
+                    hits,
+                    lambda i: F.transform(
+                        F.filter(hits, lambda j: j >= i),
+                        lambda j: _overlap(pair["wanted"], F.slice(pair["ordered"], i, j - i + 1)),
+                    ),
+                )
+            )
         )
-    )
-    return F.when(F.size(ordered) > 0, F.coalesce(F.array_max(scores), F.lit(0.0))).otherwise(F.lit(0.0))
+
+    def positions(pair: Column) -> Column:
+        places = F.when(F.size(pair["ordered"]) > 0, F.sequence(F.lit(1), F.size(pair["ordered"])))
+        return F.filter(places, lambda i: F.array_contains(pair["wanted"], F.element_at(pair["ordered"], i)))
+
+    pair = F.struct(wanted.alias("wanted"), ordered.alias("ordered"))
+    return F.coalesce(_let(pair, lambda p: _let(positions(p), lambda hits: best(p, hits))), F.lit(0.0))
 
 
 def trigram_similarity(left: Column, right: Column) -> Column:
@@ -58,13 +72,18 @@ def word_similarity(left: Column, right: Column) -> Column:
     return extent_similarity(trigram_set(left), ordered_trigrams(right))
 
 
-def best_score(left_ordered: Column, right_ordered: Column) -> Column:
-    """Greatest of the symmetric score and the extent score in both directions."""
-    left, right = F.array_distinct(left_ordered), F.array_distinct(right_ordered)
-    return F.greatest(
-        set_similarity(left, right),
-        extent_similarity(left, right_ordered),
-        extent_similarity(right, left_ordered),
+def best_score(left: Column, right: Column) -> Column:
+    """Greatest of the symmetric score and the extent score in both directions, from ordered trigrams."""
+    texts = F.struct(
+        left.alias("lo"), right.alias("ro"), F.array_distinct(left).alias("ls"), F.array_distinct(right).alias("rs")
+    )
+    return _let(
+        texts,
+        lambda t: F.greatest(
+            set_similarity(t["ls"], t["rs"]),
+            extent_similarity(t["ls"], t["ro"]),
+            extent_similarity(t["rs"], t["lo"]),
+        ),
     )
 
 

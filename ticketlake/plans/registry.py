@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ticketlake.plans.inputs import Inputs
-from ticketlake.plans.views import VIEWS
+from ticketlake.plans.views import MATERIALIZED, VIEWS
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 STATEMENTS: dict[str, str] = {}
@@ -29,7 +29,7 @@ def with_views(sql: str) -> str:
     visit(sql)
     if not needed:
         return sql
-    views = ", ".join(f"{name} AS ({VIEWS[name]})" for name in needed)
+    views = ", ".join(f"{name} AS {'MATERIALIZED ' if name in MATERIALIZED else ''}({VIEWS[name]})" for name in needed)
     body = sql.strip()
     recursive = "RECURSIVE " if body.upper().startswith("WITH RECURSIVE") else ""
     if body.upper().startswith("WITH "):

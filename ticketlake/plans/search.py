@@ -67,13 +67,15 @@ def fuzzy_label_join(t):
 def best_attribute_score(t):
     texts = names(t).unionByName(t.products.selectExpr("normalized_name as name")).unionByName(t.product_brands.selectExpr("normalized_name as name"))
     scored = ops.fuzzy_label_join(labels(t), "query", texts.distinct(), "name")
-    hits = None
-    for rank, (column, attribute) in enumerate(
-        [("normalized_name", "normalized_name"), ("product_normalized_name", "product_name"), ("brand_normalized_name", "product_brand_name")]
-    ):
-        part = t.variants.select(F.col("record_id").cast("string").alias("record_id"), F.col(column).alias("name")).join(scored, "name")
-        part = part.select("query", "record_id", F.lit(attribute).alias("matched_attribute"), F.lit(rank).alias("_attribute_rank"), "score")
-        hits = part if hits is None else hits.unionByName(part)
+    attributes = F.array(
+        *[
+            F.struct(F.col(column).alias("name"), F.lit(attribute).alias("matched_attribute"), F.lit(rank).alias("_attribute_rank"))
+            for rank, (column, attribute) in enumerate(
+                [("normalized_name", "normalized_name"), ("product_normalized_name", "product_name"), ("brand_normalized_name", "product_brand_name")]
+            )
+        ]
+    )
+    hits = t.variants.select(F.col("record_id").cast("string").alias("record_id"), F.inline(attributes)).join(scored, "name")
     return ops.best_attribute_score(hits, ["query", "record_id"]).withColumn("score", trigram.search_score(F.col("score")))
 
 

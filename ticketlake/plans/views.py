@@ -16,10 +16,15 @@ def cents(x: str) -> str:
 
 
 def _extent(wanted: str, ordered: str) -> str:
-    return f"""coalesce(list_max(flatten(list_transform(range(1, len({ordered}) + 1), lambda i: list_transform(range(i, len({ordered}) + 1),
+    """Best overlap of a trigram set with an extent; extents start and end on a wanted trigram."""
+    hits = f"list_filter(range(1, len({ordered}) + 1), lambda k: list_contains({wanted}, {ordered}[k]))"
+    return f"""coalesce(list_max(flatten(list_transform({hits}, lambda i: list_transform(list_filter({hits}, lambda m: m >= i),
         lambda j: len(list_intersect({wanted}, {ordered}[i:j]))::DOUBLE / len(list_distinct(list_concat({wanted}, {ordered}[i:j]))))))), 0)"""
 
 
+# Views that several parts of one statement read and that are costly to repeat.
+MATERIALIZED = {"scores_v", "ranked_hits_v", "candidates_v", "lines_v", "eligible_v", "tree_v"}
+
 VIEWS = {
     "retail_brands_v": "SELECT n_nationkey AS retail_brand_id, n_name AS name, [n_name] AS aliases FROM nation",
     "stores_v": """SELECT s_suppkey AS store_id, s_nationkey AS retail_brand_id, s_name AS location_name,
@@ -105,8 +110,7 @@ VIEWS = {
         UNION ALL SELECT query, 'product_variant', CAST(record_id AS VARCHAR), v.name, 'product_brand_name', 2, score FROM scores_v s JOIN variants_v v ON s.name = v.brand_normalized_name WHERE score >= 0.18""",
     "hits_v": """SELECT query, record_type, record_id, name, arg_max(matched_attribute, (score, -place)) AS matched_attribute, round(max(score) * 100, 2) AS score
         FROM attribute_hits_v WHERE query IN (SELECT p_name FROM part) GROUP BY ALL""",
-    "ranked_hits_v": """SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, record_type, name,
-        CASE WHEN record_type = 'product_variant' THEN '' ELSE record_id END, CASE WHEN record_type = 'product_variant' THEN CAST(record_id AS BIGINT) END) AS rank FROM hits_v""",
+    "ranked_hits_v": """SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, record_type, name, record_id) AS rank FROM hits_v""",
     "expanded_v": """SELECT h.*, v.record_id AS variant_id, v.name AS variant_name FROM ranked_hits_v h JOIN variants_v v
         ON (h.record_type = 'product_variant' AND h.record_id = CAST(v.record_id AS VARCHAR)) WHERE rank <= 20
         UNION ALL SELECT h.*, v.record_id, v.name FROM ranked_hits_v h JOIN variants_v v ON h.record_type = 'product' AND h.record_id = v.product_id WHERE rank <= 20
@@ -120,5 +124,5 @@ VIEWS = {
     "suggestions_v": """SELECT line_id, variant_id, reason, confidence, rank FROM (SELECT *, row_number() OVER (PARTITION BY line_id ORDER BY source, hit, recency, variant_name, variant_id) AS rank FROM (
         SELECT e.line_id, c.* FROM eligible_v e JOIN candidates_v c USING (normalized_label)
         LEFT JOIN matches_v m ON m.line_id = e.line_id AND m.variant_id = c.variant_id AND m.status = 'rejected' WHERE m.line_id IS NULL
-        QUALIFY row_number() OVER (PARTITION BY e.line_id, c.variant_id ORDER BY source, hit, recency, variant_name) = 1)) WHERE rank <= 5""",
+        QUALIFY row_number() OVER (PARTITION BY e.line_id, c.variant_id ORDER BY c.source, c.hit, c.recency, c.variant_name) = 1)) WHERE rank <= 5""",
 }
