@@ -8,18 +8,30 @@ from pyspark.sql import functions as F
 from ticketlake.functions import folding
 
 
+def _spell_out(text: Column, table: dict[str, str]) -> Column:
+    """Multi-letter spellings: Latin letters by plain replacement, rare symbols by lookup.
+
+    Both branches are guarded, so text without such characters passes through unchanged.
+    """
+    latin = {c: r for c, r in table.items() if c in folding.LATIN_EXPANSIONS}
+    rare = {c: r for c, r in table.items() if c not in latin}
+    spelled = text
+    for char, letters in latin.items():
+        spelled = F.replace(spelled, F.lit(char), F.lit(letters))
+    if latin:
+        spelled = F.when(text.rlike("[" + "".join(latin) + "]"), spelled).otherwise(text)
+    if not rare:
+        return spelled
+    lookup = F.create_map(*[F.lit(x) for pair in rare.items() for x in pair])
+    looked_up = F.array_join(F.transform(F.split(spelled, ""), lambda c: F.coalesce(F.element_at(lookup, c), c)), "")
+    return F.when(text.rlike("[" + "".join(rare) + "]"), looked_up).otherwise(spelled)
+
+
 def _fold(text: Column, table: dict[str, str]) -> Column:
-    """Replace characters by table; multi-letter results only where such a character occurs."""
+    """Replace characters by table, single letters in one pass."""
     single = {c: r for c, r in table.items() if len(r) == 1}
     multiple = {c: r for c, r in table.items() if len(r) > 1}
-    lowered = F.translate(text, "".join(single), "".join(single.values()))
-    if not multiple:
-        return lowered
-    spelled = F.create_map(*[F.lit(x) for pair in multiple.items() for x in pair])
-    expanded = F.array_join(
-        F.transform(F.split(lowered, ""), lambda c: F.coalesce(F.element_at(spelled, c), c)), ""
-    )
-    return F.when(lowered.rlike("[" + "".join(multiple) + "]"), expanded).otherwise(lowered)
+    return _spell_out(F.translate(text, "".join(single), "".join(single.values())), multiple)
 
 
 def _separate(text: Column) -> Column:
