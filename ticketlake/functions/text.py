@@ -31,7 +31,9 @@ def _fold(text: Column, table: dict[str, str]) -> Column:
     """Replace characters by table, single letters in one pass."""
     single = {c: r for c, r in table.items() if len(r) == 1}
     multiple = {c: r for c, r in table.items() if len(r) > 1}
-    return _spell_out(F.translate(text, "".join(single), "".join(single.values())), multiple)
+    translated = F.translate(text, "".join(single), "".join(single.values()))
+    # Bound once: the guarded branches mention it several times.
+    return F.get(F.transform(F.array(translated), lambda t: _spell_out(t, multiple)), 0)
 
 
 def _separate(text: Column) -> Column:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ticketlake.functions import money, text
 from ticketlake.functions.fixed_values import TERMINAL_STATUSES
 from ticketlake.operators.ordering import latest_by, ordered, upsert
+from ticketlake.session import durable
 
 MATCH_COLUMNS = [
     "match_id",
@@ -32,18 +33,16 @@ def _decide(requests: DataFrame, matches: DataFrame, status: str, priority: Colu
 
     ``priority`` ranks existing match rows (null: not reusable); the lowest wins, then the id.
     """
-    wanted = requests.select("line_id", F.col("variant_id").alias("_wanted"), "label", "decided_at")
+    key = F.coalesce(F.col("variant_id").cast("string"), F.lit(""))
+    wanted = requests.select("line_id", F.col("variant_id").alias("_wanted"), "label", "decided_at", key.alias("_key"))
     usable = (
-        matches.join(wanted.select("line_id", "_wanted"), "line_id")
+        matches.join(wanted.select("line_id", "_wanted", "_key"), "line_id")
         .withColumn("_priority", priority)
         .where(F.col("_priority").isNotNull())
-        .groupBy("line_id", "_wanted")
+        .groupBy("line_id", "_key")
         .agg(F.min_by("match_id", F.struct("_priority", "match_id")).alias("match_id"))
     )
-    same = (wanted["line_id"] == usable["line_id"]) & wanted["_wanted"].eqNullSafe(usable["_wanted"])
-    chosen = wanted.join(usable, same, "left").select(
-        wanted["line_id"], wanted["_wanted"].alias("variant_id"), wanted["label"], wanted["decided_at"], usable["match_id"]
-    )
+    chosen = wanted.join(usable, ["line_id", "_key"], "left").withColumnRenamed("_wanted", "variant_id")
     rewritten = chosen.select(
         F.coalesce("match_id", F.sha2(F.concat_ws("|", F.lit(status), "line_id", F.coalesce(F.col("variant_id").cast("string"), F.lit(""))), 256)).alias("match_id"),
         "line_id",
@@ -111,8 +110,9 @@ def persist_suggestions(suggestions: DataFrame, matches: DataFrame, lines: DataF
         .groupBy("line_id", "variant_id")
         .agg(F.min_by(F.struct("match_id", "decided_at"), "match_id").alias("_old"))
     )
+    # Read twice by the upsert.
     incoming = (
-        suggestions.select("line_id", "variant_id", "confidence")
+        durable(suggestions.select("line_id", "variant_id", "confidence"))
         .join(lines.select("line_id", "label"), "line_id")
         .join(stored, ["line_id", "variant_id"], "left")
     )
