@@ -98,11 +98,13 @@ def explode_lines(documents: DataFrame) -> DataFrame:
 
 def first_matches(lines: DataFrame, patterns: dict[str, str]) -> DataFrame:
     """Per document the first line matching each named pattern: one aggregation for all patterns."""
-    aggregates = []
-    for name, pattern in patterns.items():
-        hit = F.col("line").rlike(pattern)
-        aggregates.append(F.min_by(F.when(hit, F.col("line")), F.when(hit, F.col("line_no"))).alias(f"first_{name}"))
-    return lines.groupBy("document_id").agg(*aggregates)
+    hits = {f"_hit_{name}": F.col("line").rlike(pattern) for name, pattern in patterns.items()}
+    matching = lines.withColumns(hits).where(reduce(Column.__or__, [F.col(h) for h in hits]))
+    firsts = [
+        F.min_by(F.when(F.col(f"_hit_{name}"), F.col("line")), F.when(F.col(f"_hit_{name}"), F.col("line_no"))).alias(f"first_{name}")
+        for name in patterns
+    ]
+    return matching.groupBy("document_id").agg(*firsts)
 
 
 def extract_header(documents: DataFrame, lines: DataFrame, spec: FormatSpec) -> DataFrame:
@@ -292,6 +294,15 @@ def promotion_rows(df: DataFrame, *promotions: Column) -> DataFrame:
     return df.select("document_id", F.inline(F.filter(F.array(*promotions), lambda p: p.isNotNull())))
 
 
+def by_document(documents: DataFrame) -> DataFrame:
+    """Hash-partition by document into the configured number of tasks.
+
+    The number is explicit because parsing is bound by CPU, not bytes: adaptive coalescing
+    by size would leave too few tasks.
+    """
+    return documents.repartition(int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")), "document_id")
+
+
 class ParsedReceipts:
     """Receipts and children parsed from documents (document_id, text) of one format.
 
@@ -302,7 +313,7 @@ class ParsedReceipts:
 
     def __init__(self, documents: DataFrame, spec: FormatSpec):
         self.spec = spec
-        self.placed = documents.select("document_id", "text").repartition("document_id")
+        self.placed = by_document(documents.select("document_id", "text"))
 
     @cached_property
     def text_lines(self) -> DataFrame:
@@ -312,6 +323,10 @@ class ParsedReceipts:
     def _rows(self) -> DataFrame:
         return vat_code_lookup(converted_rows(self.spec.body(self.text_lines)), self.text_lines, self.spec)
 
+    @cached_property
+    def header(self) -> DataFrame:
+        return extract_header(self.placed, self.text_lines, self.spec)
+
     @cached_property
     def judged(self) -> DataFrame:
         """Header values, VAT warnings and the reason a document fails, if it does."""
@@ -325,15 +340,17 @@ class ParsedReceipts:
             F.when(F.col("bad_date"), F.lit("unreadable purchase date")),
             F.when(F.col("total_cents").isNull(), F.lit("no receipt total")),
         )
-        header = extract_header(self.placed, self.text_lines, self.spec)
-        return header.join(per_body, "document_id", "left").withColumn("failure", reason).drop("body_failure", "bad_date")
+        return self.header.join(per_body, "document_id", "left").withColumn("failure", reason).drop("body_failure", "bad_date")
 
     def _of_sound(self, children: DataFrame) -> DataFrame:
         return children.join(self.judged.where("failure is null").select("document_id"), "document_id", "left_semi")
 
     @cached_property
     def lines(self) -> DataFrame:
-        emitted = self._of_sound(self._rows.where("emitted")).select("document_id", "line_index", *LINE_COLUMNS)
+        """Lines of sound documents. The body is evaluated once: its failures spread by window."""
+        readable = self.header.where("not bad_date and total_cents is not null").select("document_id")
+        rows = self._rows.withColumn("_failure", F.max("failure").over(whole())).where("_failure is null and emitted")
+        emitted = rows.join(readable, "document_id", "left_semi").select("document_id", "line_index", *LINE_COLUMNS)
         merged = coalesce_repeated_in_place(emitted, "document_id", "line_index")
         return assign_line_positions(merged).select("document_id", "position", *LINE_COLUMNS)
 

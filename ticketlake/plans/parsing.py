@@ -17,7 +17,7 @@ MONTH_SQL = "[" + ", ".join(f"'{m}'" for m in FULL_MONTHS) + "]"
 
 
 def lines_of(t):
-    return ops.explode_lines(t.table("documents").select(F.col("doc_id").alias("document_id"), "text").repartition("document_id"))
+    return ops.explode_lines(ops.by_document(t.table("documents").select(F.col("doc_id").alias("document_id"), "text")))
 
 
 DOC_LINES = """SELECT document_id, row_number() OVER (PARTITION BY document_id ORDER BY place) AS line_no, line FROM (
@@ -54,8 +54,8 @@ def carry_section_label(t):
     return t.table("conversations").select("conv_id", "turn", F.nullif(formats._carried(mark, order), F.lit("")).alias("section"))
 
 
-@query("pending_label", """SELECT conv_id, turn, CASE WHEN lag(role) OVER w = 'user' THEN lag(length(text)) OVER w END AS pending FROM (
-    SELECT * FROM conversations WHERE length(text) % 3 > 0) QUALIFY role = 'assistant' WINDOW w AS (PARTITION BY conv_id ORDER BY turn)""")
+@query("pending_label", """SELECT conv_id, turn, pending FROM (SELECT conv_id, turn, role, CASE WHEN lag(role) OVER w = 'user' THEN lag(length(text)) OVER w END AS pending FROM (
+    SELECT * FROM conversations WHERE length(text) % 3 > 0) WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) WHERE role = 'assistant'""")
 def pending_label(t):
     kept = F.length("text") % 3 > 0
     before = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
@@ -67,7 +67,7 @@ def pending_label(t):
 @query("first_match_per_document", f"""WITH l AS ({DOC_LINES}) SELECT d.doc_id AS document_id,
     (SELECT arg_min(line, line_no) FROM l WHERE l.document_id = d.doc_id AND regexp_matches(line, '[0-9]{{4}}')) AS first_number,
     (SELECT arg_min(line, line_no) FROM l WHERE l.document_id = d.doc_id AND regexp_matches(line, '^[A-E]')) AS first_letter
-    FROM documents d WHERE d.doc_id IN (SELECT document_id FROM l)""")
+    FROM documents d WHERE d.doc_id IN (SELECT document_id FROM l WHERE regexp_matches(line, '[0-9]{{4}}') OR regexp_matches(line, '^[A-E]'))""")
 def first_match_per_document(t):
     return ops.first_matches(lines_of(t), {"number": "[0-9]{4}", "letter": "\\A[A-E]"})
 
@@ -92,8 +92,8 @@ def money(x, comma=False):
 # Per order: n items; item 2 (if any) is bought twice; totals follow. Case by key % 10:
 # 3 prints a total off by 2 cents, 4 repeats item 1, 5 has a bare quantity line, 6 an unknown
 # VAT code, 7 no total line, 8 an unknown month.
-ROUND_V = """SELECT k, c, at, n, i, CASE WHEN i = 2 THEN 2 WHEN i = 1 AND k % 10 = 4 THEN 2 ELSE 1 END AS q,
-    50 + (cents + 37 * i) % 950 AS u FROM (SELECT o_orderkey AS k, o_custkey AS c, o_orderdate AS at, CAST(CAST(o_totalprice AS DECIMAL(18,2)) * 100 AS BIGINT) AS cents, 1 + o_orderkey % 4 AS n,
+ROUND_V = """SELECT k, c, d, n, i, CASE WHEN i = 2 THEN 2 WHEN i = 1 AND k % 10 = 4 THEN 2 ELSE 1 END AS q,
+    50 + (cents + 37 * i) % 950 AS u FROM (SELECT o_orderkey AS k, o_custkey AS c, o_orderdate AS d, CAST(CAST(o_totalprice AS DECIMAL(18,2)) * 100 AS BIGINT) AS cents, 1 + o_orderkey % 4 AS n,
     unnest(range(1, 2 + CAST(o_orderkey % 4 AS BIGINT))) AS i FROM orders)"""
 
 LEC_ITEM = "concat('ARTICLE ', chr(64 + i + 1), ' ', c % 97"
@@ -180,11 +180,10 @@ def link_promotion_to_line(t):
     return parsed(t, leclerc_v1_texts(t), "leclerc.paper.v1", "promotions").where("linking_method = 'parser_inferred'").select("document_id", F.col("linked_line_position").cast("bigint").alias("linked"))
 
 
-@query("extract_header", f"""SELECT k AS document_id, CASE WHEN k % 10 <> 8 THEN at END AS purchased_at, '001-' || lpad(CAST(c % 10000 AS VARCHAR), 4, '0') AS register_number, 'T' || k AS ticket_number,
-    CASE WHEN k % 10 <> 7 THEN CAST(sum(q * u) + CASE WHEN k % 10 = 3 THEN 2 ELSE 0 END AS BIGINT) END AS total_cents, CASE WHEN k % 10 <> 7 THEN CAST(sum(q) AS INTEGER) END AS declared_article_count FROM ({ROUND_V}) GROUP BY k, c, at""")
+@query("extract_header", f"""SELECT k AS document_id, CASE WHEN k % 10 <> 8 THEN d END AS purchased_at, '001-' || lpad(CAST(c % 10000 AS VARCHAR), 4, '0') AS register_number, 'T' || k AS ticket_number,
+    CASE WHEN k % 10 <> 7 THEN CAST(sum(q * u) + CASE WHEN k % 10 = 3 THEN 2 ELSE 0 END AS BIGINT) END AS total_cents, CASE WHEN k % 10 <> 7 THEN CAST(sum(q) AS INTEGER) END AS declared_article_count FROM ({ROUND_V}) GROUP BY k, c, d""")
 def extract_header(t):
-    texts = leclerc_v1_texts(t).select("document_id", "text").repartition("document_id")
-    header = ops.extract_header(texts, ops.explode_lines(texts), formats.LECLERC_PAPER_V1)
+    header = parsed(t, leclerc_v1_texts(t), "leclerc.paper.v1", "header")
     return header.select("document_id", "purchased_at", "register_number", "ticket_number", "total_cents", "declared_article_count")
 
 
