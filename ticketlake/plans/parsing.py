@@ -238,7 +238,7 @@ WEB_GOOD = "k % 10 NOT IN (7, 8)"
 
 @query("parse_leclerc_web_v1", f"""SELECT k AS document_id, i AS position, {ARTICLE} AS label, CAST(q AS DECIMAL(10,3)) AS quantity, CASE WHEN q > 1 AND i = 1 THEN u END AS unit_price_cents, q * u AS total_cents,
     CAST(NULL AS INTEGER) AS vat_rate_bp, CAST(NULL AS VARCHAR) AS section_label, 'item' AS kind, false AS tr_eligible, 'piece' AS unit_of_measure FROM ({ROUND_V}) WHERE {WEB_GOOD}
-    UNION ALL SELECT k, n + 1, 'FRAIS DE LIVRAISON ' || k % 7, 1, NULL, 300, 550, NULL, 'fee', false, 'piece' FROM ({ROUND_V}) WHERE i = 1 AND {WEB_GOOD}""")
+    UNION ALL SELECT k, n + 1, 'FRAIS DE LIVRAISON ' || k % 7, CAST(1 AS DECIMAL(10,3)), NULL, 300, 550, NULL, 'fee', false, 'piece' FROM ({ROUND_V}) WHERE i = 1 AND {WEB_GOOD}""")
 def parse_leclerc_web_v1(t):
     texts = rendered(
         t, "concat('Caisse Drive 7-79 - ', day(at), ' ', month_name, ' ', year(at))",
@@ -267,8 +267,8 @@ AUCHAN_Q = "CASE WHEN i = 2 THEN 2 ELSE 1 END"
 
 @query("parse_auchan_paper_v1", f"""SELECT k AS document_id, i AS position, {ARTICLE} AS label, CAST({AUCHAN_Q} AS DECIMAL(10,3)) AS quantity, CASE WHEN i = 2 THEN u END AS unit_price_cents, {AUCHAN_Q} * u AS total_cents,
     CAST(NULL AS INTEGER) AS vat_rate_bp, CASE WHEN k % 2 = 0 THEN 'Selfscan' END AS section_label, 'item' AS kind, i % 2 = 1 AS tr_eligible, 'piece' AS unit_of_measure FROM ({ROUND_V}) WHERE {AUCHAN_GOOD}
-    UNION ALL SELECT k, n + 1, 'REMISE TEST', 2, 100, 200, NULL, 'Articles avec Remise', 'item', false, 'piece' FROM ({ROUND_V}) WHERE i = 1 AND {AUCHAN_GOOD}
-    UNION ALL SELECT k, n + 2, 'LOT', 1, NULL, -25, NULL, 'Articles avec Remise', 'discount', false, 'piece' FROM ({ROUND_V}) WHERE i = 1 AND {AUCHAN_GOOD}""")
+    UNION ALL SELECT k, n + 1, 'REMISE TEST', CAST(2 AS DECIMAL(10,3)), 100, 200, NULL, 'Articles avec Remise', 'item', false, 'piece' FROM ({ROUND_V}) WHERE i = 1 AND {AUCHAN_GOOD}
+    UNION ALL SELECT k, n + 2, 'LOT', CAST(1 AS DECIMAL(10,3)), NULL, -25, NULL, 'Articles avec Remise', 'discount', false, 'piece' FROM ({ROUND_V}) WHERE i = 1 AND {AUCHAN_GOOD}""")
 def parse_auchan_paper_v1(t):
     return lines_shown(parsed(t, auchan_texts(t), "auchan.paper.v1", "lines"))
 
@@ -309,7 +309,7 @@ def u_lines(extra="", tr="false", section="'RAYON'"):
         {section} AS section_label, 'item' AS kind, {tr} AS tr_eligible, 'piece' AS unit_of_measure FROM ({ROUND_V}) WHERE {U_GOOD} {extra}"""
 
 
-@query("parse_u_paper_v1", u_lines(f"UNION ALL SELECT k, n + 1, 'COURGETTE', 2.056, 129, 265, 550, 'RAYON', 'item', false, 'kg' FROM ({ROUND_V}) WHERE i = 1 AND {U_GOOD}").format(price="CASE WHEN i = 2 THEN u END"))
+@query("parse_u_paper_v1", u_lines(f"UNION ALL SELECT k, n + 1, 'COURGETTE', CAST(2.056 AS DECIMAL(10,3)), 129, 265, 550, 'RAYON', 'item', false, 'kg' FROM ({ROUND_V}) WHERE i = 1 AND {U_GOOD}").format(price="CASE WHEN i = 2 THEN u END"))
 def parse_u_paper_v1(t):
     return lines_shown(parsed(t, u_v1_texts(t), "u.paper.v1", "lines"))
 
