@@ -99,7 +99,7 @@ def processing_state(t):
     unnest([regexp_matches(text, '[0-9]{3}'), regexp_matches(text, lang), regexp_matches(text, '(?i)licen[cs]e')]) AS hit FROM documents) GROUP BY 1""")
 def extraction_accuracy(t):
     docs = t.table("documents").select(F.col("doc_id").alias("document_id"), "lang", "text", F.lit("raw").alias("variant"))
-    expectations = docs.selectExpr("document_id", "inline(array(struct(1 as position, 'digits' as label, '[0-9]{3}' as pattern), struct(2, 'lang', lang), struct(3, 'licence', '(?i)licen[cs]e')))")
+    expectations = docs.selectExpr("document_id", "inline(array(struct(1 as position, 'digits' as label, '[0-9]{3}' as pattern), struct(2 as position, 'lang' as label, lang as pattern), struct(3 as position, 'licence' as label, '(?i)licen[cs]e' as pattern)))")
     return ops.extraction_accuracy(docs, expectations).drop("variant")
 
 
