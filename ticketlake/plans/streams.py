@@ -33,7 +33,7 @@ def stream_classify_parse(t):
 
     arriving = texts(Arriving).selectExpr("*", "if(document_id % 7 = 0, 'leclerc.web.v1', null) as hint_format", "cast(if(document_id % 11 = 0, 5, null) as bigint) as hint_store")
     defaults = t.stores.selectExpr("store_id", "'none' as default_parser_format")
-    jobs.run_available(arriving, jobs.classify_and_parse_job(folder, hints(t), defaults), folder)
+    jobs.run_available(arriving, jobs.classify_and_parse_job(folder, hints(t), defaults, parts=("lines",)), folder)
     return t.spark.read.parquet(f"{folder}/detections").select("document_id", "parser_format", "store_id", "status")
 
 

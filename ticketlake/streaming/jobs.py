@@ -71,7 +71,7 @@ def register_job(path: str) -> Job:
     return job
 
 
-def classify_and_parse_job(path: str, hints: DataFrame, default_formats: DataFrame) -> Job:
+def classify_and_parse_job(path: str, hints: DataFrame, default_formats: DataFrame, parts: tuple[str, ...] = ("receipts", "lines", "promotions", "payments")) -> Job:
     """Classify successful extractions; parse the classified ones; the rest wait for a manual decision."""
 
     def job(batch: DataFrame, batch_id: int) -> None:
@@ -79,8 +79,10 @@ def classify_and_parse_job(path: str, hints: DataFrame, default_formats: DataFra
         write_batch(found, f"{path}/detections", batch_id)
         stored = batch.sparkSession.read.parquet(f"{path}/detections/batch_id={batch_id}").where("status = 'classified'")
         ready = batch.join(stored.select("document_id", "parser_format", "store_id"), "document_id")
-        for part in ("receipts", "lines"):
-            write_batch(parse_corpus(ready.select("document_id", "parser_format", "text"), part), f"{path}/{part}", batch_id)
+        # At most one name per known format reaches the driver.
+        present = sorted(r[0] for r in stored.select("parser_format").distinct().collect())
+        for part in parts if present else ():
+            write_batch(parse_corpus(ready.select("document_id", "parser_format", "text"), part, present), f"{path}/{part}", batch_id)
 
     return job
 
