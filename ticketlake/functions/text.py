@@ -24,7 +24,8 @@ def _spell_out(text: Column, table: dict[str, str]) -> Column:
         return spelled
     lookup = F.create_map(*[F.lit(x) for pair in rare.items() for x in pair])
     looked_up = F.array_join(F.transform(F.split(spelled, ""), lambda c: F.coalesce(F.element_at(lookup, c), c)), "")
-    return F.when(text.rlike("[" + "".join(rare) + "]"), looked_up).otherwise(spelled)
+    # Two ranges that cover every rare symbol: a class of hundreds of letters is slow to test.
+    return F.when(text.rlike("[\\u00BC-\\u00BE\\u0100-\\x{10FFFF}]"), looked_up).otherwise(spelled)
 
 
 def _fold(text: Column, table: dict[str, str]) -> Column:
