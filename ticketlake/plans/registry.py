@@ -42,7 +42,8 @@ def query(name: str, sql: str | None = None):
     def register(build: Callable[[Inputs], DataFrame]):
         QUERIES[name] = lambda spark, sf_dir: build(Inputs(spark, sf_dir))
         if sql is not None:
-            STATEMENTS[name] = with_views(sql)
+            # A statement taken over from another query has its views already.
+            STATEMENTS[name] = sql if sql in STATEMENTS.values() else with_views(sql)
         return build
 
     return register
