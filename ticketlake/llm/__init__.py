@@ -16,9 +16,13 @@ QUERIES = {}
 STATEMENTS = {}
 
 for name in (
+    "secret_scan",
+    "token_counts",
+    "toxicity",
     "exact_dedup",
     "mixing",
     "packing",
+    "ngram_join",
 ):
     module = importlib.import_module(f"ticketlake.llm.{name}")
     QUERIES[module.QUERY] = module.query
