@@ -7,7 +7,14 @@ from pyspark.sql import DataFrame, SparkSession
 from ticketlake.llm.common import saved, table
 from ticketlake.llm.exact_dedup import drop_exact_duplicates
 from ticketlake.llm.mixing import mixed_documents
+from ticketlake.llm.ngram_join import drop_near_duplicates
 from ticketlake.llm.packing import packed_documents, tokenizer_path
+from ticketlake.llm.toxicity import drop_toxic
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier calls toxic go; it learns from the labelled rows of these documents."""
+    return drop_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -15,6 +22,11 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return drop_exact_duplicates(docs)
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of texts that share 0.8 or more of their five-word shingles one document stays."""
+    return drop_near_duplicates(docs)
+
+
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as many times as the mix takes it."""
     return mixed_documents(docs)
@@ -25,7 +37,13 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packed_documents(docs, tokenizer_path())
 
 
-STAGES = [("exact_dedup", exact_dedup), ("mixing", mixing), ("packing", packing)]
+STAGES = [
+    ("toxicity", toxicity),
+    ("exact_dedup", exact_dedup),
+    ("ngram_join", near_duplicates),
+    ("mixing", mixing),
+    ("packing", packing),
+]
 
 # Stages score, hash into shingles, draw and pack step by step, which SQL doesn't express.
 ORACLE_SQL = None
