@@ -45,8 +45,9 @@ SHINGLE = 4
 PERCENT = 85
 #: Words whose hashes a task remembers.
 REMEMBERED = 500_000
-#: Shingles of a block group, and of a shard.
-BLOCK = 4_000_000
+#: Shingles that a block of the filter counts, and that a shard holds, on average.
+BLOCK = 1_000_000
+SHARD = 2_000_000
 #: Sets that visit one copy of a shard's index.
 VISITS = 4096
 #: DivideSkip's estimate of what a probe costs against a merge step.
@@ -137,6 +138,8 @@ def _shared_counts(reps: DataFrame, blocks: int) -> DataFrame:
                 part = slice(edges[b], edges[b + 1])
                 alone = count[part] == 1
                 mine = b == turn % blocks
+                if edges[b] == edges[b + 1] and not mine:
+                    continue
                 rows.append((b, _bytes(tokens[part][alone], np.uint64), _bytes(single[part][alone], np.int64), _bytes(tokens[part][~alone], np.uint64), _bytes(settled if mine else settled[:0], np.int64), _bytes(times if mine else times[:0], np.int64)))
             yield pd.DataFrame(rows, columns=["block", "alone", "owner", "several", "settled", "times"])
 
@@ -246,7 +249,7 @@ def _shards(sets: DataFrame, percent: int) -> DataFrame:
             yield all_rows[["node", "n", "least", "shard", "comp", "tokens"]]
 
     total = sets.agg(F.sum("n")).head()[0] or 0
-    dealt = sets.select("node", "n", "least", "tokens").repartitionByRange(-(-total // BLOCK) or 1, "least", "node")
+    dealt = sets.select("node", "n", "least", "tokens").repartitionByRange(-(-total // SHARD) or 1, "least", "node")
     return saved(dealt.mapInPandas(join, "node long, n long, least long, shard int, comp long, tokens binary"))
 
 
