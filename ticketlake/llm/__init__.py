@@ -19,6 +19,9 @@ for name in (
     "secret_scan",
     "token_counts",
     "toxicity",
+    "url_filter",
+    "nearest",
+    "main_text",
     "exact_dedup",
     "mixing",
     "packing",

@@ -33,6 +33,7 @@ CHUNK = 1 << 16
 #: Words and states that a task remembers.
 REMEMBERED = 500_000
 STATES = 300_000
+PAIRS = 1_000_000
 
 MARK = "▁"  # stands for a space
 _CHUNKS = re.compile(f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n")
@@ -49,7 +50,7 @@ class Transducer:
         """scores: of all pieces with text; larger ones merge first."""
         self.scores = scores
         self.begins = {piece[:n] for piece in scores for n in range(1, len(piece))}
-        self.uses: dict[str, tuple[bool, ...]] = {}
+        self.seen: dict[str, tuple] = {}
         self.agreed: dict[tuple[str, str], bool] = {}
         self.reset()
 
@@ -65,28 +66,42 @@ class Transducer:
         start = ("", ((None, 0),))
         self.numbers, self.states, self.moves = {start: 0}, [start], [{}]
 
-    def useful(self, ending: str) -> tuple[bool, ...]:
-        """For each position of an ending, whether an unfinished piece may begin there; the last is the end itself."""
-        if ending not in self.uses:
-            self.uses[ending] = (*(ending[n:] in self.begins for n in range(len(ending))), True)
-        return self.uses[ending]
+    def ends(self, text: str) -> tuple[list[tuple[int, str]], str, tuple[bool, ...], bool]:
+        """Of an ending and a sign: pieces that end there, the ending that is left, use of its positions, a return.
+
+        The past is of use only where an unfinished piece may have begun; the rest would tell equal states apart.
+        """
+        if text not in self.seen:
+            size = next((n for n in range(len(text), 0, -1) if text[-n:] in self.begins), 0)
+            left = text[len(text) - size :]
+            useful = (*(left[n:] in self.begins for n in range(size)), True)
+            back = size > 0 and left[0] == MARK and text[-size - 1 : -size] != MARK  # nothing merges across such a mark
+            self.seen[text] = ([(-n, text[-n:]) for n in range(len(text), 0, -1) if text[-n:] in self.scores], left, useful, back)
+        return self.seen[text]
 
     def merged(self, text: str) -> list[str]:
-        """Byte-pair merging by definition, for the short texts of two pieces."""
-        parts = list(text)
+        """Byte-pair merging by definition, for the short texts of two pieces: best score first, then leftmost."""
+        scores, parts = self.scores, list(text)
+        found = [scores.get(a + b) for a, b in zip(parts, parts[1:])]
         while True:
-            best = min(((-self.scores[a + b], n) for n, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in self.scores), default=None)
+            best = max((x for x in found if x is not None), default=None)
             if best is None:
                 return parts
-            n = best[1]
+            n = found.index(best)
             parts[n : n + 2] = [parts[n] + parts[n + 1]]
-
-    def agree(self, left: str | None, right: str) -> bool:
-        if left is None:
-            return True
-        if (left, right) not in self.agreed:
-            self.agreed[left, right] = self.merged(left + right) == [left, right]
-        return self.agreed[left, right]
+            del found[n]
+            if n < len(found):
+                found[n] = scores.get(parts[n] + parts[n + 1])
+            if n:
+                found[n - 1] = scores.get(parts[n - 1] + parts[n])
+
+    def agree(self, left: str, right: str) -> bool:
+        known = self.agreed.get((left, right))
+        if known is None:
+            if len(self.agreed) > PAIRS:
+                self.agreed.clear()
+            self.agreed[left, right] = known = self.merged(left + right) == [left, right]
+        return known
 
     def move(self, state: int, sign: str) -> tuple[int, int]:
         """Next state and change of the count."""
@@ -94,16 +109,16 @@ class Transducer:
             made = (0, len(sign.encode("utf-8", "surrogatepass")))
         else:
             ending, known = self.states[state]
-            text = ending + sign
-            # known[-1] is the position before this sign
-            last, count = next((text[-n:], known[-n][1] + 1) for n in range(len(text), 0, -1) if text[-n:] in self.scores and self.agree(known[-n][0], text[-n:]))
-            size = next((n for n in range(len(text), 0, -1) if text[-n:] in self.begins), 0)
-            window = (*known[len(known) - size :], (last, count))
-            if size and text[-size] == MARK and text[-size - 1 : -size] != MARK:
-                window = ((None, window[0][1]), *window[1:])  # nothing merges across a mark: back at the start
-            # The past is of use only where a piece may have begun; the rest would tell equal states apart.
-            ending = text[len(text) - size :]
-            after = (ending, tuple((w[0], w[1] - count) if useful else None for useful, w in zip(self.useful(ending), window)))
+            pieces, left, useful, back = self.ends(ending + sign)
+            for place, last in pieces:  # known[-1] is the position before this sign
+                before, count = known[place] or (None, 0)
+                if before is None or self.agree(before, last):
+                    break
+            count += 1
+            window = [None if not use or w is None else (w[0], w[1] - count) for use, w in zip(useful, known[len(known) - len(left) :])]
+            if back:
+                window[0] = (None, window[0][1])
+            after = (left, (*window, (last, 0)))
             number = self.numbers.setdefault(after, len(self.states))
             if number == len(self.states):
                 self.states.append(after)
