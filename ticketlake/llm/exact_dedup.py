@@ -71,7 +71,7 @@ def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
 
 
 def drop_exact_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents that stay, with all their columns, one row per id."""
+    """The documents that stay, with all their columns, one row per id. Rows without an id can't be named, and stay."""
     dropped = saved(exact_dedup(docs, key, text).where("not kept").select(key).distinct())
     return one_row_per_id(narrowed(docs, dropped, [key], "left_anti"), key)
 

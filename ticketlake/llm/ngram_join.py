@@ -278,7 +278,9 @@ def _searched(homes: DataFrame, visits: DataFrame, percent: int) -> DataFrame:
     visits = saved(visits)
     salts = visits.groupBy("shard").count().select("shard", F.ceil(F.col("count") / VISITS).alias("salts"))
     guests = visits.join(salts, "shard").withColumn("salt", F.pmod(F.xxhash64("node"), F.col("salts")))
-    guests = guests.select("node", "shard", "salt").join(homes.select("node", "tokens"), "node")
+    visitors = homes.select("node", F.col("tokens").alias("query"))
+    guests = guests.select("node", F.col("shard").alias("to_shard"), F.col("salt").alias("to_salt")).join(visitors, "node")
+    guests = guests.select("to_shard", "to_salt", F.col("node").alias("guest"), "query")
     hosts = homes.select("node", "shard", "tokens").join(salts, "shard").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
 
     def search(host: pd.DataFrame, guest: pd.DataFrame) -> pd.DataFrame:
@@ -286,7 +288,7 @@ def _searched(homes: DataFrame, visits: DataFrame, percent: int) -> DataFrame:
         if len(host) and len(guest):
             index, forest = Index(_as_tokens(host["tokens"]), percent), Forest(len(host))
             nodes = host["node"].to_numpy()
-            for node, query in zip(guest["node"], _as_tokens(guest["tokens"])):
+            for node, query in zip(guest["guest"], _as_tokens(guest["query"])):
                 links = list(index.search(query, lambda c: np.zeros(len(c), dtype=bool)))
                 roots = sorted({forest.root(x) for x in links})
                 found += [(node, nodes[r]) for r in roots]
@@ -294,8 +296,8 @@ def _searched(homes: DataFrame, visits: DataFrame, percent: int) -> DataFrame:
                     forest.join(roots[0], r)
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
-    keys = ["shard", "salt"]
-    return hosts.select(*keys, "node", "tokens").groupBy(*keys).cogroup(guests.select(*keys, "node", "tokens").groupBy(*keys)).applyInPandas(search, "a long, b long")
+    sides = hosts.select("shard", "salt", "node", "tokens").groupBy("shard", "salt").cogroup(guests.groupBy("to_shard", "to_salt"))
+    return sides.applyInPandas(search, "a long, b long")
 
 
 def linked_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:

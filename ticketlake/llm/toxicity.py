@@ -154,7 +154,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, fairness: floa
                 out.append((first, [o for o in others if o != first], toxic))
             yield pd.DataFrame(out, columns=["own", "others", "toxic"])
 
-    found = rows.mapInPandas(examples, "own array<int>, others array<array<int>>, toxic int").orderBy("toxic", "own").collect()
+    found = rows.mapInPandas(examples, "own array<int>, others array<array<int>>, toxic int").collect()
+    found.sort(key=lambda r: (r["toxic"], r["own"], r["others"]))  # sums don't depend on the order of arrival
     return _regression(found, chosen, fairness)
 
 
