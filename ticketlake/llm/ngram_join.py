@@ -49,7 +49,7 @@ REMEMBERED = 500_000
 BLOCK = 1_000_000
 SHARD = 2_000_000
 #: Sets that visit one copy of a shard's index.
-VISITS = 4096
+VISITS = 16_384
 #: DivideSkip's estimate of what a probe costs against a merge step.
 MU = 0.0085
 
@@ -84,7 +84,7 @@ def least_common(n, percent: int = PERCENT):
 
 
 def first_common(n, percent: int = PERCENT):
-    """l(n)."""
+    """l(n); so many first shingles also hold at least one that is common."""
     return n - least_common(n, percent) + 1
 
 
@@ -121,7 +121,11 @@ def _bytes(values: np.ndarray, dtype) -> bytes:
 
 
 def _shared_counts(reps: DataFrame, blocks: int) -> DataFrame:
-    """node, shared: how many of a set's first shingles occur among the first ones of another set."""
+    """node, shared: how many of a set's first shingles occur among the first ones of another set.
+
+    Blocks go by a hash's upper half and carry its lower half. As a block is bounded, few shingles look
+    alike by that; they add to the counts, which loses nothing.
+    """
 
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for turn, batch in enumerate(batches):
@@ -140,12 +144,12 @@ def _shared_counts(reps: DataFrame, blocks: int) -> DataFrame:
                 mine = b == turn % blocks
                 if edges[b] == edges[b + 1] and not mine:
                     continue
-                rows.append((b, _bytes(tokens[part][alone], np.uint64), _bytes(single[part][alone], np.int64), _bytes(tokens[part][~alone], np.uint64), _bytes(settled if mine else settled[:0], np.int64), _bytes(times if mine else times[:0], np.int64)))
+                rows.append((b, _bytes(tokens[part][alone], np.uint32), _bytes(single[part][alone], np.int64), _bytes(tokens[part][~alone], np.uint32), _bytes(settled if mine else settled[:0], np.int64), _bytes(times if mine else times[:0], np.int64)))
             yield pd.DataFrame(rows, columns=["block", "alone", "owner", "several", "settled", "times"])
 
     def meet(group: pd.DataFrame) -> pd.DataFrame:
         read = lambda name, dtype: np.concatenate([np.frombuffer(c, dtype=dtype) for c in group[name]])
-        alone, owner, several = read("alone", np.uint64), read("owner", np.int64), read("several", np.uint64)
+        alone, owner, several = read("alone", np.uint32), read("owner", np.int64), read("several", np.uint32)
         tokens, inverse, count = np.unique(np.concatenate([alone, several, several]), return_inverse=True, return_counts=True)
         nodes, times = np.unique(owner[count[inverse[: len(alone)]] > 1], return_counts=True)
         return pd.DataFrame({"node": np.concatenate([nodes, read("settled", np.int64)]), "times": np.concatenate([times, read("times", np.int64)])})
@@ -236,8 +240,8 @@ def self_join(sets: list[np.ndarray], percent: int = PERCENT) -> np.ndarray:
     return forest.roots(np.arange(len(sets)))
 
 
-def _shards(sets: DataFrame, percent: int) -> DataFrame:
-    """node, n, shard, comp, tokens: near copies side by side, joined within each shard."""
+def _shards(sets: DataFrame, percent: int, keep: list[str]) -> DataFrame:
+    """Of node, n, least, shard, comp, tokens the ones to keep: near copies side by side, joined within each shard."""
 
     def join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = list(batches)
@@ -246,11 +250,12 @@ def _shards(sets: DataFrame, percent: int) -> DataFrame:
             found = self_join(_as_tokens(all_rows["tokens"]), percent)
             all_rows["shard"] = TaskContext.get().partitionId()
             all_rows["comp"] = all_rows["node"].to_numpy()[found]
-            yield all_rows[["node", "n", "least", "shard", "comp", "tokens"]]
+            yield all_rows[keep]
 
     total = sets.agg(F.sum("n")).head()[0] or 0
     dealt = sets.select("node", "n", "least", "tokens").repartitionByRange(-(-total // SHARD) or 1, "least", "node")
-    return saved(dealt.mapInPandas(join, "node long, n long, least long, shard int, comp long, tokens binary"))
+    kinds = {"shard": "int", "tokens": "binary"}
+    return saved(dealt.mapInPandas(join, ", ".join(f"{c} {kinds.get(c, 'long')}" for c in keep)))
 
 
 def _visits(homes: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
@@ -303,20 +308,24 @@ def _searched(homes: DataFrame, visits: DataFrame, percent: int) -> DataFrame:
 def linked_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id of every document."""
     rows = saved(_sets(docs, key, text, width, percent, whole=False))
-    least_row = F.min(F.struct("doc_id", "n", "tokens")).alias("r")
-    reps = saved(rows.where("doc_id IS NOT NULL AND n > 0").groupBy("node").agg(least_row).select("node", "r.*"))
-    total = reps.agg(F.sum(F.length("tokens"))).head()[0] or 0
+    usable = rows.where("doc_id IS NOT NULL AND n > 0")
+    reps = saved(usable.groupBy("node").agg(F.min(F.struct("doc_id", "n")).alias("r")).select("node", "r.*"))
+    copies = saved(usable.select("node", "doc_id").join(reps.select("node", F.col("doc_id").alias("first")), "node").where("doc_id <> first").select("node", "doc_id"))
+    first = narrowed(usable, copies, ["node", "doc_id"], "left_anti")
+    total = reps.agg(F.sum("n")).head()[0] or 0
     least = lambda c: F.floor((F.lit(percent) * c + 99) / 100)
-    fewest = least(F.col("n")) - least(least(F.col("n"))) + 1
-    hopeful = saved(_shared_counts(reps, -(-total // (8 * BLOCK)) or 1).join(reps.select("node", "doc_id", "n"), "node").where(F.col("shared") >= fewest).select("node", "doc_id"))
-    whole = _sets(narrowed(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")), hopeful, ["doc_id"], "left_semi"), "doc_id", "text", width, percent, whole=True)
-    # The least shingle, as a number that Spark orders: the first one of the sorted set.
-    whole = whole.join(F.broadcast(hopeful.select("node")) if is_small(hopeful) else hopeful.select("node"), "node", "left_semi").groupBy("node").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"))
-    sets = saved(whole.withColumn("least", F.xxhash64(F.substring(F.col("tokens"), 1, 8))))
-    homes = _shards(sets, percent)
+    few = least(F.col("n"))
+    fewest = few - least(few) + 1
+    shared = _shared_counts(first, -(-total * (100 - percent) * 2 // (100 * BLOCK)) or 1)
+    hopeful = saved(shared.join(reps, "node").where(F.col("shared") >= fewest).select("node", "doc_id"))
+    texts = narrowed(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")), hopeful, ["doc_id"], "left_semi")
+    whole = narrowed(_sets(texts, "doc_id", "text", width, percent, whole=True), hopeful, ["node", "doc_id"], "left_semi")
+    # Rows that repeat an id and a text are equal sets of one node. Sets go by their least shingle.
+    sets = saved(whole.select("node", "n", "tokens", F.xxhash64(F.substring(F.col("tokens"), 1, 8)).alias("least")))
+    homes = _shards(sets, percent, ["node", "n", "least", "shard", "comp", "tokens"])
     edges = homes.where("node <> comp").select(F.col("node").alias("a"), F.col("comp").alias("b"))
     if homes.agg(F.max("shard")).head()[0]:
-        leaders = _shards(homes.where("node = comp").drop("comp", "shard"), percent)
+        leaders = _shards(homes.where("node = comp").drop("comp", "shard"), percent, ["node", "comp"])
         edges = edges.unionByName(leaders.where("node <> comp").select(F.col("node").alias("a"), F.col("comp").alias("b")))
         visits = _visits(homes, components(edges), percent)
         edges = edges.unionByName(_searched(homes, visits, percent))
