@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ticketlake.functions import fixed_values as fixed
+
+
+def one_of(column: str, values: list[str]) -> str:
+    return f"{column} in ({', '.join(repr(v) for v in values)})"
+
 # Unique keys per table; the condition limits partial keys.
 UNIQUE_KEYS = [
     ("retail_brands", ["slug"], None),
@@ -87,18 +94,21 @@ IMMUTABLE_COLUMNS = {
 
 # Row rules per table (name, condition that must hold or be unknown).
 ROW_RULES = {
-    "receipt_payments": [("amount_positive", "amount_cents > 0")],
+    "receipt_payments": [("amount_positive", "amount_cents > 0"), ("category_domain", one_of("category", fixed.PAYMENT_CATEGORIES))],
+    "stores": [("channel_domain", one_of("channel", fixed.CHANNELS))],
+    "product_alternative_group_memberships": [("equivalence_domain", one_of("equivalence", fixed.EQUIVALENCES))],
     "receipt_line_matches": [
         ("confidence_probability", "confidence is null or confidence between 0 and 1"),
         ("variant_presence", "(status = 'ignored') = (variant_id is null)"),
-        ("status_domain", "status in ('suggested', 'confirmed', 'rejected', 'ignored')"),
-        ("source_domain", "source in ('user', 'heuristic')"),
+        ("status_domain", one_of("status", fixed.MATCH_STATUSES)),
+        ("source_domain", one_of("source", fixed.MATCH_SOURCES)),
     ],
     "price_observations": [
         ("quantity_positive", "purchased_quantity > 0"),
         ("total_non_negative", "total_cents >= 0"),
         ("pack_price_non_negative", "pack_unit_price_cents >= 0"),
         ("unit_price_non_negative", "comparison_unit_price_cents is null or comparison_unit_price_cents >= 0"),
+        ("source_domain", one_of("source", fixed.OBSERVATION_SOURCES)),
         ("unit_pairing", "(comparison_unit_id is null) = (comparison_unit_price_cents is null)"),
     ],
     "product_variants": [
@@ -109,17 +119,25 @@ ROW_RULES = {
     "source_documents": [
         ("hash_shape", "content_hash rlike '^[0-9a-f]{64}$'"),
         ("classified_source_present", "source_detection_status <> 'classified' or (store_id is not null and parser_format is not null)"),
-        ("status_domain", "source_detection_status in ('pending', 'classified', 'needs_classification')"),
-        ("mime_domain", "mime_type in ('application/pdf', 'image/png', 'image/jpeg')"),
+        ("status_domain", one_of("source_detection_status", fixed.DETECTION_STATUSES)),
+        ("mime_domain", one_of("mime_type", sorted(set(fixed.MIME_TYPES.values())))),
     ],
     "source_document_detections": [
         ("classified_source_present", "status <> 'classified' or (store_id is not null and parser_format is not null)"),
+        ("status_domain", one_of("status", fixed.DETECTION_STATUSES)),
+        ("parser_confidence_domain", one_of("parser_confidence", fixed.DETECTION_CONFIDENCES)),
+        ("store_confidence_domain", one_of("store_confidence", fixed.DETECTION_CONFIDENCES)),
         ("parser_confidence_consistent", "(parser_format is null) = (parser_confidence = 'none')"),
         ("store_confidence_consistent", "(store_id is null) = (store_confidence = 'none')"),
     ],
-    "receipt_promotions": [("link_method_consistent", "(linked_line_id is null) = (linking_method = 'unallocated')")],
-    "receipts": [("status_domain", "parser_status in ('parsed', 'needs_review', 'reviewed')")],
-    "receipt_lines": [("kind_domain", "kind in ('item', 'fee', 'discount')"), ("unit_domain", "unit_of_measure in ('piece', 'kg', 'g', 'l', 'ml')")],
+    "receipt_promotions": [
+        ("kind_domain", one_of("kind", fixed.PROMOTION_KINDS)),
+        ("unit_domain", one_of("unit", fixed.PROMOTION_UNITS)),
+        ("linking_domain", one_of("linking_method", fixed.LINKING_METHODS)),
+        ("link_method_consistent", "(linked_line_id is null) = (linking_method = 'unallocated')"),
+    ],
+    "receipts": [("status_domain", one_of("parser_status", fixed.PARSER_STATUSES))],
+    "receipt_lines": [("kind_domain", one_of("kind", fixed.LINE_KINDS)), ("unit_domain", one_of("unit_of_measure", fixed.UNITS_OF_MEASURE))],
 }
 
 
@@ -138,17 +156,18 @@ def audit_foreign_key(child: DataFrame, column: str, parent: DataFrame, parent_k
 
 
 def audit_foreign_keys(tables: dict[str, DataFrame]) -> DataFrame:
-    """Orphan counts per reference, for the references whose tables are given."""
-    counted = None
+    """One row per reference: its orphans, or null and ``not_checked`` where its tables or columns aren't given."""
+    spark, parts, missing = next(iter(tables.values())).sparkSession, [], []
     for key in FOREIGN_KEYS:
-        if key.table not in tables or key.parent not in tables or key.column not in tables[key.table].columns:
+        name = f"{key.table}.{key.column}"
+        child, parent = tables.get(key.table), tables.get(key.parent)
+        if child is None or parent is None or key.column not in child.columns or key.parent_key not in parent.columns:
+            missing.append((name, None, "not_checked"))
             continue
-        orphans = audit_foreign_key(tables[key.table], key.column, tables[key.parent], key.parent_key)
-        part = orphans.agg(F.count("*").alias("orphans")).select(
-            F.lit(f"{key.table}.{key.column}").alias("reference"), "orphans"
-        )
-        counted = part if counted is None else counted.unionByName(part)
-    return counted
+        orphans = audit_foreign_key(child, key.column, parent, key.parent_key)
+        parts.append(orphans.agg(F.count("*").alias("orphans")).select(F.lit(name).alias("reference"), "orphans", F.lit("checked").alias("state")))
+    parts.append(spark.createDataFrame(missing, "reference string, orphans bigint, state string"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def audit_immutability(before: DataFrame, after: DataFrame, key: str, columns: list[str]) -> DataFrame:
@@ -199,11 +218,16 @@ def audit_detection_extraction(detections: DataFrame, extractions: DataFrame) ->
 
 
 def restricted_deletes(parent: str, wanted: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
-    """Requested deletions (key) that still have dependents, with what depends on them."""
+    """Requested deletions (key) that still have dependents, with what depends on them.
+
+    Every table that refers to the parent must be given: a deletion is not safe unless all were asked.
+    """
+    references = [key for key in FOREIGN_KEYS if key.parent == parent]
+    absent = [f"{k.table}.{k.column}" for k in references if k.table not in tables or k.column not in tables[k.table].columns]
+    if absent or not references:
+        raise ValueError(f"references to {parent} that can't be checked: {', '.join(absent) or 'none known'}")
     held = None
-    for key in FOREIGN_KEYS:
-        if key.parent != parent or key.table not in tables or key.column not in tables[key.table].columns:
-            continue
+    for key in references:
         used = tables[key.table].select(F.col(key.column).alias(key.parent_key)).distinct()
         part = wanted.select(key.parent_key).join(used, key.parent_key, "left_semi").withColumn("held_by", F.lit(key.table))
         held = part if held is None else held.unionByName(part)

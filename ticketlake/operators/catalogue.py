@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -81,9 +83,13 @@ def product_group_members(memberships: DataFrame, variants: DataFrame) -> DataFr
 
 
 def membership_changes(current: DataFrame, additions: DataFrame, removals: DataFrame) -> DataFrame:
-    """Next membership snapshot: one row per group and variant, removals last."""
+    """Next membership snapshot: one row per group and variant, removals last.
+
+    Of several additions of a pair the first equivalence in byte order counts.
+    """
     keys = ["group_id", "variant_id"]
-    fresh = additions.dropDuplicates(keys).join(current.select(*keys), keys, "left_anti")
+    fresh = earliest_by(additions.select(*current.columns), keys, ["equivalence"]).select(*current.columns)
+    fresh = fresh.join(current.select(*keys), keys, "left_anti")
     return current.unionByName(fresh).join(removals.select(*keys), keys, "left_anti")
 
 
@@ -153,21 +159,25 @@ def category_descendants(paths: DataFrame) -> DataFrame:
 
 
 def invalid_moves(moves: DataFrame, paths: DataFrame) -> DataFrame:
-    """Proposed (category, new parent) pairs whose new parent is the category or lies below it."""
-    below = category_descendants(paths).select(F.col("ancestor_id").alias("category_id"), F.col("descendant_id").alias("new_parent_id"))
-    itself = moves.where(F.col("category_id") == F.col("new_parent_id"))
-    return itself.unionByName(moves.join(below, ["category_id", "new_parent_id"], "left_semi"))
+    """Proposed (category, new parent) pairs whose new parent is the category or lies below it.
+
+    That is so when the category is on the path of the new parent.
+    """
+    above = paths.select(F.col("category_id").alias("new_parent_id"), "path_ids")
+    joined = moves.join(above, "new_parent_id", "left")
+    itself = F.col("category_id") == F.col("new_parent_id")
+    return joined.where(itself | F.array_contains("path_ids", F.col("category_id"))).select(*moves.columns)
 
 
-def valid_parents(wanted: DataFrame, paths: DataFrame) -> DataFrame:
-    """Allowed new parents for the wanted categories.
+def valid_parents(wanted: Sequence[int], paths: DataFrame) -> DataFrame:
+    """Categories that each of the wanted ones may move under, with their breadcrumbs.
 
-    Stored as the forbidden part: every category is allowed except the category itself and
-    its descendants, so the forbidden list is kept and the allowed one is its complement.
+    ``wanted`` are the ids of a request; every category is read once for all of them.
     """
-    below = category_descendants(paths).select(F.col("ancestor_id").alias("category_id"), F.col("descendant_id").alias("parent_id"))
-    itself = paths.select("category_id", F.col("category_id").alias("parent_id"))
-    return itself.unionByName(below).join(wanted.select("category_id"), "category_id", "left_semi")
+    asked = F.explode(F.array(*[F.lit(w) for w in wanted]).cast(f"array<{paths.schema['category_id'].dataType.simpleString()}>"))
+    return paths.withColumn("_wanted", asked).where(~F.array_contains("path_ids", F.col("_wanted"))).select(
+        F.col("_wanted").alias("category_id"), F.col("category_id").alias("parent_id"), "breadcrumb"
+    )
 
 
 def allowed_parents(category_id, paths: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ticketlake.functions import text
-from ticketlake.functions.fixed_values import FORMAT_CHANNELS, MINIMUM_HINT_LENGTH
+from ticketlake.functions.fixed_values import CHANNELS, FORMAT_CHANNELS, MINIMUM_HINT_LENGTH
 
 
 class DetectionRule(NamedTuple):
@@ -95,13 +95,16 @@ def choose_format(df: DataFrame, matches: str = "matches") -> DataFrame:
 
 
 def store_scope_for_format(stores: DataFrame, formats: DataFrame) -> DataFrame:
-    """(format, store) pairs allowed by channel; a null or unknown format allows every store."""
-    rows = [(f, c) for f, channels in FORMAT_CHANNELS.items() for c in channels]
-    allowed = stores.sparkSession.createDataFrame(rows, "parser_format string, channel string")
-    known = formats.where(F.col("parser_format").isin(list(FORMAT_CHANNELS)))
-    # The channel table has one row per format and channel.
-    scoped = known.join(F.broadcast(allowed), "parser_format").join(stores, "channel")
-    return scoped
+    """Stores in scope of each different format, by channel; a null or unknown format allows every channel.
+
+    One row per format and store, never per document; documents look their scope up by format.
+    """
+    channels = F.lit(None).cast("array<string>")
+    for name, allowed in FORMAT_CHANNELS.items():
+        channels = F.when(F.col("parser_format") == name, F.array(*map(F.lit, allowed))).otherwise(channels)
+    every = F.array(*map(F.lit, CHANNELS))
+    scopes = formats.select("parser_format").distinct().select("parser_format", F.explode(F.coalesce(channels, every)).alias("channel"))
+    return scopes.join(stores, "channel")
 
 
 def store_hints(stores: DataFrame, brands: DataFrame, nested_hints: DataFrame | None = None) -> DataFrame:

@@ -410,11 +410,23 @@ def register_format(spec: FormatSpec) -> FormatSpec:
 def parse_corpus(documents: DataFrame, part: str, formats: list[str] | None = None) -> DataFrame:
     """One part ("receipts", "lines", "promotions", "payments") of a mixed corpus.
 
-    ``documents``: document_id, parser_format, text. Each format reads only its own
-    documents; a table partitioned by format is scanned once in total.
+    ``documents``: document_id, parser_format, text. Each format reads only its own documents.
+    Documents whose format is null or not registered have no children, and keep a receipt
+    with a ``parser_exception`` warning.
     """
     parsed = [
         getattr(parse_format(documents.where(F.col("parser_format") == name), FORMATS[name]), part)
         for name in formats or list(FORMATS)
     ]
+    if part == "receipts":
+        parsed.append(unparsed_receipts(documents, parsed[0]))
     return reduce(DataFrame.unionByName, parsed)
+
+
+def unparsed_receipts(documents: DataFrame, like: DataFrame) -> DataFrame:
+    """Bare receipts of documents that no registered format can parse, shaped like ``like``."""
+    unknown = documents.where(~F.coalesce(F.col("parser_format").isin(list(FORMATS)), F.lit(False)))
+    reason = F.when(F.col("parser_format").isNull(), F.lit("no receipt format")).otherwise(F.format_string("unknown receipt format %s", "parser_format"))
+    warning = F.array(warnings.build_warning("parser_exception", F.format_string(fixed.FAILURE_TEXT, reason)))
+    given = {"document_id": F.col("document_id"), "parser_format": F.col("parser_format"), "parser_status": F.lit("needs_review"), "parser_warnings": warning}
+    return unknown.select(*[given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in like.schema.fields])

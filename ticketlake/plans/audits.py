@@ -17,21 +17,25 @@ def audit_unique_partial(t):
     return ops.audit_unique(t.arrivals, ["store_id", "register_number", "ticket_number", "purchased_at"], "register_number <> ''")
 
 
-@query("audit_foreign_keys", """SELECT 'stores.retail_brand_id' AS reference, count(*) FILTER (WHERE retail_brand_id > 20) AS orphans FROM stores_v
-    UNION ALL SELECT 'receipts.store_id', count(*) FILTER (WHERE o_custkey NOT IN (SELECT s_suppkey FROM supplier)) FROM orders
-    UNION ALL SELECT 'receipt_lines.receipt_id', count(*) FILTER (WHERE l_orderkey % 100 = 0) FROM lineitem
-    UNION ALL SELECT 'categories.parent_id', 0""")
+CHECKED = ["stores.retail_brand_id", "receipts.store_id", "receipt_lines.receipt_id", "categories.parent_id"]
+UNCHECKED = " ".join(
+    f"UNION ALL SELECT '{k.table}.{k.column}', NULL, 'not_checked'" for k in ops.FOREIGN_KEYS if f"{k.table}.{k.column}" not in CHECKED
+)
+
+
+@query("audit_foreign_keys", f"""SELECT 'stores.retail_brand_id' AS reference, count(*) FILTER (WHERE retail_brand_id > 20) AS orphans, 'checked' AS state FROM stores_v
+    UNION ALL SELECT 'receipts.store_id', count(*) FILTER (WHERE o_custkey NOT IN (SELECT store_id FROM stores_v)), 'checked' FROM orders WHERE o_orderkey % 100 <> 0
+    UNION ALL SELECT 'receipt_lines.receipt_id', count(*) FILTER (WHERE l_orderkey % 100 = 0), 'checked' FROM lineitem
+    UNION ALL SELECT 'categories.parent_id', 0, 'checked' {UNCHECKED}""")
 def audit_foreign_keys(t):
     return ops.audit_foreign_keys(
         {
             "retail_brands": t.retail_brands.where("retail_brand_id <= 20"),
             "stores": t.stores,
-            "receipts": t.table("orders").where("o_orderkey % 100 <> 0").selectExpr("o_orderkey as receipt_id"),
+            "receipts": t.table("orders").where("o_orderkey % 100 <> 0").selectExpr("o_orderkey as receipt_id", "o_custkey as store_id"),
             "receipt_lines": t.table("lineitem").selectExpr("l_orderkey as receipt_id"),
             "categories": t.categories,
         }
-    ).unionByName(
-        ops.audit_foreign_keys({"stores": t.stores, "receipts": t.table("orders").selectExpr("o_custkey as store_id")})
     )
 
 
@@ -45,7 +49,7 @@ def audit_immutability(t):
 @query("audit_checks", """SELECT event_id AS payment_id, array_to_string(list_filter([CASE WHEN NOT (amount > 0) THEN 'amount_positive' END, CASE WHEN event_type NOT IN ('view', 'click') THEN 'kind_domain' END], lambda x: x IS NOT NULL), ',') AS rules
     FROM (SELECT event_id, event_type, CAST(CAST(value AS DECIMAL(18,2)) * 100 AS BIGINT) - 500 AS amount FROM events) WHERE NOT (amount > 0) OR event_type NOT IN ('view', 'click')""")
 def audit_checks(t):
-    payments = t.table("events").selectExpr("event_id as payment_id", "event_type as kind", "cast(cast(value as decimal(18,2)) * 100 as bigint) - 500 as amount_cents")
+    payments = t.table("events").selectExpr("event_id as payment_id", "event_type as kind", "'cash' as category", "cast(cast(value as decimal(18,2)) * 100 as bigint) - 500 as amount_cents")
     rules = [*ops.ROW_RULES["receipt_payments"], ("kind_domain", "kind in ('view', 'click')")]
     return ops.audit_checks(payments, rules).select("payment_id", F.array_join("broken_rules", ",").alias("rules"))
 
@@ -79,11 +83,16 @@ def audit_detection_extraction(t):
     return ops.audit_detection_extraction(detections, t.attempts)
 
 
-@query("restricted_deletes", """SELECT DISTINCT store_id, 'receipts' AS held_by FROM receipts_v WHERE store_id IN (SELECT store_id FROM stores_v) UNION ALL SELECT DISTINCT store_id, 'price_observations' FROM receipts_v r JOIN matches_v m ON m.status = 'confirmed' AND split_part(m.line_id, '-', 1) = CAST(r.receipt_id AS VARCHAR) WHERE purchased_at IS NOT NULL""")
+@query("restricted_deletes", """SELECT DISTINCT store_id, 'receipts' AS held_by FROM receipts_v WHERE store_id IN (SELECT store_id FROM stores_v) UNION ALL SELECT DISTINCT store_id, 'price_observations' FROM receipts_v r JOIN matches_v m ON m.status = 'confirmed' AND split_part(m.line_id, '-', 1) = CAST(r.receipt_id AS VARCHAR) WHERE purchased_at IS NOT NULL
+    UNION ALL SELECT DISTINCT doc_id % 40, 'source_documents' FROM documents WHERE doc_id % 3 = 0 AND doc_id % 40 IN (SELECT store_id FROM stores_v)
+    UNION ALL SELECT DISTINCT extraction_id % 7, 'source_document_detections' FROM attempts_v WHERE extraction_id % 7 IN (SELECT store_id FROM stores_v)""")
 def restricted_deletes(t):
     from ticketlake.plans.decision import observations
 
-    return ops.restricted_deletes("stores", t.stores, {"receipts": t.receipts, "price_observations": observations(t)})
+    documents = t.table("documents").selectExpr("doc_id as document_id", "if(doc_id % 3 = 0, doc_id % 40, null) as store_id")
+    detections = t.attempts.selectExpr("extraction_id", "extraction_id % 7 as store_id")
+    given = {"receipts": t.receipts, "price_observations": observations(t), "source_documents": documents, "source_document_detections": detections}
+    return ops.restricted_deletes("stores", t.stores, given)
 
 
 @query("rekey_tables", """SELECT sha256('receipt_lines|' || l.line_id) AS line_id, sha256('receipts|' || l.receipt_id) AS receipt_id, sha256(CASE WHEN tax_step % 2 = 0 THEN 'receipts|' ELSE 'stores|' END || l.receipt_id) AS subject_id

@@ -52,10 +52,11 @@ def choose_format(t):
     return chosen.select("document_id", F.col("detected_format").alias("parser_format"), F.col("format_confidence").alias("confidence"), F.element_at("format_evidence", -1)["code"].alias("last_code"))
 
 
-@query("store_scope_for_format", "SELECT doc_id AS document_id, store_id FROM (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'leclerc.web.v1' ELSE 'u.paper.v1' END AS f FROM documents) JOIN stores_v ON (f = 'u.paper.v1') = (channel = 'physical')")
+@query("store_scope_for_format", """SELECT f AS parser_format, store_id FROM (SELECT DISTINCT ['leclerc.web.v1', 'u.paper.v1', 'not.known.v1', NULL][CAST(doc_id % 4 + 1 AS INTEGER)] AS f FROM documents)
+    JOIN stores_v ON CASE f WHEN 'leclerc.web.v1' THEN channel <> 'physical' WHEN 'u.paper.v1' THEN channel = 'physical' ELSE true END""")
 def store_scope_for_format(t):
-    formats = t.table("documents").selectExpr("doc_id as document_id", "if(doc_id % 2 = 0, 'leclerc.web.v1', 'u.paper.v1') as parser_format")
-    return ops.store_scope_for_format(t.stores, formats).select("document_id", "store_id")
+    formats = t.table("documents").selectExpr("doc_id as document_id", "element_at(array('leclerc.web.v1', 'u.paper.v1', 'not.known.v1', null), cast(doc_id % 4 + 1 as int)) as parser_format")
+    return ops.store_scope_for_format(t.stores, formats).select("parser_format", "store_id")
 
 
 def hints(t):

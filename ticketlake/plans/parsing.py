@@ -287,15 +287,20 @@ def auchan_scan_warnings(t):
     return receipts.select("document_id", scan["detail"].alias("warning"), "parser_status")
 
 
+# A weighed article, from the order's own columns.
+WEIGHED_GRAMS, WEIGHED_PRICE = "(500 + c % 900)", "(100 + k % 300)"
+WEIGHED_CENTS = f"({WEIGHED_GRAMS} * {WEIGHED_PRICE} div 1000)"
+
+
 def u_v1_texts(t):
     code = "if(k % 10 = 6, 9, 11 + i % 2)"
     return rendered(
-        t, "concat('106  LV  ', date_format(at, 'dd/MM/yy  HH:mm'), '  1  ', k)", "'>>>> RAYON'", "if(k % 10 = 5, '2 x 1,00 €  2,00 €  11', '')",
+        t, "concat(c % 500, '  C', c % 7, '  ', date_format(at, 'dd/MM/yy  HH:mm'), '  ', 1 + c % 9, '  ', k)", "'>>>> RAYON'", "if(k % 10 = 5, '2 x 1,00 €  2,00 €  11', '')",
         f"array_join(transform(unit, (u, i) -> if(i = 1, concat({LEC_ITEM}), 'Z\\n2 x  ', {money('u', True)}, ' €  ', {money('(u * 2)', True)}, ' €  ', {code}), concat({LEC_ITEM}), 'Z  ', {money('u', True)}, ' €  ', {code}))), '\\n')",
-        "'COURGETTE  11'", "'2,056 kg x  1,29 €/kg  2,65 €'", "'====='",
-        f"if(k % 10 = 7, '', concat('TOTAL  ', articles + 1, ' Article(s)  ', {money('(total + 265)', True)}, ' €'))", f"concat('CB SANS CONTACT  EUR  ', {money('(total + 265)', True)}, ' €')",
-        "'11 /  5,50  1,00 €  1,00 €  1,00 €'", "'12  20,00  1,00 €  1,00 €  1,00 €'", "concat(1 + k % 5, ' vignette(s) JBL offerte(s)')", "'Carte U solde avant ticket  1,00 €'",
-        "concat('Carte U solde après ticket  ', k % 3, ',00 €')",
+        "concat('VRAC ', c % 97, '  11')", f"concat(replace(cast(cast(({WEIGHED_GRAMS}) / 1000 as decimal(6,3)) as string), '.', ','), ' kg x  ', {money(WEIGHED_PRICE, True)}, ' €/kg  ', {money(WEIGHED_CENTS, True)}, ' €')", "'====='",
+        f"if(k % 10 = 7, '', concat('TOTAL  ', articles + 1, ' Article(s)  ', {money(f'(total + {WEIGHED_CENTS})', True)}, ' €'))", f"concat('CB SANS CONTACT  EUR  ', {money(f'(total + {WEIGHED_CENTS})', True)}, ' €')",
+        "'11 /  5,50  1,00 €  1,00 €  1,00 €'", "'12  20,00  1,00 €  1,00 €  1,00 €'", "concat(1 + k % 5, ' vignette(s) JBL offerte(s)')", "concat('Carte U solde avant ticket  ', 1 + c % 50, ',00 €')",
+        "concat('Carte U solde après ticket  ', c % 50 + k % 3, ',00 €')",
     )
 
 
@@ -309,7 +314,7 @@ def u_lines(extra="", tr="false", section="'RAYON'"):
         {section} AS section_label, 'item' AS kind, {tr} AS tr_eligible, 'piece' AS unit_of_measure FROM ({ROUND_V}) WHERE {U_GOOD} {extra}"""
 
 
-@query("parse_u_paper_v1", u_lines(f"UNION ALL SELECT k, n + 1, 'COURGETTE', CAST(2.056 AS DECIMAL(10,3)), 129, 265, 550, 'RAYON', 'item', false, 'kg' FROM ({ROUND_V}) WHERE i = 1 AND {U_GOOD}").format(price="CASE WHEN i = 2 THEN u END"))
+@query("parse_u_paper_v1", u_lines(f"UNION ALL SELECT k, n + 1, 'VRAC ' || c % 97, CAST((500 + c % 900) / 1000.0 AS DECIMAL(10,3)), 100 + k % 300, (500 + c % 900) * (100 + k % 300) // 1000, 550, 'RAYON', 'item', false, 'kg' FROM ({ROUND_V}) WHERE i = 1 AND {U_GOOD}").format(price="CASE WHEN i = 2 THEN u END"))
 def parse_u_paper_v1(t):
     return lines_shown(parsed(t, u_v1_texts(t), "u.paper.v1", "lines"))
 
@@ -328,6 +333,6 @@ def parse_u_paper_v2(t):
         f"array_join(transform(unit, (u, i) -> concat({LEC_ITEM}), 'Z  ', if(i % 2 = 0, '(T)  ', ''), {money('if(i = 1, u * 2, u)', True)}, ' €  ', {code}, '\\n', if(i = 1, 2, 1), ' x  ', {money('u', True)}, ' EUR')), '\\n')",
         "concat('Nombre de lignes d', chr(39), 'article 3')", f"if(k % 10 = 7, '', concat('TOTAL [', articles, '] Articles  ', {money('total', True)}, ' €'))",
         f"concat('CB TRD  ', {money('total', True)}, ' €')", "'11  5,50  1,00 €  1,00 €  1,00 €'", "'12  20,00  1,00 €  1,00 €  1,00 €'",
-        "concat(date_format(at, 'dd/MM/yy HH:mm:ss'), ' 95206  002  102  ', k)",
+        "concat(date_format(at, 'dd/MM/yy HH:mm:ss'), ' ', 20000 + c % 999, '  ', 1 + c % 9, '  ', 300 + c % 41, '  ', k)",
     )
     return lines_shown(parsed(t, texts, "u.paper.v2", "lines"))

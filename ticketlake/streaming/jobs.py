@@ -59,14 +59,20 @@ def run_available(stream: DataFrame, job: Job, folder: str) -> None:
 
 
 def register_job(path: str) -> Job:
-    """Register documents (document_id, content_hash, ingested_at): earlier registrations win."""
+    """Register documents (document_id, content_hash, ingested_at): earlier registrations win.
+
+    ``{path}`` holds the registered documents; ``{path}_answers`` tells for every upload which
+    document it is: itself, or the first one with its content.
+    """
 
     def job(batch: DataFrame, batch_id: int) -> None:
-        earlier = history(batch, path, batch_id)
-        known = earlier.select("content_hash")
+        known = history(batch, path, batch_id).select("content_hash")
         fresh = batch.join(known, "content_hash", "left_anti")
         first = fresh.groupBy("content_hash").agg(F.min_by(F.struct("document_id", "ingested_at"), F.struct("ingested_at", "document_id")).alias("_row"))
         write_batch(first.select("content_hash", "_row.*").select(*batch.columns), path, batch_id)
+        stored = history(batch, path, batch_id + 1).select("content_hash", F.col("document_id").alias("registered_id"))
+        answers = batch.select("document_id", "content_hash").join(stored, "content_hash")
+        write_batch(answers.select("document_id", "registered_id"), f"{path}_answers", batch_id)
 
     return job
 
@@ -88,12 +94,24 @@ def classify_and_parse_job(path: str, hints: DataFrame, default_formats: DataFra
 
 
 def duplicates_job(path: str) -> Job:
-    """Strict and suspected duplicates of arriving receipts, against history and the batch itself."""
+    """Strict and suspected duplicates of arriving receipts, against history and the batch itself.
+
+    What is stored came first, whatever its ``created_at`` says: a late arrival is the duplicate.
+    History is joined by the strict key and by store, day and total, without the rejected receipts.
+    """
 
     def job(batch: DataFrame, batch_id: int) -> None:
-        earlier = history(batch, f"{path}/receipts", batch_id)
-        touched = earlier.join(batch.select("store_id").distinct(), "store_id", "left_semi")
-        everything = touched.unionByName(batch)
+        outcomes = batch.select("receipt_id", F.lit("").alias("outcome"), F.col("receipt_id").alias("other"))
+        rejected = history(outcomes, f"{path}/outcomes", batch_id).where("outcome = 'rejected'").select("receipt_id")
+        earlier = history(batch, f"{path}/receipts", batch_id).join(rejected, "receipt_id", "left_anti")
+        day = F.to_date("purchased_at").alias("_day")
+        strict_keys = batch.select(*reconcile.STRICT_KEY).distinct()
+        loose_keys = batch.select("store_id", day, "total_cents").distinct()
+        same = earlier.join(strict_keys, reconcile.STRICT_KEY, "left_semi")
+        alike = earlier.select("*", day).join(loose_keys, ["store_id", "_day", "total_cents"], "left_semi").select(*batch.columns)
+        touched = same.select(*batch.columns).unionByName(alike).dropDuplicates(["receipt_id"])
+        order = lambda turn: F.struct(F.lit(turn).alias("turn"), F.col("created_at").alias("at"))
+        everything = touched.withColumn("created_at", order(0)).unionByName(batch.withColumn("created_at", order(1)))
         mine = batch.select("receipt_id")
         strict = reconcile.strict_duplicates(everything).join(mine, "receipt_id", "left_semi")
         suspected = reconcile.suspected_duplicates(everything).join(mine, "receipt_id", "left_semi")
