@@ -44,10 +44,10 @@ from ticketlake.llm.components import components
 SHINGLE = 4
 PERCENT = 85
 #: Words whose hashes a task remembers.
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 #: Shingles that a block of the filter counts, and that a shard holds, on average.
 BLOCK = 1_000_000
-SHARD = 2_000_000
+SHARD = 1_000_000
 #: Sets that visit one copy of a shard's index.
 VISITS = 16_384
 #: DivideSkip's estimate of what a probe costs against a merge step.
@@ -191,11 +191,14 @@ class Index:
     def __init__(self, sets: list[np.ndarray], percent: int):
         self.percent = percent
         self.sizes = np.array([len(s) for s in sets], dtype=np.int64)
-        owner = np.repeat(np.arange(len(sets)), self.sizes)
+        owner = np.repeat(np.arange(len(sets), dtype=np.int32), self.sizes)
         tokens = np.concatenate([np.empty(0, np.uint64), *sets])
         order = np.argsort(tokens, kind="stable")  # owners ascend within a list
-        self.owner = owner[order]
-        self.tokens, self.start = np.unique(tokens[order], return_index=True)
+        self.owner, tokens = owner[order], tokens[order]
+        del owner, order
+        first = np.append(True, tokens[1:] != tokens[:-1])[: len(tokens)]
+        self.start = np.flatnonzero(first)
+        self.tokens = tokens[self.start]
         self.stop = np.append(self.start[1:], len(tokens))
 
     def search(self, query: np.ndarray, skip) -> Iterator[int]:
