@@ -227,7 +227,7 @@ def test_u_paper_v1(spark):
         ("NOIX DE COCO", 3, "piece", 330, None, "FRAIS"),
     ]
     assert lines[1].raw_text == "AMANDES 12\n0,340 kg x    15,00 €/kg    5,10 €"
-    assert [(p.program, p.delta) for p in promotions] == [("u_carte_u", -120), ("u_vignettes_verres", 4)]
+    assert [(p.program, p.delta) for p in promotions] == [("u_carte_u", -120), ("u_vignettes", 4)]
     assert [w.detail for w in receipt.parser_warnings] == ["No VAT table row found for code 14"]
     assert [p.category for p in payments] == ["cash"]
 

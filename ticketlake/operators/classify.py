@@ -18,6 +18,9 @@ class DetectionRule(NamedTuple):
     pattern: str
 
 
+#: Up to so many different first words of hints are tested in the scan, as a hash set.
+MOST_FIRST_WORDS = 10_000
+
 _B = "(?<![\\p{L}\\p{N}_])"
 _E = "(?![\\p{L}\\p{N}_])"
 
@@ -145,16 +148,23 @@ def hint_hits(documents: DataFrame, hints: DataFrame, body: str = "text") -> Dat
 
     A whole-word hit of an n-word value is one of the text's n-word grams, so texts are cut
     into grams of the lengths that hints have and joined on equality. Neither the texts nor
-    the hints are broadcast, and texts are not compared with hints pair by pair.
+    the hints are broadcast, and texts are not compared with hints pair by pair. Where hints
+    begin with few different words, grams are only cut where one of those words stands.
     """
     values = hints.select("normalized_value").distinct().withColumn("_words", F.size(F.split("normalized_value", " ")))
     # At most one number per hint length reaches the driver.
     lengths = sorted(r[0] for r in values.select("_words").distinct().collect())
+    begins = values.select(F.substring_index("normalized_value", " ", 1).alias("word")).distinct()
+    known = [r[0] for r in begins.limit(MOST_FIRST_WORDS + 1).collect()]
     words = documents.select("document_id", F.split(text.normalize_detection_text(F.col(body)), " ").alias("_tokens"))
+    starts = F.sequence(F.lit(1), F.size("_tokens"))
+    if len(known) <= MOST_FIRST_WORDS:
+        starts = F.filter(starts, lambda i: F.get("_tokens", i - 1).isin(known))
+    words = words.withColumn("_starts", starts)
 
     def grams(n: int) -> Column:
-        starts = F.when(F.size("_tokens") >= n, F.sequence(F.lit(1), F.size("_tokens") - (n - 1))).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.array_join(F.slice("_tokens", i, n), " "))
+        room = F.filter("_starts", lambda i: i <= F.size("_tokens") - (n - 1))
+        return F.transform(room, lambda i: F.array_join(F.slice("_tokens", i, n), " "))
 
     cut = F.array_distinct(F.flatten(F.array(*[grams(n) for n in lengths]))) if lengths else F.array().cast("array<string>")
     return words.select("document_id", F.explode(cut).alias("normalized_value")).join(values, "normalized_value").select(
