@@ -16,9 +16,12 @@ Texts are sets of distinct shingles of ``SHINGLE`` words (ASCII lower case; word
    in its long lists by binary search (DivideSkip). Pairs of one component are not verified again.
 4. The least set of each component of a shard is searched again among those of all shards, which ties the
    shards of a large group together.
-5. Completion: sets in different components which share one of their first n - t(n) + 1 shingles are still
-   to be compared. For each shingle the sets outside its largest component visit the other shards that
-   hold it, split by salt where many visit one.
+5. Completion: sets in different components are still to be compared, if they share l of their first
+   n - t(n) + l shingles, with l(n) of at most ``FIRST`` here. First now means: by hash, but shingles of
+   ``HEAVY`` sets or more last (any order loses nothing; this one keeps shared passages out). For each shingle
+   the sets outside its largest component look at the other shards that hold it. Of a pair one set or
+   the other is outside, so that one of them meets half of the l shingles in the other's shard; that
+   set visits it, split by salt where many visit one.
 
 No pair is written but those of a spanning forest. Null texts, and texts without words, have no shingles
 and link with nothing; shorter ones than ``SHINGLE`` words are one shingle. Null ids link with nothing and
@@ -48,6 +51,10 @@ REMEMBERED = 200_000
 #: Shingles that a block of the filter counts, and that a shard holds, on average.
 BLOCK = 1_000_000
 SHARD = 1_000_000
+#: Sets that make a shingle a heavy one, and the most shingles (the heaviest) that are ordered as such.
+HEAVY, HEAVY_MOST = 8, 200_000
+#: Largest l of the completion.
+FIRST = 8
 #: Sets that visit one copy of a shard's index.
 VISITS = 16_384
 #: DivideSkip's estimate of what a probe costs against a merge step.
@@ -261,24 +268,44 @@ def _shards(sets: DataFrame, percent: int, keep: list[str]) -> DataFrame:
     return saved(dealt.mapInPandas(join, ", ".join(f"{c} {kinds.get(c, 'long')}" for c in keep)))
 
 
+def _heavy(homes: DataFrame) -> np.ndarray:
+    """Sorted heavy shingles."""
+
+    def counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            tokens, times = np.unique(np.concatenate([np.empty(0, np.uint64), *_as_tokens(batch["tokens"])]), return_counts=True)
+            yield pd.DataFrame({"token": tokens.view(np.int64), "times": times})
+
+    counted = homes.select("tokens").mapInPandas(counts, "token long, times long").groupBy("token").agg(F.sum("times").alias("times"))
+    found = counted.where(F.col("times") >= HEAVY).orderBy(F.desc("times"), "token").limit(HEAVY_MOST).collect()
+    return np.sort(np.array([r["token"] for r in found], dtype=np.int64).view(np.uint64))
+
+
 def _visits(homes: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """node, shard: the shards that a set has still to be searched in."""
+    heavy = _heavy(homes)
 
     def firsts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            lists = [t[: first_common(len(t), percent)] for t in _as_tokens(batch["tokens"])]
-            frame = batch[["node", "shard"]].loc[batch.index.repeat([len(x) for x in lists])]
+            lists, fewest = [], []
+            for tokens in _as_tokens(batch["tokens"]):
+                last, need = np.isin(tokens, heavy), least_common(len(tokens), percent)
+                first = min(FIRST, first_common(len(tokens), percent))
+                lists.append(np.concatenate([tokens[~last], tokens[last]])[: len(tokens) - need + first])
+                fewest.append((min(FIRST, first_common(need, percent)) + 1) // 2)
+            frame = batch[["node", "shard"]].assign(fewest=fewest).loc[batch.index.repeat([len(x) for x in lists])]
             frame["token"] = np.concatenate([np.empty(0, np.uint64), *lists]).view(np.int64)
             yield frame
 
-    postings = homes.select("node", "shard", "tokens").mapInPandas(firsts, "node long, shard int, token long")
+    postings = homes.select("node", "shard", "tokens").mapInPandas(firsts, "node long, shard int, fewest int, token long")
     postings = saved(postings.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
     by_label = postings.groupBy("token", "label").agg(F.count("*").alias("rows"))
     largest = by_label.groupBy("token").agg(F.max_by("label", F.struct("rows", "label")).alias("largest"), F.count("*").alias("labels"))
     unsettled = saved(largest.where("labels > 1").select("token", "largest"))
     places = saved(postings.join(unsettled, "token", "left_semi").select("token", "shard").distinct())
-    outside = postings.join(unsettled, "token").where("label <> largest").select("token", "node", F.col("shard").alias("home"))
-    return outside.join(places, "token").where("shard <> home").select("node", "shard").distinct()
+    outside = postings.join(unsettled, "token").where("label <> largest").select("token", "node", "fewest", F.col("shard").alias("home"))
+    met = outside.join(places, "token").where("shard <> home").groupBy("node", "shard", "fewest").count()
+    return met.where("count >= fewest").select("node", "shard").distinct()
 
 
 def _searched(homes: DataFrame, visits: DataFrame, percent: int) -> DataFrame:
