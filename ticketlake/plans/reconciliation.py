@@ -6,7 +6,9 @@ from ticketlake.functions import warnings
 from ticketlake.operators import reconcile as ops
 from ticketlake.plans.registry import query
 from ticketlake.plans.views import cents
-from ticketlake.sources.graph import receipt_graph
+from ticketlake.sources.graph import read_receipt_graph, receipt_graph
+from ticketlake.sources.graph import write_receipt_graph as write_graph
+from ticketlake.streaming.jobs import workspace
 
 TOTAL = cents("l_extendedprice")
 COUNT = "CASE WHEN l_returnflag = 'N' THEN CASE WHEN l_suppkey % 5 = 0 THEN 1 ELSE CAST(trunc(l_quantity) AS BIGINT) END ELSE 0 END"
@@ -218,8 +220,24 @@ def write_receipt_graph(t):
     payments = t.table("orders").selectExpr("o_orderkey as receipt_id", f"{'cast(cast(o_totalprice as decimal(18,2)) * 100 as bigint)'} - 999999 as amount_cents")
     documents = t.receipts.selectExpr("document_id", "store_id", "parser_format")
     graph = receipt_graph({"receipts": t.receipts, "lines": places.drop("line_id"), "promotions": asked, "payments": payments}, documents)
+    folder = workspace(t.spark, "graph")
+    for _ in range(2):  # the second write is a retry
+        write_graph(graph, folder, "1")
     counted = None
     for name in ("receipts", "receipt_lines", "receipt_promotions", "receipt_payments"):
-        part = graph[name].agg(F.count("*").alias("n")).select(F.lit(name).alias("part"), "n")
+        part = read_receipt_graph(t.spark, folder, name).agg(F.count("*").alias("n")).select(F.lit(name).alias("part"), "n")
         counted = part if counted is None else counted.unionByName(part)
     return counted
+
+
+@query("write_receipt_graph_lines", f"""WITH bad AS (SELECT receipt_id FROM ({PROMISED}) q LEFT JOIN ({PLACES}) l USING (receipt_id, p) WHERE q.p > 0 AND l.p IS NULL UNION SELECT o_orderkey FROM orders WHERE {cents('o_totalprice')} < 1000000)
+    SELECT receipt_id, CAST(p AS BIGINT) AS position FROM ({PLACES}) WHERE receipt_id NOT IN (SELECT receipt_id FROM bad)""")
+def write_receipt_graph_lines(t):
+    """The lines as they are read back from what was written."""
+    asked, places = promised(t)
+    payments = t.table("orders").selectExpr("o_orderkey as receipt_id", "cast(cast(o_totalprice as decimal(18,2)) * 100 as bigint) - 999999 as amount_cents")
+    documents = t.receipts.selectExpr("document_id", "store_id", "parser_format")
+    graph = receipt_graph({"receipts": t.receipts, "lines": places.drop("line_id"), "promotions": asked, "payments": payments}, documents)
+    folder = workspace(t.spark, "graph")
+    write_graph(graph, folder, "1")
+    return read_receipt_graph(t.spark, folder, "receipt_lines").select("receipt_id", F.col("position").cast("bigint").alias("position"))

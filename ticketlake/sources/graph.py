@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ticketlake.operators.reconcile import resolve_promotion_positions
@@ -37,10 +37,18 @@ def receipt_graph(parsed: dict[str, DataFrame], documents: DataFrame) -> dict[st
     }
 
 
-def write_receipt_graph(graph: dict[str, DataFrame], path: str) -> None:
-    """Append the tables as Parquet; receipts are partitioned by purchase month."""
+def write_receipt_graph(graph: dict[str, DataFrame], path: str, batch: str) -> None:
+    """Write the tables of one batch as Parquet; receipts are partitioned by purchase month.
+
+    A batch has a folder of its own in each table and replaces it, so a retry leaves no row twice.
+    """
     for name, table in graph.items():
-        writer = table.write.mode("append")
+        writer = table.write.mode("overwrite")
         if name == "receipts":
             writer = writer.partitionBy("purchase_month")
-        writer.parquet(f"{path}/{name}")
+        writer.parquet(f"{path}/{name}/batch={batch}")
+
+
+def read_receipt_graph(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """A table of all batches."""
+    return spark.read.parquet(f"{path}/{name}")
