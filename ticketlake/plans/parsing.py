@@ -327,12 +327,44 @@ def u_promotions(t):
 
 @query("parse_u_paper_v2", u_lines(tr="i % 2 = 1").format(price="u"))
 def parse_u_paper_v2(t):
+    return lines_shown(parsed(t, u_v2_texts(t), "u.paper.v2", "lines"))
+
+
+def u_v2_texts(t):
     code = "if(k % 10 = 6, 9, 11 + i % 2)"
-    texts = rendered(
+    return rendered(
         t, "'*** VENTE ***'", "'RAYON'", "if(k % 10 = 5, '2 x 1,00 EUR', 'JAMAIS SUIVI  9,99 €  11')",
         f"array_join(transform(unit, (u, i) -> concat({LEC_ITEM}), 'Z  ', if(i % 2 = 0, '(T)  ', ''), {money('if(i = 1, u * 2, u)', True)}, ' €  ', {code}, '\\n', if(i = 1, 2, 1), ' x  ', {money('u', True)}, ' EUR')), '\\n')",
         "concat('Nombre de lignes d', chr(39), 'article 3')", f"if(k % 10 = 7, '', concat('TOTAL [', articles, '] Articles  ', {money('total', True)}, ' €'))",
         f"concat('CB TRD  ', {money('total', True)}, ' €')", "'11  5,50  1,00 €  1,00 €  1,00 €'", "'12  20,00  1,00 €  1,00 €  1,00 €'",
         "concat(date_format(at, 'dd/MM/yy HH:mm:ss'), ' ', 20000 + c % 999, '  ', 1 + c % 9, '  ', 300 + c % 41, '  ', k)",
     )
-    return lines_shown(parsed(t, texts, "u.paper.v2", "lines"))
+
+
+# Per layout: texts, format, documents that parse, extra cents and articles, register, ticket, cashier, declared count, payment label and category.
+WEIGHED_SQL = "(500 + c % 900) * (100 + k % 300) // 1000"
+PRINTED = {
+    "leclerc_paper_v2": (leclerc_v2_texts, "leclerc.paper.v2", GOOD, "0", "'001-1'", "NULL", "NULL", "sum(twice)", "CB", "bank_card"),
+    "auchan_paper_v1": (auchan_texts, "auchan.paper.v1", AUCHAN_GOOD, "175", "c", "k", "77", "NULL", "CARTE BANCAIRE", "bank_card"),
+    "u_paper_v1": (u_v1_texts, "u.paper.v1", U_GOOD, WEIGHED_SQL, "1 + c % 9", "k", "c % 500 || '  C' || c % 7", "sum(twice) + 1", "CB SANS CONTACT", "bank_card"),
+    "u_paper_v2": (u_v2_texts, "u.paper.v2", U_GOOD, "0", "1 + c % 9", "k", "300 + c % 41", "sum(twice)", "CB TRD", "tickets_restaurant"),
+}
+TWICE = f"(SELECT *, CASE WHEN i = 2 THEN 2 ELSE 1 END AS twice FROM ({ROUND_V}))"
+
+
+def _printed(name, texts, layout, good, extra, register, ticket, cashier, declared, label, category):
+    header_sql = f"""SELECT k AS document_id, CAST({register} AS VARCHAR) AS register_number, CAST({ticket} AS VARCHAR) AS ticket_number, CAST({cashier} AS VARCHAR) AS cashier_code,
+        CASE WHEN k % 10 <> 7 THEN CAST(sum(twice * u) + {extra} AS BIGINT) END AS total_cents, CASE WHEN k % 10 <> 7 THEN CAST({declared} AS INTEGER) END AS declared_article_count FROM {TWICE} GROUP BY k, c"""
+
+    @query(f"extract_header_{name}", header_sql)
+    def header(t):
+        fields = ["register_number", "ticket_number", "cashier_code", "total_cents", "declared_article_count"]
+        return parsed(t, texts(t), layout, "header").select("document_id", *fields)
+
+    @query(f"extract_payments_{name}", f"SELECT k AS document_id, '{label}' AS raw_label, '{category}' AS category, CAST(sum(twice * u) + {extra} AS BIGINT) AS amount_cents FROM {TWICE} WHERE {good} GROUP BY k, c")
+    def payments(t):
+        return parsed(t, texts(t), layout, "payments").drop("position")
+
+
+for _name, _layout in PRINTED.items():
+    _printed(_name, *_layout)
