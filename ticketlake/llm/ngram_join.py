@@ -289,7 +289,9 @@ def _visits(homes: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             lists, fewest = [], []
             for tokens in _as_tokens(batch["tokens"]):
-                last, need = np.isin(tokens, heavy), least_common(len(tokens), percent)
+                place = np.minimum(np.searchsorted(heavy, tokens), max(len(heavy) - 1, 0))
+                last = heavy[place] == tokens if len(heavy) else np.zeros(len(tokens), dtype=bool)
+                need = least_common(len(tokens), percent)
                 first = min(FIRST, first_common(len(tokens), percent))
                 lists.append(np.concatenate([tokens[~last], tokens[last]])[: len(tokens) - need + first])
                 fewest.append((min(FIRST, first_common(need, percent)) + 1) // 2)

@@ -150,7 +150,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, leaf_size: int = LEAF) ->
     pieces = saved(pieces.withColumn("item", F.monotonically_increasing_id()))
     short = pieces.where(F.col("length") < capacity).select("item", "length")
     placed = short.select("item", "length", F.col("item").alias("bin"), F.lit(0).cast("bigint").alias("offset"))
-    open_bins, level = short, 0
+    open_bins, level, before = short, 0, None
     while count := open_bins.count():
         leaves = -(-count // leaf_size)
         leaf = F.pmod(F.xxhash64("item", F.lit(level)), F.lit(leaves)) + level * (1 << 20)
@@ -164,9 +164,9 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, leaf_size: int = LEAF) ->
                 (F.col("offset") + F.coalesce("_shift", F.lit(0))).alias("offset"),
             )
         )
-        if leaves == 1:
-            break
-        level += 1
+        if leaves == 1 or before and count > 0.95 * before:
+            break  # what is left open doesn't fit together
+        level, before = level + 1, count
         filled = placed.groupBy(F.col("bin").alias("item")).agg(F.sum("length").alias("length"))
         open_bins = saved(filled.where(F.col("length") < capacity))
     out = pieces.join(placed.drop("length"), "item", "left")
