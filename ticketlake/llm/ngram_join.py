@@ -10,7 +10,7 @@ Texts are sets of distinct shingles of ``SHINGLE`` words (ASCII lower case; word
    first shingles occur in another set too. They are counted per shingle in blocks: a batch of sets
    settles what repeats within it, and sends the rest by hash range, so that a shingle of a third of all
    sets is one entry for each batch. Texts that merely share a passage end here.
-3. The sets that are left are range-partitioned by their least shingle, so near copies lie together; a
+3. The sets that are left are dealt into shards by their least shingle, so near copies lie together; a
    group larger than a shard is as many shards as it needs. Each shard joins its own sets: an inverted
    index; for each set its short lists are merged and counted, those that can still reach t are probed
    in its long lists by binary search (DivideSkip). Pairs of one component are not verified again.
@@ -37,7 +37,6 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -253,19 +252,20 @@ def self_join(sets: list[np.ndarray], percent: int = PERCENT) -> np.ndarray:
 def _shards(sets: DataFrame, percent: int, keep: list[str]) -> DataFrame:
     """Of node, n, least, shard, comp, tokens the ones to keep: near copies side by side, joined within each shard."""
 
-    def join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = list(batches)
-        if rows and sum(map(len, rows)):
-            all_rows = pd.concat(rows).sort_values("node")
-            found = self_join(_as_tokens(all_rows["tokens"]), percent)
-            all_rows["shard"] = TaskContext.get().partitionId()
-            all_rows["comp"] = all_rows["node"].to_numpy()[found]
-            yield all_rows[keep]
+    def join(shard: pd.DataFrame) -> pd.DataFrame:
+        shard = shard.sort_values("node")
+        shard["comp"] = shard["node"].to_numpy()[self_join(_as_tokens(shard["tokens"]), percent)]
+        return shard[keep]
 
     total = sets.agg(F.sum("n")).head()[0] or 0
-    dealt = sets.select("node", "n", "least", "tokens").repartitionByRange(-(-total // SHARD) or 1, "least", "node")
+    count = F.lit(-(-total // SHARD) or 1)
+    # A least shingle whose sets fill a shard alone is spread over as many as it needs.
+    large = saved(sets.groupBy("least").agg(F.sum("n").alias("size")).where(F.col("size") > SHARD))
+    dealt = sets.select("node", "n", "least", "tokens").join(F.broadcast(large) if is_small(large) else large, "least", "left")
+    part = F.coalesce(F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / SHARD)), F.lit(0))
+    dealt = dealt.withColumn("shard", (F.pmod("least", count) + count * part).cast("int")).drop("size")
     kinds = {"shard": "int", "tokens": "binary"}
-    return saved(dealt.mapInPandas(join, ", ".join(f"{c} {kinds.get(c, 'long')}" for c in keep)))
+    return saved(dealt.groupBy("shard").applyInPandas(join, ", ".join(f"{c} {kinds.get(c, 'long')}" for c in keep)))
 
 
 def _heavy(homes: DataFrame) -> np.ndarray:
@@ -356,7 +356,7 @@ def linked_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", w
     sets = saved(whole.select("node", "n", "tokens", F.xxhash64(F.substring(F.col("tokens"), 1, 8)).alias("least")))
     homes = _shards(sets, percent, ["node", "n", "least", "shard", "comp", "tokens"])
     edges = homes.where("node <> comp").select(F.col("node").alias("a"), F.col("comp").alias("b"))
-    if homes.agg(F.max("shard")).head()[0]:
+    if homes.select("shard").distinct().count() > 1:
         leaders = _shards(homes.where("node = comp").drop("comp", "shard"), percent, ["node", "comp"])
         edges = edges.unionByName(leaders.where("node <> comp").select(F.col("node").alias("a"), F.col("comp").alias("b")))
         visits = _visits(homes, components(edges), percent)
