@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ticketlake.llm.common import saved, table
+from ticketlake.operators.ordering import with_rank
 
 K = 5
 EVERY = 50
@@ -132,28 +133,21 @@ def _top(found: DataFrame, k: int) -> DataFrame:
     return found.distinct().withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= k)
 
 
-def _blocks(rows: DataFrame, size: int, extra: str | None = None) -> DataFrame:
-    """Blocks of vectors that lie together on the first curve: block, ids, vectors, extra (all binary)."""
+def _blocks(rows: DataFrame, size: int, extra: str | None = None) -> tuple[DataFrame, int]:
+    """Blocks of vectors that lie together on the first curve: block, ids, vectors, extra; and their number.
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for at in range(0, len(batch), size):
-                part = batch.iloc[at : at + size]
-                more = part[extra].to_numpy(dtype=np.float64) if extra else np.empty(0)
-                yield pd.DataFrame([(part["vec_id"].to_numpy(dtype=np.int64).tobytes(), stacked(part["v"].to_list()).tobytes(), more.tobytes())], columns=["ids", "vectors", "extra"])
-
-    cuts = rows.repartitionByRange("key", "vec_id").sortWithinPartitions("key", "vec_id").mapInPandas(cut, "ids binary, vectors binary, extra binary")
-    return saved(cuts.withColumn("at", F.monotonically_increasing_id()))
+    Blocks go by rank, so their size depends neither on the number of partitions nor on how often a key occurs.
+    """
 
+    def cut(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("vec_id")
+        more = part[extra].to_numpy(dtype=np.float64) if extra else np.empty(0)
+        row = (part["block"].iloc[0], part["vec_id"].to_numpy(dtype=np.int64).tobytes(), stacked(part["v"].to_list()).tobytes(), more.tobytes())
+        return pd.DataFrame([row], columns=["block", "ids", "vectors", "extra"])
 
-def _numbered(blocks: DataFrame) -> DataFrame:
-    """A dense number of each block: the few rows of (partition, rows) say where each begins."""
-    parts = blocks.groupBy(F.shiftright("at", 33).alias("part")).count().orderBy("part").collect()
-    starts, total = {}, 0
-    for part, rows in parts:
-        starts[part], total = total, total + rows
-    begin = F.create_map(*[F.lit(x) for pair in starts.items() for x in pair]) if starts else F.create_map(F.lit(0), F.lit(0))
-    return blocks.withColumn("block", begin[F.shiftright("at", 33)] + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))), total
+    ranked = with_rank(rows, [F.col("key"), F.col("vec_id")], "_rank").withColumn("block", F.expr(f"(_rank - 1) div {size}"))
+    blocks = saved(ranked.drop("_rank").groupBy("block").applyInPandas(cut, "block long, ids binary, vectors binary, extra binary"))
+    return blocks, blocks.count()
 
 
 def completion(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
@@ -179,8 +173,8 @@ def completion(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
                         if len(at):
                             yield _best(query_ids[some[at]], ids[place], scores(q[some[at]], x[place]), k)
 
-    vector_blocks, count = _numbered(_blocks(vectors, BLOCK))
-    query_blocks, query_count = _numbered(_blocks(queries, QUERIES_BLOCK, "bound"))
+    vector_blocks, count = _blocks(vectors, BLOCK)
+    query_blocks, query_count = _blocks(queries, QUERIES_BLOCK, "bound")
     salts = -(-count // TOGETHER) or 1
     rows = vector_blocks.select("ids", "vectors", (F.col("block") % salts).alias("salt"), F.explode(F.sequence(F.lit(0), F.lit(max(query_count - 1, 0)))).alias("query_block"))
     asked = query_blocks.select(F.col("ids").alias("query_ids"), F.col("vectors").alias("query_vectors"), F.col("extra").alias("bounds"), F.col("block").alias("query_block"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
