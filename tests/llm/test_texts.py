@@ -59,6 +59,25 @@ def test_main_text_leaves_boilerplate(spark):
     assert dict(by)[2] == "" and dict(by)[4].startswith("word, and") and len(dict(by)[4]) == 319999
 
 
+@pytest.mark.parametrize("given", ['class="overflow-hidden"', 'style="overflow:hidden"', 'aria-hidden="false"', 'title="a hidden place"', 'data-hidden="display:none"', "hidden=until-found", 'data-style="display:none"'])
+@pytest.mark.parametrize("element", ["article", "main", "div"])
+def test_elements_that_are_not_hidden_keep_their_text(element, given):
+    text = "A paragraph, which is long enough, and stands in the page."
+    assert main_text.main_text(f"<body><{element} {given}><p>{text}</p></{element}></body>") == text
+
+
+@pytest.mark.parametrize("given", ["hidden", 'hidden=""', "class=a HIDDEN id=b", 'aria-hidden="true"', "style='color:red; display : none'", "style=visibility:hidden"])
+def test_hidden_elements_are_no_text(given):
+    assert main_text.main_text(f"<article><p>Seen, and read.</p><div {given}><p>A paragraph, which is long enough.</p></div></article>") == "Seen, and read."
+
+
+@pytest.mark.parametrize("start", ["<body>", "", "<div>", "<b>So:</b> ", "So: "])
+def test_a_head_without_end_ends_at_the_body(start):
+    page = f"<html><head><meta charset=utf-8><title>T</title><script>x</script>\n{start}<article><p>A paragraph, which is long enough.</p></article>"
+    assert main_text.main_text(page).endswith("A paragraph, which is long enough.")
+    assert "T" not in main_text.main_text(page)
+
+
 def test_minimum_cut_equals_brute_force():
     draw = np.random.default_rng(3)
     for _ in range(150):

@@ -10,7 +10,8 @@ are decided first (no cut does better), and a maximum flow is found for what is
 
 Scripts, styles, heads and comments of the markup are no text. Character references are decoded, white space in
 a block is one space, blocks are joined by one line end in page order. Null pages are empty pages; unclosed
-and stray tags are passed over; long pages take time in proportion to their blocks. Rows are read one by
+and stray tags are passed over, and text or an element of the body ends an open head. Elements are hidden by the attributes
+``hidden`` and ``aria-hidden="true"`` and by ``display: none`` or ``visibility: hidden`` in their style. Long pages take time in proportion to their blocks. Rows are read one by
 one, so repeated rows and null ids stay. An empty table gives an empty result. Other columns play no part.
 """
 
@@ -33,6 +34,8 @@ INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i img
 EMPTY = set("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose text is kept exactly as it is until their own end tag, whatever stands in them.
 RAW = {"script", "style", "textarea", "title", "iframe", "noscript", "svg", "template"}
+#: Elements that may stand in a head; all others end it.
+HEAD = set("html head base basefont bgsound link meta title style script noscript noframes template".split())
 #: Log odds of being content.
 ELEMENT_ODDS = {"article": 4.0, "main": 3.0, "nav": -9.0, "footer": -9.0, "aside": -9.0, "form": -9.0, "menu": -9.0, "dialog": -9.0, "header": -4.5, "h1": 1.0, "h2": 0.5, "h3": 0.5, "p": 1.0, "blockquote": 0.5, "pre": 0.5, "figcaption": 0.5, "td": 0.2, "li": -0.3}
 NAME_ODDS = -9.0
@@ -47,8 +50,7 @@ CONTENT_NAMES = re.compile(r"(?:^|[\s_-])(?:article|content|post|entry|story|bod
 ADJACENT, SIBLING = 0.5, 1.5
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
-_NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-_HIDDEN = re.compile(r"""\bhidden\b|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 
 
 class Block:
@@ -58,6 +60,22 @@ class Block:
         self.text, self.links, self.odds, self.parent = text, links, odds, parent
 
 
+def attributes(given: str) -> dict[str, str]:
+    """Attributes of a tag by lower-case name; the first of a name counts."""
+    found: dict[str, str] = {}
+    for name, *values in _ATTRIBUTE.findall(given):
+        found.setdefault(name.lower(), html.unescape("".join(values)))
+    return found
+
+
+def is_hidden(given: dict[str, str]) -> bool:
+    """Whether an element's own attributes hide it."""
+    if given.get("hidden", "until-found").strip().lower() != "until-found" or given.get("aria-hidden", "").strip().lower() == "true":
+        return True
+    style = dict(re.findall(r"(?:^|;)\s*(display|visibility)\s*:\s*([a-z-]+)", given.get("style", "").lower()))
+    return style.get("display") == "none" or style.get("visibility") == "hidden"
+
+
 def blocks_of(page: str) -> list[Block]:
     """Text blocks in page order with the log odds of their surroundings and the number of their container."""
     blocks: list[Block] = []
@@ -78,6 +96,8 @@ def blocks_of(page: str) -> list[Block]:
     while at < length:
         found = _TAG.search(page, at)
         stop = found.start() if found else length
+        if open_tags[-1][0] == "head" and page[at:stop].strip():
+            del open_tags[-1]
         if stop > at and not open_tags[-1][2]:
             part = page[at:stop]
             texts.append(part)
@@ -90,6 +110,8 @@ def blocks_of(page: str) -> list[Block]:
         if name is None:
             continue
         name = name.lower()
+        if open_tags[-1][0] == "head" and not found.group(1) and name not in HEAD:
+            del open_tags[-1]
         if name in INLINE:
             if name == "a":
                 in_link = 0 if found.group(1) else 1
@@ -116,13 +138,14 @@ def blocks_of(page: str) -> list[Block]:
             odds += ELEMENT_ODDS.get(name, 0.0)
             given = found.group(3)
             if given:
-                names = " ".join(a or b or c for a, b, c in _NAMED.findall(given))
+                given = attributes(given)
+                names = " ".join(given[n] for n in ("class", "id", "role") if given.get(n))
                 if name not in ("html", "body"):
                     if names and NAMES.search(names):
                         odds += NAME_ODDS
                     elif names and CONTENT_NAMES.search(names):
                         odds += 1.5
-                    silent = silent or bool(_HIDDEN.search(given))
+                    silent = silent or is_hidden(given)
             open_tags.append((name, odds, silent or name in SILENT, made))
     flush()
     return blocks
