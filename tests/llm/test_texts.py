@@ -78,6 +78,21 @@ def test_a_head_without_end_ends_at_the_body(start):
     assert "T" not in main_text.main_text(page)
 
 
+@pytest.mark.parametrize("start", ['<article class="post type-post tag-linux tag-search">', '<div class="content has-sidebar">', '<div class="responsive no-comments with-nav">', '<main class="sidebar">', '<div class="sidebar-left"><article>', '<div class="ads"><div><main>', '<main><div class="post menu"><article class="menu">'])
+def test_names_of_layouts_and_topics_are_no_boilerplate(start):
+    ends = "".join(f"</{tag.split()[0]}>" for tag in start.strip("<>").split("><")[::-1])
+    page = f'<body>{start}<h2>Title</h2><p>A paragraph, which is long enough, and stands in the page.</p><p>Short one, too.</p>{ends}<div class="sidebar"><p>Other words, which are not read.</p></div></body>'
+    assert main_text.main_text(page) == "Title\nA paragraph, which is long enough, and stands in the page.\nShort one, too."
+
+
+@pytest.mark.parametrize("name", ["ad", "main-nav", "site-header", "cookie-notice", "related-posts", "comments", "widget-2", "post_tags", "tag-cloud", "share-buttons"])
+def test_lists_of_other_articles_stay_boilerplate(name):
+    words = "A paragraph, which is long enough, and stands in the page. " * 4
+    other = f'<div class="{name}"><article class="comment"><p>Other words, which are not read.</p></article></div>'
+    for page in (f"<article><p>{words}</p></article>{other}", f"<main><p>{words}</p>{other}</main>", f"<article><p>{words}</p>{other}</article>"):
+        assert main_text.main_text(page) == words.strip()
+
+
 def test_minimum_cut_equals_brute_force():
     draw = np.random.default_rng(3)
     for _ in range(150):

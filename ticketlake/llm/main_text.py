@@ -1,7 +1,7 @@
 """Main text of HTML pages by minimum-cut labelling.
 
 A page is read into blocks: runs of text between tags that start a new line. A linear classifier over a
-block's surroundings (elements, class and id names) and words (length, signs, share of links) gives the
+block's surroundings (elements; class, id and role tokens) and words (length, signs, share of links) gives the
 probability that it is content. Its two costs, -log p and -log(1 - p), are a block's capacities to the
 terminals. Blocks that follow each other are joined by an edge, and so are neighbours of one container
 (DOM proximity), so that a short paragraph goes with those around it. The minimum cut separates content from
@@ -39,11 +39,23 @@ HEAD = set("html head base basefont bgsound link meta title style script noscrip
 #: Log odds of being content.
 ELEMENT_ODDS = {"article": 4.0, "main": 3.0, "nav": -9.0, "footer": -9.0, "aside": -9.0, "form": -9.0, "menu": -9.0, "dialog": -9.0, "header": -4.5, "h1": 1.0, "h2": 0.5, "h3": 0.5, "p": 1.0, "blockquote": 0.5, "pre": 0.5, "figcaption": 0.5, "td": 0.2, "li": -0.3}
 NAME_ODDS = -9.0
-NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|subscri\w*|newsletter|signup|login|"
-    r"nav\w*|menu|breadcrumbs?|sidebar|side|rail|widget|footer|masthead|site-?header|page-?header|topbar|toolbar|share|sharing|social|related|recommend\w*|more|"
-    r"comments?|commentlist|discussion|disqus|respon[ds]\w*|replies|reply|pagination|pager|tags?|search|copyright|legal|disclaimer|skip)(?=$|[\s_-])",
-    re.I,
+#: Known names of boilerplate. A class, id or role token is one if it is such a name, alone or with words that only say which
+#: part or place of it. Names of the first set may also name a layout, those of the second are lists beside the page's own text.
+LAYOUT_NAMES = set(
+    "banner alert notice popup modal overlay nav navs navbar navigation navlist navlinks menu menus menubar breadcrumb breadcrumbs sidebar sidebars side rail widget "
+    "widgets footer masthead siteheader pageheader topbar toolbar search skip legal disclaimer copyright login signup".split()
+)
+LIST_NAMES = set(
+    "ad ads advert adverts advertisement advertisements advertising advertiser advertorial sponsor sponsors sponsored sponsorship promo promos promotion promotions "
+    "promotional promoted cookie cookies consent gdpr subscribe subscriber subscribers subscription subscriptions newsletter newsletters share sharing social related "
+    "recommend recommended recommendation recommendations more comment comments commentlist discussion disqus respond response responses reply replies pagination pager "
+    "tag tags tagcloud".split()
+)
+BEFORE_NAMES = set("site page main top bottom left right global local primary secondary post entry article blog story user sticky fixed mobile desktop wp block td mw jp et elementor js div read".split())
+AFTER_NAMES = set(
+    "wrap wrapper container holder inner outer box bar area zone list link links item items block section content body button buttons btn icon icons post posts article "
+    "articles story stories news title heading header text message form input field group left right top bottom main primary secondary panel row cloud toggle dropdown "
+    "unit slot policy law info warning author meta to".split()
 )
 CONTENT_NAMES = re.compile(r"(?:^|[\s_-])(?:article|content|post|entry|story|body|text|main)(?=$|[\s_-])", re.I)
 #: Weights of edges between blocks that follow each other, and more within one container.
@@ -53,11 +65,20 @@ _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[
 _ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 
 
+class Element:
+    """Log odds of its own, kind of boilerplate its names say, whether it is an article or main; size of its text, and of that in articles and mains."""
+
+    __slots__ = ("above", "odds", "named", "kind", "size", "held")
+
+    def __init__(self, above: int, odds: float = 0.0, named: str = "", kind: str = ""):
+        self.above, self.odds, self.named, self.kind, self.size, self.held = above, odds, named, kind, 0, {}
+
+
 class Block:
-    __slots__ = ("text", "links", "odds", "parent")
+    __slots__ = ("text", "links", "odds", "parent", "element")
 
-    def __init__(self, text: str, links: int, odds: float, parent: int):
-        self.text, self.links, self.odds, self.parent = text, links, odds, parent
+    def __init__(self, text: str, links: int, parent: int, element: int):
+        self.text, self.links, self.odds, self.parent, self.element = text, links, 0.0, parent, element
 
 
 def attributes(given: str) -> dict[str, str]:
@@ -76,20 +97,64 @@ def is_hidden(given: dict[str, str]) -> bool:
     return style.get("display") == "none" or style.get("visibility") == "hidden"
 
 
+def boilerplate(token: str) -> str:
+    """Kind of boilerplate that a whole token names: list, layout or none."""
+    parts = re.sub(r"(site|page)[_-]+header", r"\1header", token.lower()).replace("_", "-").split("-")
+    parts = [p for p in parts if p]
+    places = [n for n, p in enumerate(parts) if p in LAYOUT_NAMES or p in LIST_NAMES]
+    if not places or parts[0] == "tag" and len(parts) > 1 and parts[1] not in ("cloud", "list", "links"):
+        return ""
+    known = all(p in BEFORE_NAMES for p in parts[: places[0]]) and all(p in AFTER_NAMES or p in LAYOUT_NAMES or p in LIST_NAMES or p.isdigit() for p in parts[places[0] :])
+    return "" if not known else "list" if any(p in LIST_NAMES for p in parts) else "layout"
+
+
+def add_up(elements: list[Element]) -> None:
+    """Turns odds of single elements into those of an element and all above it.
+
+    Boilerplate names count neither on an article or main nor on what holds one, that is at least half of the text of
+    all articles (or mains) which stand in no other; for lists, at least half of the page's text. Teasers and
+    comments that are marked up as articles don't clear the list they stand in.
+    """
+    within: list[frozenset] = [frozenset()]
+    for element in elements[1:]:
+        outer = within[element.above]
+        counts = element.kind and element.kind not in outer and not (element.kind == "article" and element.named == "list")
+        within.append(outer | {element.kind} if counts else outer)
+    for n in range(len(elements) - 1, 0, -1):
+        element, above = elements[n], elements[elements[n].above]
+        if element.kind in within[n] and element.kind not in within[element.above]:
+            element.held[element.kind] = element.size
+        above.size += element.size
+        for kind, size in element.held.items():
+            above.held[kind] = above.held.get(kind, 0) + size
+    page, left_out = elements[0], [False]
+    for element in elements[1:]:
+        left_out.append(left_out[element.above])
+        if element.kind:
+            if not left_out[-1] and element.kind not in within[element.above]:  # else it says nothing more
+                element.odds += ELEMENT_ODDS[element.kind]
+        elif element.named:
+            if not any(size and 2 * size >= (page.size if element.named == "list" else page.held[kind]) for kind, size in element.held.items()):
+                element.odds += NAME_ODDS
+                left_out[-1] = True
+        element.odds += elements[element.above].odds
+
+
 def blocks_of(page: str) -> list[Block]:
     """Text blocks in page order with the log odds of their surroundings and the number of their container."""
     blocks: list[Block] = []
-    open_tags: list[tuple[str, float, bool, int]] = [("", 0.0, False, 0)]  # element, odds so far, silent, number
-    made, at, texts, links, in_link = 0, 0, [], 0, 0
+    elements = [Element(0)]
+    open_tags: list[tuple[str, bool, int]] = [("", False, 0)]  # element, silent, number
+    at, texts, links, in_link = 0, [], 0, 0
 
     def flush() -> None:
         nonlocal texts, links
         if texts:
             text = " ".join(html.unescape("".join(texts)).split())
             if text:
-                element, odds, _, number = open_tags[-1]
-                container = open_tags[-2][3] if len(open_tags) > 1 else number
-                blocks.append(Block(text, links, odds, container))
+                number = open_tags[-1][2]
+                blocks.append(Block(text, links, elements[number].above, number))
+                elements[number].size += len(text)
             texts, links = [], 0
 
     length = len(page)
@@ -98,7 +163,7 @@ def blocks_of(page: str) -> list[Block]:
         stop = found.start() if found else length
         if open_tags[-1][0] == "head" and page[at:stop].strip():
             del open_tags[-1]
-        if stop > at and not open_tags[-1][2]:
+        if stop > at and not open_tags[-1][1]:
             part = page[at:stop]
             texts.append(part)
             if in_link:
@@ -133,21 +198,27 @@ def blocks_of(page: str) -> list[Block]:
                     del open_tags[-1]
             elif open_tags[-1][0] == "p":
                 del open_tags[-1]
-            made += 1
-            _, odds, silent, _ = open_tags[-1]
-            odds += ELEMENT_ODDS.get(name, 0.0)
+            _, silent, above = open_tags[-1]
+            element = Element(above, kind=name if name in ("article", "main") else "")
             given = found.group(3)
-            if given:
+            if given and name not in ("html", "body"):
                 given = attributes(given)
-                names = " ".join(given[n] for n in ("class", "id", "role") if given.get(n))
-                if name not in ("html", "body"):
-                    if names and NAMES.search(names):
-                        odds += NAME_ODDS
-                    elif names and CONTENT_NAMES.search(names):
-                        odds += 1.5
-                    silent = silent or is_hidden(given)
-            open_tags.append((name, odds, silent or name in SILENT, made))
+                tokens = " ".join(given[n] for n in ("class", "id", "role") if given.get(n)).split()
+                kinds = [boilerplate(t) for t in tokens]
+                element.named = max(kinds, default="")
+                if any(CONTENT_NAMES.search(t) for t, kind in zip(tokens, kinds) if not kind):
+                    element.odds += 1.5
+                if given.get("role", "").lower() in ("article", "main"):
+                    element.kind = given["role"].lower()
+                silent = silent or is_hidden(given)
+            if not element.kind:
+                element.odds += ELEMENT_ODDS.get(name, 0.0)
+            open_tags.append((name, silent or name in SILENT, len(elements)))
+            elements.append(element)
     flush()
+    add_up(elements)
+    for block in blocks:
+        block.odds = elements[block.element].odds
     return blocks
 
 
