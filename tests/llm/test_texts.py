@@ -221,6 +221,20 @@ def test_nearest_equal_brute_force(spark, monkeypatch):
     assert found == brute_nearest([*enumerate(points)], 5, 50)
 
 
+def test_copies_of_a_vector_span_partitions(spark, monkeypatch):
+    monkeypatch.setattr(nearest, "PART", 100)
+    rows = [(n, [1.0, 2.0], curve, 7 if n % 3 else n) for n in range(1500) for curve in range(2)]
+    keyed = spark.createDataFrame(rows, "vec_id long, v array<double>, curve int, key long")
+    sizes = [r["count"] for r in nearest.dealt(keyed).groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 3000 and max(sizes) < 300
+    draw = np.random.default_rng(8)
+    points = [draw.normal(0, 1, 6).tolist() if n % 3 else [1.0] * 6 for n in range(600)]
+    found = {}
+    for r in sorted(nearest.nearest(spark.createDataFrame([*enumerate(points)], "vec_id long, embedding array<double>")).collect(), key=lambda r: (r.query_id, r["rank"])):
+        found.setdefault(r.query_id, []).append(r.vec_id)
+    assert found == brute_nearest([*enumerate(points)], 5, 50)
+
+
 def test_nearest_of_few_vectors(spark):
     schema = "vec_id long, embedding array<float>"
     assert nearest.nearest(spark.createDataFrame([], schema)).count() == 0

@@ -1,7 +1,7 @@
 """Nearest neighbours by cosine: shifted space-filling curves, and an exact completion.
 
 Vectors are projected to ``AXES`` coordinates, ``CURVES`` times with other (seeded) axes and shifts, and ordered
-along a Hilbert curve each. Spark range-partitions the curves; in each partition a query is compared
+along a Hilbert curve each. Spark range-partitions the curves by key and id; in each partition a query is compared
 with the ``WINDOW`` vectors on either side, and the windows of all curves merge into a first list. On data
 without low-dimensional structure such lists alone miss most neighbours (see README), so they only
 give each query a bound: the score of its k-th candidate. The completion holds blocks of queries against
@@ -103,6 +103,11 @@ def _best(query_ids, ids, found, k: int) -> pd.DataFrame:
     return frame.sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True]).groupby("query_id").head(k)
 
 
+def dealt(keyed: DataFrame) -> DataFrame:
+    """Ranges of the curves, of about ``PART`` vectors each; the id is part of the range, so copies of one vector span many."""
+    return keyed.repartitionByRange(-(-keyed.count() // PART) or 1, "curve", "key", "vec_id")
+
+
 def window_candidates(keyed: DataFrame, k: int, every: int) -> DataFrame:
     """Candidates of each query from the windows of all curves."""
 
@@ -122,10 +127,7 @@ def window_candidates(keyed: DataFrame, k: int, every: int) -> DataFrame:
                     mine, other = some[at], near[at, place]
                     yield _best(ids[mine], ids[other], scores(vectors[mine], vectors[other]), k)
 
-    total = keyed.count()
-    dealt = keyed.repartitionByRange(-(-total // PART) or 1, "curve", "key")
-    found = dealt.mapInPandas(compare, _FOUND)
-    return _top(found, k)
+    return _top(dealt(keyed).mapInPandas(compare, _FOUND), k)
 
 
 def _top(found: DataFrame, k: int) -> DataFrame:
