@@ -107,6 +107,26 @@ def test_minimum_cut_equals_brute_force():
         assert cost(main_text.minimum_cut(odds, edges)) == pytest.approx(best)
 
 
+def test_multipart_credentials_are_linked(documents):
+    bare = "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY"
+    akia = "AKIA" + "B" * 16
+    texts = [
+        f"{akia}\naws_secret_access_key = {bare}\n\"endpoint\": \"db1\"",
+        "DB_USER=anna\nDB_PASS=qwertyu\nDB_HOST = db1",
+        f"AWS_ACCESS_KEY_ID=abcdef {bare} host = db1",
+        f"{akia} {bare} \"Server\" : 'db1'",
+        f"{akia} {bare}",
+        f"user=anna {bare}",
+        f"{akia} {'aA1' * 10} https://db1.example.org",
+        "user=" + "a" * 250 + " password=abcdefgh",
+        "spring.datasource.username: anna, spring.datasource.secretAccessKey: 'abcdef' https://db1.example.org",
+        "superuser=anna bypass=qwertyu https://db1.example.org",
+    ]
+    out = {r.doc_id: [secret_scan.KINDS[s.kind] for s in sorted(r.linked)] for r in secret_scan.secret_spans(documents(*enumerate(texts))).collect()}
+    pair = ["weak_access", "weak_secret"]
+    assert out == {0: ["weak_secret"], 1: pair, 2: ["weak_access", "bare"], 3: ["bare"], 4: [], 5: [], 6: [], 7: ["weak_access"], 8: pair, 9: []}
+
+
 def test_token_counts_equal_the_library(documents, words, monkeypatch):
     import public_tokenizers
     import sentencepiece

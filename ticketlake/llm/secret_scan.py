@@ -1,11 +1,13 @@
 """Secret scans: strong secrets by their shape, and multipart credentials whose weak parts occur together.
 
 Strong kinds are ``assign`` (a keyword given a value of 6 or more signs), ``access`` (an access key id) and ``hex``
-(24 or more hexadecimal digits). Weak kinds, an account name or bare token, are candidates only:
-``weak_access`` is reported where a secret starts within ``SCOPE`` code points, ``weak_secret`` where an
+(24 or more hexadecimal digits). Weak kinds are candidates only, with names in any case, with words in front
+and in quotes: ``weak_access`` (an account name) is reported where a secret stands within ``SCOPE`` code
+points, or a bare token and an endpoint do; ``weak_secret`` and ``bare`` (20 or more signs of high entropy without a label) where an
 access identifier does and so does an endpoint (an address or a named host). Strong parts count as the
-complementary part too. Parts meet their neighbours by a range frame over the starts of a document, which is
-an interval join that writes no pairs.
+complementary part too. Parts meet their neighbours by running ends and starts in a document, which is
+an interval join that writes no pairs. The SQL statement keeps the narrower weak kinds of before, and measures from start to
+start: it fixes the strong spans, and the linked ones only where both rules agree.
 
 Positions are code points, ends exclusive: a text is split at the matches of a kind, and lengths of what is
 between them and of the matches add up. Only DataFrame functions are used. Null texts are empty texts.
@@ -20,19 +22,30 @@ from pyspark.sql import functions as F
 
 from ticketlake.llm.common import is_small, saved, table, text_of
 
-#: Code points between the starts of parts that belong together.
+#: Code points between the end of a part and the start of the next that belongs to it.
 SCOPE = 200
 
 _VALUE = r"""["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+#: Any case, and words in front of a name: DB_PASS, aws_secret_access_key, spring.datasource.username.
+_NAME = r"(?i)(?<![A-Za-z0-9])(?:[A-Za-z0-9]+[_.-])*"
 #: Kind, pattern, group whose length counts, least length of it. Strong kinds first.
 PATTERNS = [
     ("assign", r"([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])" + _VALUE, 2, 6),
     ("access", r"AKIA[A-Z0-9]{16,}", 0, 20),
     ("hex", r"[0-9a-f]{24,}", 0, 24),
+    ("weak_access", _NAME + r"(user|user[_-]?name|user[_-]?id|login|account|account[_-]?(?:name|id)|client[_-]?id|access[_-]?key[_-]?id|key[_-]?id|(?<!secret[_-]?)access[_-]?key)" + _VALUE, 2, 3),
+    ("weak_secret", _NAME + r"(pwd|pass|pass[_-]?phrase|(?:secret[_-]?)?(?:access[_-]?)?key|account[_-]?key|auth|credentials?)" + _VALUE, 2, 6),
+    ("endpoint", _NAME + r"""(?:(?:host|host[_-]?name|server|endpoint)(?:["']?\x20*[:=]|/)\x20*["']?|[a-z][a-z0-9+.-]*://)([A-Za-z0-9.-]+)""", 1, 3),
+    ("bare", r"(?<![A-Za-z0-9+/_=-])(?=[A-Z0-9+/_-]*[a-z])(?=[a-z0-9+/_-]*[A-Z])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{20,}={0,2}", 0, 20),
+]
+#: Weak kinds as the SQL statement has them: narrower, without name prefixes, other cases, quoted endpoint keys and bare tokens.
+STATEMENT_PATTERNS = PATTERNS[:3] + [
     ("weak_access", r"\b(user|username|login|account|client_id|access_key_id|key_id)" + _VALUE, 2, 3),
     ("weak_secret", r"\b(pwd|pass|key|auth|credential)" + _VALUE, 2, 6),
     ("endpoint", r"\b(host|server|endpoint|[a-z][a-z0-9+.-]*:/)[:=/]\x20*([A-Za-z0-9.-]+)", 2, 3),
 ]
+#: Least entropy of a bare token, in bits a sign.
+ENTROPY = 3.5
 KINDS = [kind for kind, *_ in PATTERNS]
 STRONG = KINDS[:3]
 
@@ -43,6 +56,10 @@ def _spans(number: int) -> Column:
     """Spans of a kind in ``_text``, in order."""
     _, pattern, group, least = PATTERNS[number]
     quoted = "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    few = f"length(x.`2`) < {least}"
+    if KINDS[number] == "bare":
+        share = "((length(x.`2`) - length(replace(x.`2`, c, ''))) / length(x.`2`))"
+        few += f" OR aggregate(array_distinct(split(x.`2`, '')), 0D, (e, c) -> e - CASE WHEN c = '' THEN 0D ELSE {share} * log2({share}) END) < {ENTROPY}"
     return F.expr(f"""
       transform(array(split(_text, {quoted}, -1)), between -> CASE WHEN size(between) = 1 THEN cast(array() AS {_SPANS}) ELSE
         aggregate(
@@ -50,7 +67,7 @@ def _spans(number: int) -> Column:
           cast(named_struct('at', 0L, 'spans', array()) AS struct<at: bigint, spans: {_SPANS}>),
           (s, x) -> named_struct(
             'at', s.at + length(x.`0`) + length(x.`1`),
-            'spans', CASE WHEN length(x.`2`) < {least} THEN s.spans ELSE
+            'spans', CASE WHEN {few} THEN s.spans ELSE
               array_append(s.spans, named_struct('start', s.at + length(x.`0`), 'kind', {number}, 'stop', s.at + length(x.`0`) + length(x.`1`))) END),
           s -> s.spans) END)[0]""")
 
@@ -73,11 +90,19 @@ def found_parts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
 def linked_parts(found: DataFrame, scope: int = SCOPE) -> DataFrame:
     """_row and the weak spans that complementary parts stand by."""
     parts = found.where(F.size("weak") > 0).select("_row", F.explode(F.concat("strong", "weak")).alias("part")).select("_row", "part.*")
-    near = Window.partitionBy("_row").orderBy("start").rangeBetween(-scope, scope)
+    # Running values over the parts that start no later, and over those that start no earlier.
+    until = Window.partitionBy("_row").orderBy("start").rangeBetween(Window.unboundedPreceding, 0)
+    since = Window.partitionBy("_row").orderBy(F.desc("start")).rangeBetween(Window.unboundedPreceding, 0)
     is_kind = lambda *kinds: F.col("kind").isin([KINDS.index(k) for k in kinds])
-    by = lambda *kinds: F.max(is_kind(*kinds)).over(near)
-    met = parts.select("*", by("access", "weak_access").alias("id"), by("assign", "hex", "weak_secret").alias("secret"), by("endpoint").alias("place"))
-    kept = met.where((is_kind("weak_access") & F.col("secret")) | (is_kind("weak_secret") & F.col("id") & F.col("place")))
+    sides = {"id": ("access", "weak_access"), "secret": ("assign", "hex", "weak_secret"), "place": ("endpoint",), "bare": ("bare",)}
+    # A bare token within a part of another kind is that part's value.
+    of_others = F.max(F.when(~is_kind("bare"), F.col("stop"))).over(until)
+    parts = parts.select("*", of_others.alias("_others")).where(~is_kind("bare") | F.col("_others").isNull() | (F.col("_others") <= F.col("start"))).drop("_others")
+    last = [F.max(F.when(is_kind(*kinds), F.col("stop"))).over(until).alias(f"{side}_stop") for side, kinds in sides.items()]
+    next_ = [F.min(F.when(is_kind(*kinds), F.col("start"))).over(since).alias(f"{side}_start") for side, kinds in sides.items()]
+    met = parts.select("*", *last, *next_)
+    by = {side: F.coalesce(F.col(f"{side}_stop") >= F.col("start") - scope, F.lit(False)) | F.coalesce(F.col(f"{side}_start") <= F.col("stop") + scope, F.lit(False)) for side in sides}
+    kept = met.where((is_kind("weak_access") & (by["secret"] | by["bare"] & by["place"])) | (is_kind("weak_secret", "bare") & by["id"] & by["place"]))
     return kept.groupBy("_row").agg(F.collect_list(F.struct("start", "kind", "stop")).alias("linked"))
 
 
@@ -105,7 +130,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _statement() -> str:
     """The same spans in DuckDB, one row per match; repeated rows are told apart by a row number."""
     kinds = []
-    for number, (kind, pattern, group, least) in enumerate(PATTERNS):
+    for number, (kind, pattern, group, least) in enumerate(STATEMENT_PATTERNS):
         quoted = "'" + pattern.replace("'", "''") + "'"
         kinds.append(f"""
           SELECT row_id, {number} AS no, '{kind}' AS kind,
