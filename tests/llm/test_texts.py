@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -214,6 +215,26 @@ def test_trees_learn_from_ruled_urls(spark):
     assert len(out) == 150 and sum(r.verdict == "block" for r in out) > 100
 
 
+def test_rare_labels_and_hot_urls_are_sampled(spark, monkeypatch):
+    seen = []
+
+    class Trees(url_filter.GBTClassifier):
+        def fit(self, rows, *more):
+            seen.append({r.label: r for r in rows.groupBy("label").agg(F.count("*").alias("n"), F.sum("weight").alias("weight")).collect()})
+            hot = max(Counter(str(r.features) for r in rows.collect()).values())
+            seen.append(hot)
+            return super().fit(rows, *more)
+
+    monkeypatch.setattr(url_filter, "GBTClassifier", Trees)
+    hot = "http://hot.com/" + "h" * 60
+    rows = [(n, f"http://s{n % 9}.net/es/{n}" if n < 3 else hot if n % 3 == 0 else f"http://s{n}.com/de/{'x' * (n % 50)}/{n}") for n in range(3000)] + [(3000, "http://a.org/")]
+    assert url_filter.filter_urls(spark.createDataFrame(rows, "page_id long, url string"), sample=150).count() == 3001
+    labels, most = seen
+    assert labels[1.0].n == 3 and labels[0.0].n == 147
+    assert labels[1.0].weight == pytest.approx(3) and labels[0.0].weight == pytest.approx(2997)
+    assert 25 < most < 75
+
+
 def brute_nearest(rows, k, every):
     ids = np.array([r[0] for r in rows])
     units = np.array([np.array(r[1]) / np.sqrt((np.array(r[1]) ** 2).sum()) for r in rows])

@@ -1,8 +1,8 @@
 """URL filters: rules by host and path, and gradient-boosted trees on lexical features for the rest.
 
 A rule fits its host and all subdomains, if the path starts with the rule's; the longest wins. URLs that a
-rule decides are the labelled ones: the trees learn from at most about ``SAMPLE`` of them, chosen by hash, and
-decide all others. Features are length, depth, digit ratio, entropy of the signs, number of parameters,
+rule decides are the labelled ones: the trees learn from at most ``SAMPLE`` of them, chosen per label by hash of
+id and URL and weighed by the labels' shares, and decide all others. Features are length, depth, digit ratio, entropy of the signs, number of parameters,
 hyphens and labels of the host, and for the host's last two labels and its last label the share of blocked
 URLs among all labelled ones (smoothed). Only DataFrame functions and Spark's own trees are used.
 
@@ -81,6 +81,18 @@ def _with_rates(rows: DataFrame, key: str, name: str) -> DataFrame:
     return rows.join(F.broadcast(rates) if is_small(rates) else rates, key, "left").fillna(0.5, [name])
 
 
+def sampled(labelled: DataFrame, counts: dict[float, int], key: str, url: str, sample: int) -> DataFrame:
+    """At most ``sample`` rows, half of them at least of the rarer label if it has as many; weights give the labels their shares back."""
+    rare, common = sorted(counts, key=lambda label: (counts[label], label))
+    first = min(counts[rare], max(1, sample // 2))
+    taken = {rare: first, common: min(counts[common], max(1, sample - first))}
+    some = [
+        labelled.where(F.col("label") == label).orderBy(F.xxhash64(key, url)).limit(most).withColumn("weight", F.lit(counts[label] / most))
+        for label, most in taken.items()
+    ]
+    return some[0].unionByName(some[1])
+
+
 def filter_urls(pages: DataFrame, key: str = "page_id", url: str = "url", rules: list[tuple[str, str, str]] = RULES, sample: int = SAMPLE) -> DataFrame:
     """page_id, host, path, rule, verdict."""
     rows = with_features(ruled(parts(pages.select(key, url), url), rules), url)
@@ -89,14 +101,11 @@ def filter_urls(pages: DataFrame, key: str = "page_id", url: str = "url", rules:
     counts = {r["label"]: r["count"] for r in labelled.groupBy("label").count().collect()}
     judged = F.lit(0.0)
     if len(counts) == 2:
-        share = min(1.0, sample / sum(counts.values()))
-        chosen = labelled.where(F.pmod(F.xxhash64(url), F.lit(1_000_000)) < int(share * 1_000_000))
         gather = VectorAssembler(inputCols=FEATURES, outputCol="features")
-        chosen = saved(gather.transform(chosen).select("features", "label").coalesce(4))
-        if chosen.select("label").distinct().count() == 2:
-            model = GBTClassifier(maxIter=8, maxDepth=3, seed=7).fit(chosen)
-            rows = model.transform(gather.transform(rows))
-            judged = F.col("prediction")
+        chosen = saved(gather.transform(sampled(labelled, counts, key, url, sample)).select("features", "label", "weight"))
+        model = GBTClassifier(maxIter=8, maxDepth=3, seed=7, weightCol="weight").fit(chosen)
+        rows = model.transform(gather.transform(rows))
+        judged = F.col("prediction")
     verdict = F.coalesce("_ruled", F.when(judged > 0.5, "block").otherwise("allow")).alias("verdict")
     return rows.select(F.col(key).alias("page_id"), "host", "path", "rule", verdict)
 
