@@ -26,6 +26,7 @@ for name in (
     "mixing",
     "packing",
     "ngram_join",
+    "alignment",
     "substring_dedup",
 ):
     module = importlib.import_module(f"ticketlake.llm.{name}")

@@ -322,15 +322,18 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 STATEMENT = r"""
 WITH docs AS (
   SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words FROM documents),
+tokens AS (
+  SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS pos FROM docs),
 places AS (
-  SELECT doc_id, words, unnest(range(1, len(words) - 18)) AS pos FROM docs WHERE len(words) >= 20),
+  SELECT doc_id, pos, count(*) OVER ahead AS n, string_agg(word, ' ') OVER ahead AS words
+  FROM tokens WINDOW ahead AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING)),
 windows AS (
-  SELECT doc_id, pos, row_number() OVER (PARTITION BY array_to_string(words[pos:pos + 19], ' ') ORDER BY doc_id, pos) AS nth FROM places),
+  SELECT doc_id, pos, row_number() OVER (PARTITION BY words ORDER BY doc_id, pos) AS nth FROM places WHERE n = 20),
 removed AS (
   SELECT DISTINCT doc_id, unnest(range(pos, pos + 20)) AS pos FROM windows WHERE nth > 1),
 marked AS (
   SELECT w.doc_id, w.pos, w.word, r.pos IS NOT NULL AS gone
-  FROM (SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS pos FROM docs) w LEFT JOIN removed r USING (doc_id, pos)),
+  FROM tokens w LEFT JOIN removed r USING (doc_id, pos)),
 kept AS (
   SELECT doc_id, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY pos) FILTER (NOT gone) AS stay FROM marked GROUP BY doc_id)
 SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(stay, '')) AS kept_sha256
