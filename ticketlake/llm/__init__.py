@@ -26,6 +26,7 @@ for name in (
     "mixing",
     "packing",
     "ngram_join",
+    "hard_negatives",
     "alignment",
     "substring_dedup",
 ):
