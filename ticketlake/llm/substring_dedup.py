@@ -38,12 +38,13 @@ from ticketlake.llm.common import is_small, saved, table, text_of
 
 WINDOW, SEED = 20, 10
 #: Words of a run, entries of a bucket, words whose hashes a task remembers.
-RUN, BUCKET, REMEMBERED = 1_500_000, 1_000_000, 200_000
+RUN, BUCKET, REMEMBERED = 1_000_000, 800_000, 150_000
 #: Characters of a word with its space, and words from one anchor to the next, for the number of buckets.
 LETTERS, STEP = 6, 6
 
 _LAST = (1 << 63) - 1
-_SENT = "bucket int, document binary, place binary, high binary, low binary, several binary, done_document binary, done_place binary"
+_SENT = "bucket int, run long, document binary, place binary, high binary, low binary, several binary, done_document binary, done_place binary"
+_MET = "run long, document binary, place binary"
 _FOUND = "document long, digest long, places binary"
 
 
@@ -140,7 +141,7 @@ def _read(cells, dtype) -> np.ndarray:
     return np.concatenate([np.empty(0, dtype), *(np.frombuffer(zstandard.decompress(c), dtype) for c in cells)])
 
 
-def _sent(run: Run, at: np.ndarray, high: np.ndarray, low: np.ndarray, buckets: int, only_first: bool, turn: int) -> pd.DataFrame:
+def _sent(run: Run, at: np.ndarray, high: np.ndarray, low: np.ndarray, buckets: int, only_first: bool, number: int) -> pd.DataFrame:
     """What a run sends to each bucket, and what it has settled itself."""
     owner = run.owner[at]
     document = np.array([r[:2] for r in run.rows], dtype=np.int64).reshape(-1, 2)[owner]
@@ -159,65 +160,73 @@ def _sent(run: Run, at: np.ndarray, high: np.ndarray, low: np.ndarray, buckets:
     rows, nothing = [], _packed(np.empty(0, np.int64))
     for b in np.flatnonzero(edges[1:] > edges[:-1]).tolist():
         part = at[edges[b] : edges[b + 1]]
-        rows.append((b, _packed(document[part]), _packed(place[part]), _packed(high[part]), nothing if low is high else _packed(low[part]), _packed(several[edges[b] : edges[b + 1]]), nothing, nothing))
+        rows.append((b, number, _packed(document[part]), _packed(place[part]), _packed(high[part]), nothing if low is high else _packed(low[part]), _packed(several[edges[b] : edges[b + 1]]), nothing, nothing))
     if done.any():
-        rows.append((turn % buckets, nothing, nothing, nothing, nothing, nothing, _packed(document[done]), _packed(place[done])))
+        rows.append((number % buckets, number, nothing, nothing, nothing, nothing, nothing, _packed(document[done]), _packed(place[done])))
     return pd.DataFrame(rows, columns=[c.split()[0] for c in _SENT.split(", ")])
 
 
 def _met(sent: DataFrame, only_first: bool) -> DataFrame:
-    """document, digest, places: where keys occur again (``only_first``: but for the first place), else all places of such keys."""
+    """run, document, place: where keys occur again (``only_first``: but for the first place), else all places of such keys."""
 
     def meet(group: pd.DataFrame) -> pd.DataFrame:
         high, low = _read(group["high"], np.uint64), _read(group["low"], np.uint64)
-        document, place = _read(group["document"], np.int64).reshape(-1, 2), _read(group["place"], np.uint32)
-        several = _read(group["several"], np.bool_)
+        places = [_read([c], np.uint32) for c in group["place"]]
+        document, place = _read(group["document"], np.int64).reshape(-1, 2), np.concatenate(places)
+        run, several = np.repeat(group["run"].to_numpy(), [len(p) for p in places]), _read(group["several"], np.bool_)
         low = low if len(low) else high
         order = np.lexsort((place, document[:, 1], document[:, 0], low, high))
-        document, place, several, high, low = document[order], place[order], several[order], high[order], low[order]
+        document, place, run, several, high, low = (x[order] for x in (document, place, run, several, high, low))
         begins = np.append(True, (high[1:] != high[:-1]) | (low[1:] != low[:-1]))[: len(high)]
         number = np.cumsum(begins) - 1
         first = np.flatnonzero(begins)[number]
-        other = (place != place[first]) | (document != document[first]).any(axis=1)
-        if only_first:
-            hit = other
-        else:
-            hit = (np.bincount(number, other | several, minlength=int(begins.sum())) > 0)[number]
-        document = np.concatenate([document[hit], _read(group["done_document"], np.int64).reshape(-1, 2)])
-        place = np.concatenate([place[hit], _read(group["done_place"], np.uint32)])
-        order = np.lexsort((place, document[:, 1], document[:, 0]))
-        document, place = document[order], place[order]
-        starts = np.flatnonzero(np.append(True, (document[1:] != document[:-1]).any(axis=1))[: len(document)])
-        places = [p.tobytes() for p in np.split(place, starts[1:])] if len(place) else []
-        return pd.DataFrame({"document": document[starts, 0], "digest": document[starts, 1], "places": places})
+        hit = (place != place[first]) | (document != document[first]).any(axis=1)
+        if not only_first:
+            hit = (np.bincount(number, hit | several, minlength=int(begins.sum())) > 0)[number]
+        document, place, run = document[hit], place[hit], run[hit]
+        order = np.argsort(run, kind="stable")
+        runs, starts = np.unique(run[order], return_index=True)
+        rows = [(r, _packed(document[part]), _packed(place[part])) for r, part in zip(runs, np.split(order, starts[1:]))] if len(runs) else []
+        rows += [(r, d, p) for r, d, p in zip(group["run"], group["done_document"], group["done_place"]) if len(_read([p], np.uint32))]
+        return pd.DataFrame(rows, columns=["run", "document", "place"])
 
-    return sent.groupBy("bucket").applyInPandas(meet, _FOUND)
+    return sent.groupBy("bucket").applyInPandas(meet, _MET)
 
 
 def _by_document(met: DataFrame) -> DataFrame:
-    return saved(met.groupBy("document", "digest").agg(F.collect_list("places").alias("places")))
+    """document, digest, places of what the buckets answer to each run."""
+
+    def gather(group: pd.DataFrame) -> pd.DataFrame:
+        document, place = _read(group["document"], np.int64).reshape(-1, 2), _read(group["place"], np.uint32)
+        order = np.lexsort((place, document[:, 1], document[:, 0]))
+        document, place = document[order], place[order]
+        starts = np.flatnonzero(np.append(True, (document[1:] != document[:-1]).any(axis=1))[: len(document)])
+        return pd.DataFrame({"document": document[starts, 0], "digest": document[starts, 1], "places": [p.tobytes() for p in np.split(place, starts[1:])]})
+
+    # Rows equal in id and text get equal answers, whichever runs they are in.
+    return saved(met.groupBy("run").applyInPandas(gather, _FOUND).groupBy("document", "digest").agg(F.min("places").alias("places")))
 
 
-def _places(cells) -> np.ndarray:
-    return np.unique(np.concatenate([np.empty(0, np.uint32), *(np.frombuffer(c, np.uint32) for c in cells)]))
+def _places(cell: bytes) -> np.ndarray:
+    return np.frombuffer(cell, np.uint32)
 
 
 def _runs(rows: DataFrame, keys: Callable[[Run], tuple], buckets: int, only_first: bool, window: int, seed: int) -> DataFrame:
     """Runs of documents, each with its keys sent to buckets; rows: document, digest, text, and places if any."""
 
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        run, turn = Run(window, seed), TaskContext.get().partitionId()
+        run, number = Run(window, seed), TaskContext.get().partitionId() << 32
         for batch in batches:
             places = batch["places"] if "places" in batch else [None] * len(batch)
             for document, digest, text, some in zip(batch["document"], batch["digest"], batch["text"], places):
                 run.add((document, digest, some), words_of(text))
                 if run.size >= RUN:
                     run.layout()
-                    yield _sent(run, *keys(run), buckets, only_first, turn := turn + 1)
+                    yield _sent(run, *keys(run), buckets, only_first, number := number + 1)
                     run.clear()
         if run.size:
             run.layout()
-            yield _sent(run, *keys(run), buckets, only_first, turn + 1)
+            yield _sent(run, *keys(run), buckets, only_first, number + 1)
 
     return rows.mapInPandas(send, _SENT)
 
@@ -257,7 +266,7 @@ def repeated_windows(docs: DataFrame, key: str = "doc_id", text: str = "text", w
     letters = rows.agg(F.sum(F.length("text"))).head()[0] or 0
     buckets = lambda n: int(-(-n // BUCKET) or 1)
     seeds = _by_document(_met(_runs(rows, _anchors, buckets(letters // (LETTERS * STEP)), False, window, seed), False))
-    held = seeds.agg(F.sum(F.aggregate("places", F.lit(0).cast("bigint"), lambda n, c: n + F.octet_length(c)))).head()[0] or 0
+    held = seeds.agg(F.sum(F.octet_length("places"))).head()[0] or 0
     return _by_document(_met(_runs(_with_places(rows, seeds), _extended, buckets(held // 4 * STEP), True, window, seed), True))
 
 
