@@ -222,7 +222,7 @@ def _pivots(rows: DataFrame, total: int, largest: float) -> np.ndarray:
 
 def cover_trees(rows: DataFrame, every: int, k: int) -> DataFrame | None:
     """block, tree, centre, radius, and the anchors of the block with the bounds that it gives them."""
-    total, largest = rows.agg(F.count("*"), F.max(F.aggregate("v", F.lit(0.0), lambda n, x: n + x * x))).head()
+    total, largest = rows.agg(F.count("*"), F.max(F.aggregate("v", F.lit(0.0), lambda n, x: n + x.cast("double") * x))).head()
     if not total:
         return None
     pivots = _pivots(rows, total, largest)
