@@ -38,7 +38,7 @@ from ticketlake.llm.common import is_small, saved, table, text_of
 
 WINDOW, SEED = 20, 10
 #: Words of a run, entries of a bucket, words whose hashes a task remembers.
-RUN, BUCKET, REMEMBERED = 1_000_000, 800_000, 150_000
+RUN, BUCKET, REMEMBERED = 500_000, 400_000, 150_000
 #: Characters of a word with its space, and words from one anchor to the next, for the number of buckets.
 LETTERS, STEP = 6, 6
 
