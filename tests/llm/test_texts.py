@@ -293,3 +293,19 @@ def test_hilbert_curve_steps_by_one():
 @pytest.mark.parametrize("operator", [secret_scan.secret_spans, lambda d: token_counts.token_counts(d, __import__("public_tokenizers").path("piece_bpe_32k.model"))])
 def test_empty_tables(documents, operator):
     assert operator(documents()).count() == 0
+
+
+def test_runs_of_many_words_are_scanned(documents):
+    """Long dotted, hyphenated and snake-cased runs: no deep stack, and what follows them is found."""
+    tail = " db_user=anna password_hint host=db.example.com AKIA" + "A1B2" * 5
+    texts = [word * 20_000 + tail for word in ("a.", "ab-", "key_")]
+    found = secret_scan.secret_spans(documents(*enumerate(texts))).collect()
+    assert [r.n_access for r in found] == [1, 1, 1]
+
+
+def test_a_part_is_not_its_own_complement(documents):
+    texts = ["access_key=abcdefgh https://example.com", "user=anna sort_key=created_at", "login: form, cache_key = frontpage"]
+    found = secret_scan.secret_spans(documents(*enumerate(texts))).collect()
+    assert all(not r.linked for r in found)
+    both = secret_scan.secret_spans(documents((1, "access_key_id=abcdefgh secret_access_key=ijklmnop host=db.example.com"))).collect()
+    assert len(both[0].linked) == 2

@@ -4,7 +4,8 @@ Strong kinds are ``assign`` (a keyword given a value of 6 or more signs), ``acce
 (24 or more hexadecimal digits). Weak kinds are candidates only, with names in any case, with words in front
 and in quotes: ``weak_access`` (an account name) is reported where a secret stands within ``SCOPE`` code
 points, or a bare token and an endpoint do; ``weak_secret`` and ``bare`` (20 or more signs of high entropy without a label) where an
-access identifier does and so does an endpoint (an address or a named host). Strong parts count as the
+access identifier does and so does an endpoint (an address or a named host). A part is never its own complement: an
+``access_key`` names an identifier, and a key is a secret only as a secret, private, account, shared or signing key. Strong parts count as the
 complementary part too. Parts meet their neighbours by running ends and starts in a document, which is
 an interval join that writes no pairs. The SQL statement keeps the narrower weak kinds of before, and measures from start to
 start: it fixes the strong spans, and the linked ones only where both rules agree.
@@ -26,16 +27,18 @@ from ticketlake.llm.common import is_small, saved, table, text_of
 SCOPE = 200
 
 _VALUE = r"""["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
-#: Any case, and words in front of a name: DB_PASS, aws_secret_access_key, spring.datasource.username.
-_NAME = r"(?i)(?<![A-Za-z0-9])(?:[A-Za-z0-9]+[_.-])*"
+#: Any case, and words in front of a name: DB_PASS, aws_secret_access_key, spring.datasource.username. No group is
+#: repeated and up to 64 signs are looked at, so a run of any number of words takes linear time and no deep stack; of a
+#: longer run the span holds the last words.
+_NAME = r"(?i)(?<![A-Za-z0-9])(?:[A-Za-z0-9][A-Za-z0-9_.-]{0,62}[_.-])?"
 #: Kind, pattern, group whose length counts, least length of it. Strong kinds first.
 PATTERNS = [
     ("assign", r"([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])" + _VALUE, 2, 6),
     ("access", r"AKIA[A-Z0-9]{16,}", 0, 20),
     ("hex", r"[0-9a-f]{24,}", 0, 24),
     ("weak_access", _NAME + r"(user|user[_-]?name|user[_-]?id|login|account|account[_-]?(?:name|id)|client[_-]?id|access[_-]?key[_-]?id|key[_-]?id|(?<!secret[_-]?)access[_-]?key)" + _VALUE, 2, 3),
-    ("weak_secret", _NAME + r"(pwd|pass|pass[_-]?phrase|(?:secret[_-]?)?(?:access[_-]?)?key|account[_-]?key|auth|credentials?)" + _VALUE, 2, 6),
-    ("endpoint", _NAME + r"""(?:(?:host|host[_-]?name|server|endpoint)(?:["']?\x20*[:=]|/)\x20*["']?|[a-z][a-z0-9+.-]*://)([A-Za-z0-9.-]+)""", 1, 3),
+    ("weak_secret", _NAME + r"(pwd|pass|pass[_-]?phrase|(?:secret|private|account|shared|signing)[_-]?(?:access[_-]?)?key|auth|credentials?)" + _VALUE, 2, 6),
+    ("endpoint", _NAME + r"""(?:(?:host|host[_-]?name|server|endpoint)(?:["']?\x20*[:=]|/)\x20*["']?|[a-z][a-z0-9+.-]{0,30}://)([A-Za-z0-9.-]+)""", 1, 3),
     ("bare", r"(?<![A-Za-z0-9+/_=-])(?=[A-Z0-9+/_-]*[a-z])(?=[a-z0-9+/_-]*[A-Z])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{20,}={0,2}", 0, 20),
 ]
 #: Weak kinds as the SQL statement has them: narrower, without name prefixes, other cases, quoted endpoint keys and bare tokens.
