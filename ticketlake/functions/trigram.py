@@ -40,28 +40,46 @@ def set_similarity(left: Column, right: Column) -> Column:
 def extent_similarity(wanted: Column, ordered: Column) -> Column:
     """Best similarity of a trigram set to a contiguous extent of the other, ordered trigrams.
 
-    A best extent starts and ends on a wanted trigram, so only those positions are tried.
+    A best extent starts on a wanted trigram. From each such start, one walk to the end counts the different
+    trigrams and the wanted ones among them; a trigram is new if its last occurrence lies before the start. A
+    start is passed over when the wanted trigrams left from there can't beat the best extent found.
     """
 
-    def best(pair: Column, hits: Column) -> Column:
-        return F.array_max(
-            F.flatten(
-                F.transform(
-                    hits,
-                    lambda i: F.transform(
-                        F.filter(hits, lambda j: j >= i),
-                        lambda j: _overlap(pair["wanted"], F.slice(pair["ordered"], i, j - i + 1)),
-                    ),
-                )
-            )
-        )
-
-    def positions(pair: Column) -> Column:
-        places = F.when(F.size(pair["ordered"]) > 0, F.sequence(F.lit(1), F.size(pair["ordered"])))
-        return F.filter(places, lambda i: F.array_contains(pair["wanted"], F.element_at(pair["ordered"], i)))
+    def marked(pair: Column) -> Column:
+        """Of each trigram the place of its last occurrence before (0: none), and whether it is wanted."""
+
+        def mark(gram: Column, at: Column) -> Column:
+            back = F.array_position(F.reverse(F.slice(pair["ordered"], F.lit(1), at)), gram)
+            before = F.when(back > 0, at - back + 1).otherwise(F.lit(0)).cast("int")
+            return F.struct(before.alias("before"), F.array_contains(pair["wanted"], gram).alias("hit"))
+
+        return F.transform(pair["ordered"], mark)
+
+    def walk(marks: Column, size: Column, start: Column) -> Column:
+        """Best similarity of an extent that starts here."""
+
+        def step(state: Column, mark: Column) -> Column:
+            new = mark["before"] < start
+            hits = state["hits"] + F.when(new & mark["hit"], F.lit(1)).otherwise(F.lit(0))
+            count = state["count"] + F.when(new, F.lit(1)).otherwise(F.lit(0))
+            return F.struct(hits.alias("hits"), count.alias("count"), F.greatest(state["best"], hits.cast("double") / (size + count - hits)).alias("best"))
+
+        begun = F.struct(F.lit(0).alias("hits"), F.lit(0).alias("count"), F.lit(0.0).alias("best"))
+        return F.aggregate(F.slice(marks, start, F.size(marks) - start + 1), begun, step, lambda state: state["best"])
+
+    def best(marks: Column, size: Column) -> Column:
+        places = F.filter(F.transform(marks, lambda m, at: F.when(m["hit"], at + 1)), lambda at: at.isNotNull())
+        starts = lambda found: F.transform(found, lambda at, n: F.struct(at.alias("at"), (F.size(found) - n).alias("left")))
+
+        def try_start(known: Column, start: Column) -> Column:
+            hopeful = start["left"].cast("double") / size > known
+            return F.when(hopeful, F.greatest(known, walk(marks, size, start["at"]))).otherwise(known)
+
+        return _let(places, lambda found: F.aggregate(starts(found), F.lit(0.0), try_start))
 
     pair = F.struct(wanted.alias("wanted"), ordered.alias("ordered"))
-    return F.coalesce(_let(pair, lambda p: _let(positions(p), lambda hits: best(p, hits))), F.lit(0.0))
+    found = _let(pair, lambda p: _let(marked(p), lambda marks: best(marks, F.size(p["wanted"]))))
+    return F.coalesce(found, F.lit(0.0))
 
 
 def trigram_similarity(left: Column, right: Column) -> Column:

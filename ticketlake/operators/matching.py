@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ticketlake.functions import text
 from ticketlake.functions.fixed_values import TERMINAL_STATUSES
-from ticketlake.operators.ordering import ordered
+from ticketlake.operators.ordering import ordered, with_rank_within
 
 # Queue sort fields and their default directions.
 QUEUE_SORTS = {
@@ -82,8 +82,9 @@ def price_context(eligible: DataFrame) -> DataFrame:
         .where(F.col("value").isNotNull())
         .distinct()
     )
-    place = Window.partitionBy("normalized_label", "attribute").orderBy("_number", "value")
-    return values.withColumn("position", F.row_number().over(place)).drop("_number")
+    return with_rank_within(values, ["normalized_label", "attribute"], ["_number", "value"], "position").select(
+        "normalized_label", "attribute", "value", "position"
+    )
 
 
 def group_stores(eligible: DataFrame, stores: DataFrame, brands: DataFrame) -> DataFrame:

@@ -70,6 +70,25 @@ def earliest_by(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Dat
     return df.groupBy(*keys).agg(best).select(*keys, "_row.*")
 
 
+def with_rank_within(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "rank") -> DataFrame:
+    """1-based position under a total order within each key.
+
+    Rows are range-partitioned by key and order, so a hot key spans many chunks; each chunk counts for itself and
+    starts after the chunks before it.
+    """
+    chunks = durable(df.repartitionByRange(*keys, *order).withColumn("_chunk", F.spark_partition_id()))
+    inside = Window.partitionBy(*keys, "_chunk").orderBy(*order)
+    across = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    # One row for each chunk of a key.
+    starts = (
+        chunks.groupBy(*keys, "_chunk")
+        .agg(F.count("*").alias("_n"))
+        .select(*keys, "_chunk", F.coalesce(F.sum("_n").over(across), F.lit(0)).alias("_before"))
+    )
+    ranked = chunks.withColumn("_inside", F.row_number().over(inside)).join(starts, [*keys, "_chunk"])
+    return ranked.withColumn(name, (F.col("_inside") + F.col("_before")).cast("int")).drop("_inside", "_before", "_chunk")
+
+
 def running_max_before(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, name: str) -> DataFrame:
     """Largest ``value`` among earlier rows of the same (non-null) key.
 
