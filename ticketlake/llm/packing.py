@@ -4,8 +4,9 @@ A document is its token ids and then id 0. Documents longer than a sequence are
 last piece may be shorter. Full pieces are sequences of their own. Every other piece goes where the sum
 of squares of N(g) grows least, N(g) being the number of open sequences with g tokens left (a new
 sequence is one of the choices; of equal choices the tightest gap). Pieces are dealt by hash into leaves
-of about ``LEAF`` pieces, packed side by side, long pieces first. Sequences that a leaf leaves open are
-then pieces themselves, packed in the same way through a tree of leaves, so that only the last few stay open.
+of about ``LEAF`` pieces, packed side by side, long pieces first. Sequences that a leaf leaves open, and
+that the smallest open one would fit into, are then pieces themselves, dealt anew and packed in the same way, until one leaf
+holds them all or a level joins nothing. A sequence is named after one of its pieces.
 
 Null texts are empty texts, which are the one id 0. Repeated rows are pieces of their own; rows may repeat an
 id. An empty table gives an empty result. Other columns play no part. Results of a rerun are equal, as leaves
@@ -28,8 +29,8 @@ from ticketlake.llm.common import saved, table, text_of
 
 CAPACITY = 2048
 LEAF = 20_000
-#: Different words whose ids a task remembers.
-REMEMBERED = 600_000
+#: Different words whose ids a task remembers, and the most characters of one.
+REMEMBERED, REMEMBERED_LENGTH = 600_000, 64
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -79,15 +80,16 @@ class WordIds(dict):
         else:
             ids = [i for part in self.parts(word) for i in self.piece(part.encode() + b"\xff")]
             found = array("I", ids).tobytes()
-        self[word] = found
+        if len(word) <= REMEMBERED_LENGTH:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[word] = found
         return found
 
     def of(self, text: str) -> bytes:
         """Ids of the text, then id 0."""
         if self.odd(text):  # what Python splits at and the tokenizer doesn't
             return array("I", [*self.tokenizer.encode(text, add_special_tokens=False).ids, 0]).tobytes()
-        if len(self) > REMEMBERED:
-            self.clear()
         return b"".join(map(self.__getitem__, text.split())) + b"\0\0\0\0"
 
 
@@ -135,12 +137,13 @@ def sum_of_squares(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.nda
 
 
 def _packed(items: DataFrame, capacity: int) -> DataFrame:
-    """items: item (unique long), length, leaf. Adds bin (unique among all leaves) and offset."""
+    """items: item (unique long), length, leaf. Adds bin, which is the first item in it, and offset."""
 
     def leaf(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["length", "item"], ascending=[False, True], kind="stable")
         bins, offsets = sum_of_squares(frame["length"].to_numpy(), capacity)
-        return pd.DataFrame({"item": frame["item"], "length": frame["length"], "bin": frame["leaf"] * (1 << 32) + bins, "offset": offsets})
+        items = frame["item"].to_numpy()
+        return pd.DataFrame({"item": items, "length": frame["length"].to_numpy(), "bin": items[np.unique(bins, return_index=True)[1]][bins], "offset": offsets})
 
     return items.groupBy("leaf").applyInPandas(leaf, "item long, length long, bin long, offset long")
 
@@ -150,12 +153,12 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, leaf_size: int = LEAF) ->
     pieces = saved(pieces.withColumn("item", F.monotonically_increasing_id()))
     short = pieces.where(F.col("length") < capacity).select("item", "length")
     placed = short.select("item", "length", F.col("item").alias("bin"), F.lit(0).cast("bigint").alias("offset"))
-    open_bins, level, before = short, 0, None
+    open_bins, level = short, 0
     while count := open_bins.count():
         leaves = -(-count // leaf_size)
-        leaf = F.pmod(F.xxhash64("item", F.lit(level)), F.lit(leaves)) + level * (1 << 20)
-        moves = _packed(open_bins.withColumn("leaf", leaf), capacity)
-        moves = moves.select(F.col("item").alias("bin"), F.col("bin").alias("_into"), F.col("offset").alias("_shift"))
+        leaf = F.pmod(F.xxhash64("item", F.lit(level)), F.lit(leaves))
+        moves = saved(_packed(open_bins.withColumn("leaf", leaf), capacity))
+        moves = moves.where("item <> bin").select(F.col("item").alias("bin"), F.col("bin").alias("_into"), F.col("offset").alias("_shift"))
         placed = saved(
             placed.join(moves, "bin", "left").select(
                 "item",
@@ -164,11 +167,12 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, leaf_size: int = LEAF) ->
                 (F.col("offset") + F.coalesce("_shift", F.lit(0))).alias("offset"),
             )
         )
-        if leaves == 1 or before and count > 0.95 * before:
-            break  # what is left open doesn't fit together
-        level, before = level + 1, count
+        if leaves == 1 or moves.isEmpty():
+            break
         filled = placed.groupBy(F.col("bin").alias("item")).agg(F.sum("length").alias("length"))
-        open_bins = saved(filled.where(F.col("length") < capacity))
+        filled = saved(filled.where(F.col("length") < capacity))
+        smallest = filled.agg(F.min("length")).head()[0] or capacity
+        open_bins, level = filled.where(F.col("length") <= capacity - smallest), level + 1
     out = pieces.join(placed.drop("length"), "item", "left")
     alone = -1 - F.col("item")
     return out.select(*pieces.drop("item").columns, F.coalesce("bin", alone).alias("sequence_id"), F.coalesce("offset", F.lit(0)).cast("bigint").alias("offset"))
