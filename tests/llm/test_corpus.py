@@ -10,7 +10,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from ticketlake.llm import exact_dedup, mixing, ngram_join, packing
+from ticketlake.llm import exact_dedup, mixing, ngram_join, packing, toxicity
+from ticketlake.llm.common import with_row_number
 
 
 def test_exact_dedup_keeps_longest_original_then_least_id(documents):
@@ -23,7 +24,7 @@ def test_exact_dedup_keeps_longest_original_then_least_id(documents):
     assert by[1]["group_size"] == 2 and by[1]["kept"]
     assert by[3]["text_sha256"] == hashlib.sha256(b"ab").hexdigest()
     kept = exact_dedup.drop_exact_duplicates(docs.withColumn("kept", F.lit("mine")))
-    assert sorted((r.doc_id or 0) for r in kept.collect()) == [0, 1, 2, 7] and kept.columns[-1] == "kept"
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 2, 7] and kept.columns[-1] == "kept"
 
 
 def test_exact_dedup_without_broadcast(documents, monkeypatch):
@@ -75,9 +76,38 @@ def test_links_equal_brute_force(documents, words, monkeypatch, shard):
 
 def test_one_document_of_each_component_stays(documents, words):
     text = words(60)
-    docs = documents((3, text), (2, text + " more"), (9, words(50)), (9, "again"), (None, text))
-    kept = ngram_join.drop_near_duplicates(docs).collect()
-    assert sorted((r.doc_id or 0) for r in kept) == [0, 2, 9]
+    other = words(50)
+    docs = documents((3, text), (2, text + " more"), (9, other), (9, "again"), (None, text), (None, words(40)))
+    kept = ngram_join.drop_near_duplicates(docs.withColumn("row", F.lit(1))).collect()
+    # Rows of one id, and rows without one, are rows of their own.
+    assert sorted((r.doc_id or 0) for r in kept) == [0, 2, 9, 9]
+    assert {r.text for r in kept if r.doc_id == 9} == {other, "again"}
+
+
+def test_rows_are_numbered_whatever_their_ids(documents):
+    docs = documents((5, "a"), (5, "b"), (None, "c"), (None, "c"), (7, "d"))
+    numbered = {(r.doc_id, r.text): r.row for r in with_row_number(docs, "row", "doc_id", "text").collect()}
+    assert numbered[7, "d"] == 7 and numbered[5, "a"] < numbered[5, "b"] < numbered[None, "c"]
+    far = documents(((1 << 63) - 1, "a"), (1, "b"), (1, "c"))
+    assert len({r.row for r in with_row_number(far, "row").collect()}) == 3
+
+
+def test_exact_duplicates_go_by_rows(documents):
+    docs = documents((1, "clean words here"), (1, "other clean words"), (2, "cleanwordshere"), (None, "no id"), (None, "no id"), (4, "x  y"), (4, "x y "), (6, None), (7, " "))
+    docs = docs.withColumn("found", F.lit(1)).withColumn("sha", F.lit("s"))
+    kept = exact_dedup.drop_exact_duplicates(docs)
+    assert kept.columns == docs.columns
+    # Of equal rows in id and length the least text stays; the blank text is longer than none.
+    expected = [(1, "clean words here"), (1, "other clean words"), (4, "x  y"), (7, " "), (None, "no id")]
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted(expected, key=str)
+
+
+def test_toxic_rows_go_by_their_texts(spark, documents, words):
+    texts = [words(30) + (" idiot" if n % 3 == 0 else "") for n in range(300)]
+    labels = spark.createDataFrame([(n, int(n % 3 == 0)) for n in range(300)], "doc_id long, toxic int")
+    more = [(None, words(20) + " idiot"), (None, words(20)), (1, words(20) + " idiot"), (900, None)]
+    kept = toxicity.drop_toxic(documents(*enumerate(texts), *more), labels).collect()
+    assert not any("idiot" in (r.text or "") for r in kept) and len(kept) == 200 + 2
 
 
 def test_targets_are_shared_until_none_is_above(spark):
@@ -104,6 +134,23 @@ def test_mix_meets_targets_and_reruns_agree(documents, words):
     assert copies == {r["doc_id"]: r["copies"] for r in out if r["copies"]}
 
 
+@pytest.mark.parametrize("key", [None, 4])
+def test_rows_that_share_an_id_are_mixed_one_by_one(documents, words, key):
+    rows = [(key, words(n % 9 + 1), f"s{n % 2}") for n in range(300)] + [(n, words(5), "s0") for n in range(10, 40)]
+    docs = documents(*rows).withColumn("times", F.lit(1)).withColumn("row", F.lit(2))
+    out = [r.asDict() for r in mixing.mix(docs).collect()]
+    taken, target = defaultdict(int), {}
+    for r in out:
+        taken[r["source"]] += r["taken"]
+        target[r["source"]] = r["target"]
+    assert len(out) == len(rows) and all(abs(taken[s] - target[s]) <= 9 for s in target)
+    assert all(r["taken"] in (0, r["size"], 2 * r["size"]) for r in out)
+    assert sorted(map(str, out)) == sorted(str(r.asDict()) for r in mixing.mix(docs.repartition(7)).collect())
+    mixed = mixing.mixed_documents(docs)
+    assert mixed.columns == docs.columns
+    assert sum(len((r.text or "").split()) for r in mixed.collect()) == sum(taken.values())
+
+
 def test_pieces_are_the_tokenizers_and_sequences_have_no_gaps(spark, documents, words):
     from tokenizers import Tokenizer
 
@@ -150,7 +197,15 @@ def test_leaves_combine(spark, monkeypatch):
     assert len(out) <= 1.05 * sum(r.filled for r in out) / 100
 
 
-@pytest.mark.parametrize("operator", [exact_dedup.exact_dedup, ngram_join.linked_documents, mixing.mix, lambda d: packing.packed_documents(d, packing.tokenizer_path())])
+def test_small_leaves_end_and_keep_every_piece(spark):
+    rows = spark.range(400).select(F.col("id").alias("doc_id"), (F.col("id") % 37 + 50).alias("length")).unionByName(spark.range(400, 440).select(F.col("id").alias("doc_id"), F.lit(1).cast("long").alias("length")))
+    out = packing.pack(rows, capacity=100, leaf_size=7)
+    assert out.count() == 440 and out.select("doc_id").distinct().count() == 440
+    for r in out.groupBy("sequence_id").agg(F.sum("length").alias("filled"), F.max(F.col("offset") + F.col("length")).alias("end")).collect():
+        assert r.filled == r.end <= 100
+
+
+@pytest.mark.parametrize("operator", [exact_dedup.drop_exact_duplicates, ngram_join.drop_near_duplicates, mixing.mixed_documents, exact_dedup.exact_dedup, ngram_join.linked_documents, mixing.mix, lambda d: packing.packed_documents(d, packing.tokenizer_path())])
 def test_empty_tables(documents, operator):
     assert operator(documents()).count() == 0
 

@@ -9,6 +9,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ticketlake.operators.ordering import with_rank
+
 #: Characters of [\x20\x09-\x0D]: the white space that the text operators know.
 SPACES = " \t\n\x0b\x0c\r"
 #: A side of a join is broadcast only when it was counted and has at most so many (narrow) rows.
@@ -60,9 +62,36 @@ def narrowed(df: DataFrame, keys: DataFrame, on: Sequence[str], how: str) -> Dat
     return df.join(F.broadcast(keys) if is_small(keys) else keys, list(on), how)
 
 
-def one_row_per_id(df: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Repeated rows of an id are reduced to one; other rows, the usual case, aren't shuffled."""
-    again = saved(df.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").select(key))
-    if again.isEmpty():
-        return df
-    return narrowed(df, again, [key], "left_anti").unionByName(narrowed(df, again, [key], "left_semi").dropDuplicates([key]))
+def free_name(wanted: str, columns: Sequence[str]) -> str:
+    """A column name that is not in use."""
+    used = {c.lower() for c in columns}
+    while wanted.lower() in used:
+        wanted = "_" + wanted
+    return wanted
+
+
+def with_row_number(docs: DataFrame, name: str, key: str = "doc_id", *order: str) -> DataFrame:
+    """Adds a long that each row has for itself: its id, where no other row has it.
+
+    Rows without an id and rows that share one are numbered after the greatest id, by id, ``order`` and place. Where that leaves the
+    range of a long, all rows are numbered anew. Only rows to be numbered are sorted; rows that get each other's numbers
+    in a rerun are equal in id and ``order``.
+    """
+    ids = F.col(key).cast("bigint")
+    place = free_name("place", docs.columns)
+    order_by = [ids.asc_nulls_last(), *(F.col(c).asc_nulls_first() for c in order), F.col(place)]
+
+    def ranked(rows: DataFrame, start: int) -> DataFrame:
+        found = with_rank(rows.withColumn(place, F.monotonically_increasing_id()), order_by, name)
+        return found.withColumn(name, F.col(name) + F.lit(start)).drop(place)
+
+    counted = saved(docs.groupBy(ids.alias(name)).agg(F.count("*").alias("rows")).where(f"rows > 1 OR {name} IS NULL"))
+    if counted.isEmpty():
+        return docs.withColumn(name, ids)
+    greatest = docs.agg(F.max(ids)).head()[0] or 0
+    if greatest + counted.agg(F.sum("rows")).head()[0] >= 1 << 63:
+        return ranked(docs, -(1 << 62))
+    again = counted.select(name).where(F.col(name).isNotNull())
+    known, unknown = docs.withColumn(name, ids).where(F.col(name).isNotNull()), docs.where(ids.isNull())
+    alone = narrowed(known, again, [name], "left_anti")
+    return alone.unionByName(ranked(narrowed(known, again, [name], "left_semi").drop(name).unionByName(unknown), max(greatest, 0)))

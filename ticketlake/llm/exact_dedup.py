@@ -8,7 +8,7 @@ that a level reads contents of survivors only; else the level hashes in the scan
 Texts are equal when identical after white space ``[\\x20\\x09-\\x0D]`` is deleted. Null texts are empty
 texts, and equal to each other. Of equal texts the row with most code points stays, then the one
 with the smallest id; null ids come last. Rows that repeat an id count one by one in ``group_size``, and
-share the decision of their id. An empty table gives an empty result. Other columns play no part.
+share the decision of their id; ``drop_exact_duplicates`` decides by rows. Very long texts are read whole. An empty table gives an empty result. Other columns play no part.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticketlake.llm.common import SPACES, is_small, narrowed, one_row_per_id, saved, table, text_of
+from ticketlake.llm.common import SPACES, is_small, saved, table, text_of
 
 #: Characters of the second level's key.
 PREFIX = 64
@@ -41,7 +41,7 @@ def _refined(rows: DataFrame, survivors: DataFrame, on: list[str], name: str, ke
 
 
 def duplicate_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per group of two or more equal texts: text_sha256, keep_id, group_size."""
+    """One row per group of two or more equal texts: text_sha256, keep_id, keep_points (its code points), group_size."""
     rows = docs.select(F.col(key).alias("_id"), F.length(text_of(text)).alias("_points"), normalised(text).alias("_text"))
     rows = rows.withColumn("_length", F.length("_text"))
     several = lambda df, keys: saved(df.groupBy(*keys).count().where("count > 1").select(*keys))
@@ -52,7 +52,7 @@ def duplicate_classes(docs: DataFrame, key: str = "doc_id", text: str = "text")
     whole = _refined(rows, prefixes, ["_length", "_prefix"], "text_sha256", digest(F.col("_text")))
     first = F.min(F.struct(-F.col("_points"), F.col("_id").isNull(), F.col("_id")))
     groups = whole.groupBy("text_sha256").agg(first.alias("_first"), F.count("*").alias("group_size"))
-    return groups.where("group_size > 1").select("text_sha256", F.col("_first._id").alias("keep_id"), "group_size")
+    return groups.where("group_size > 1").select("text_sha256", F.col("_first._id").alias("keep_id"), (-F.col("_first.col1")).alias("keep_points"), "group_size")
 
 
 def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -71,9 +71,17 @@ def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
 
 
 def drop_exact_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents that stay, with all their columns, one row per id. Rows without an id can't be named, and stay."""
-    dropped = saved(exact_dedup(docs, key, text).where("not kept").select(key).distinct())
-    return one_row_per_id(narrowed(docs, dropped, [key], "left_anti"), key)
+    """The documents that stay, with all their columns: of each group of equal texts one row, whatever ids repeat or lack.
+
+    Of several rows that have the id and the length of the one that stays, the least text stays.
+    """
+    classes = saved(duplicate_classes(docs, key, text)).select("text_sha256", F.struct("keep_id", "keep_points").alias("class"))
+    # The columns of a row stay in a struct, so that none has the name of a working column.
+    rows = docs.select(F.struct("*").alias("row"), F.col(key).alias("id"), F.col(text).alias("text")).withColumn("sha", digest(normalised("text")))
+    marked = rows.join(F.broadcast(classes) if is_small(classes) else classes, F.col("sha") == F.col("text_sha256"), "left")
+    first = F.col("id").eqNullSafe(F.col("class.keep_id")) & (F.length(text_of("text")) == F.col("class.keep_points"))
+    several = marked.where(F.col("class").isNotNull() & first).groupBy("sha").agg(F.min_by("row", text_of("text")).alias("row"))
+    return marked.where(F.col("class").isNull()).select("row.*").unionByName(several.select("row.*"))
 
 
 QUERY = "op7_exact_dedup"

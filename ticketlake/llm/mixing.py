@@ -9,9 +9,9 @@ parallel, each leaves one residual, and residuals combine through a reduction tr
 So a source that holds a third of all rows is as many cells as it needs, and its words taken differ
 from its target by less than one document. The last residual of a source goes to the nearer side.
 
-Draws are hashes of ids, so reruns agree. Null sources form one source, last in order. Null or blank texts
-have no words, weigh nothing and take nothing. Rows of a source that repeat an id are one document: they share a
-decision. An empty table gives an empty result. Other columns play no part.
+Draws are hashes of ids, so reruns agree. Rows that repeat an id, or have none, are documents of their own: they are numbered
+by id, source and text, and draw by that number. Null sources form one source, last in order. Null or blank texts
+have no words, weigh nothing and take nothing; long texts are counted whole. An empty table gives an empty result. Other columns play no part.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticketlake.llm.common import is_small, saved, table, text_of
+from ticketlake.llm.common import free_name, is_small, saved, table, text_of, with_row_number
 from ticketlake.operators.ordering import with_rank
 
 WEIGHTS = (5, 2, 1)
@@ -97,37 +97,43 @@ def _rounded(parts: DataFrame, cells: int, seed: int) -> DataFrame:
 
 def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", seed: int = 7) -> DataFrame:
     """One row per document: doc_id, source, size, source_size, target, copies, taken."""
-    sizes = saved(docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(source).alias("source"), word_count(text).alias("size")))
+    row = free_name("row", docs.columns)
+    mixed = _mix(with_row_number(docs, row, key, source, text), row, key, source, text, seed)
+    return mixed.select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
+
+
+def _mix(docs: DataFrame, row: str, key: str, source: str, text: str, seed: int = 7) -> DataFrame:
+    """row (unique long) and the columns of ``mix``."""
+    sizes = docs.select(F.col(row).alias("row"), F.col(key).cast("bigint").alias("doc_id"), F.col(source).alias("source"), word_count(text).alias("size"))
+    sizes = saved(sizes)
     targets = saved(source_targets(sizes))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     targets = targets.withColumn("_rate", rate).withColumn("_whole", F.floor("_rate").cast("int"))
     targets = targets.withColumn("_cells", F.ceil(F.col("docs") / FAN)).withColumn("_part", F.col("_rate") - F.col("_whole"))
     named = sizes.alias("d").join(targets.alias("t"), F.col("d.source").eqNullSafe(F.col("t.source")))
     named = named.select("d.*", "t.source_size", "t.target", "t._whole", "t._part", "t._cells")
-    once = named.where("size > 0 and _part > 0").groupBy("source", "doc_id", "_part", "_cells").agg(F.sum("size").alias("size"))
-    parts = once.select(
+    parts = named.where("size > 0 and _part > 0").select(
         "source",
-        F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col("_cells")).alias("cell"),
-        F.col("doc_id").alias("id_"),
+        F.pmod(F.xxhash64("row", F.lit(seed)), F.col("_cells")).alias("cell"),
+        F.col("row").alias("id_"),
         F.col("size").alias("size_"),
         (F.col("size") * F.col("_part")).alias("mass_"),
     )
     most = targets.agg(F.max("_cells")).head()[0] or 1
-    decided = _rounded(parts, most, seed).groupBy("source", "id_").agg(F.max("extra").alias("extra"))
-    same = F.col("n.doc_id").eqNullSafe(F.col("e.id_")) & F.col("n.source").eqNullSafe(F.col("e.source"))
-    out = named.alias("n").join(decided.alias("e"), same, "left")
+    decided = _rounded(parts, most, seed).select("id_", "extra")
+    out = named.alias("n").join(decided.alias("e"), F.col("n.row") == F.col("e.id_"), "left")
     copies = F.col("n._whole") + F.coalesce(F.col("e.extra"), F.lit(0))
-    out = out.select("n.doc_id", "n.source", "n.size", "n.source_size", "n.target", copies.alias("copies"))
+    out = out.select("n.row", "n.doc_id", "n.source", "n.size", "n.source_size", "n.target", copies.alias("copies"))
     return out.withColumn("taken", F.col("copies") * F.col("size"))
 
 
 def mixed_documents(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
     """The mix itself: each document as many times as it is taken, with all its columns."""
-    copies = mix(docs, key, source, text).where("copies > 0").groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source"))
-    copies = saved(copies.agg(F.max("copies").alias("_copies")))
-    same = F.col(key).eqNullSafe(F.col("_id")) & F.col(source).eqNullSafe(F.col("_source"))
-    taken = docs.join(F.broadcast(copies) if is_small(copies) else copies, same)
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    row, times, copy = (free_name(n, docs.columns) for n in ("row", "times", "copy"))
+    rows = with_row_number(docs, row, key, source, text)
+    copies = saved(_mix(rows, row, key, source, text).where("copies > 0").select(F.col("row").alias(row), F.col("copies").alias(times)))
+    taken = rows.join(F.broadcast(copies) if is_small(copies) else copies, row)
+    return taken.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*docs.columns)
 
 
 QUERY = "op8_mixing"

@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticketlake.llm.common import is_small, narrowed, one_row_per_id, saved, table, text_of
+from ticketlake.llm.common import free_name, is_small, narrowed, saved, table, text_of, with_row_number
 from ticketlake.llm.components import components
 
 SHINGLE = 4
@@ -372,9 +372,11 @@ def linked_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", w
 
 
 def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
-    """One document of each component stays, the one with the least id; null ids stay. All columns."""
-    dropped = saved(linked_documents(docs, key, text, width, percent).where("doc_id <> component_id").select(F.col("doc_id").alias(key)).distinct())
-    return one_row_per_id(narrowed(docs, dropped, [key], "left_anti"), key)
+    """One row of each component stays, the one with the least number (``with_row_number``: its id, if it has one of its own). All columns."""
+    row = free_name("row", docs.columns)
+    docs = with_row_number(docs, row, key, text)
+    dropped = saved(linked_documents(docs, row, text, width, percent).where("doc_id <> component_id").select(F.col("doc_id").alias(row)))
+    return narrowed(docs, dropped, [row], "left_anti").drop(row)
 
 
 QUERY = "op10_ngram_join"

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticketlake.llm.common import is_small, narrowed, saved, table, text_of
+from ticketlake.llm.common import is_small, saved, table, text_of
 
 BUCKETS = 1 << 20
 #: Most labelled rows that the classifier is fitted on.
@@ -186,14 +186,18 @@ def _regression(found: list, chosen: list[int], fairness: float) -> tuple[dict[i
     return {b: float(w) for b, w in zip(chosen, weights)}, float(weights[-1])
 
 
+def logistic(weights: dict[int, float], intercept: float, features: Features, texts: pd.Series) -> np.ndarray:
+    sums = [intercept + sum(weights[b] for b in sorted(features.of(words_of(t)))) for t in texts]
+    return 1 / (1 + np.exp(-np.array(sums, dtype=float)))
+
+
 def score(docs: DataFrame, weights: dict[int, float], intercept: float, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, held_out, score, predicted of every document."""
 
     def scores(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         features = Features(set(weights))
         for batch in batches:
-            sums = [intercept + sum(weights[b] for b in sorted(features.of(words_of(t)))) for t in batch["text"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "score": 1 / (1 + np.exp(-np.array(sums, dtype=float)))})
+            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "score": logistic(weights, intercept, features, batch["text"])})
 
     rows = docs.select(F.col(key).alias("doc_id"), text_of(text).alias("text"))
     out = rows.mapInPandas(scores, "doc_id long, score double")
@@ -205,9 +209,15 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that the classifier doesn't call toxic, with all their columns."""
-    rejected = saved(toxicity(docs, labels).where("predicted = 1").select("doc_id").distinct())
-    return narrowed(docs, rejected, ["doc_id"], "left_anti")
+    """The documents that the classifier doesn't call toxic, with all their columns. Each row's own text decides, whatever its id."""
+    weights, intercept = fit(docs, labels)
+
+    def scores(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        features = Features(set(weights))
+        for texts in batches:
+            yield pd.Series(logistic(weights, intercept, features, texts))
+
+    return docs.where(F.pandas_udf(scores, "double")(text_of()) < THRESHOLD)
 
 
 QUERY = "op5_toxicity"
