@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
+from functools import wraps
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -95,3 +100,21 @@ def with_row_number(docs: DataFrame, name: str, key: str = "doc_id", *order: str
     known, unknown = docs.withColumn(name, ids).where(F.col(name).isNotNull()), docs.where(ids.isNull())
     alone = narrowed(known, again, [name], "left_anti")
     return alone.unionByName(ranked(narrowed(known, again, [name], "left_semi").drop(name).unionByName(unknown), max(greatest, 0)))
+
+
+def lean(step: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """A step for ``mapInPandas`` whose task gives its memory back to the system when it ends.
+
+    Spark keeps Python workers for the stages that follow, beside an executor whose heap has grown meanwhile.
+    """
+
+    @wraps(step)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield from step(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not every C library has it
+        if trim:
+            trim(0)
+
+    return run

@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticketlake.llm.common import free_name, is_small, narrowed, saved, table, text_of, with_row_number
+from ticketlake.llm.common import free_name, is_small, lean, narrowed, saved, table, text_of, with_row_number
 from ticketlake.llm.components import components
 
 SHINGLE = 4
@@ -115,7 +115,7 @@ def _sets(docs: DataFrame, key: str, text: str, width: int, percent: int, whole:
             yield frame
 
     rows = docs.select(F.col(key).alias("doc_id"), text_of(text).alias("text"))
-    return rows.mapInPandas(sets, "doc_id long, n long, node long, tokens binary")
+    return rows.mapInPandas(lean(sets), "doc_id long, n long, node long, tokens binary")
 
 
 def _as_tokens(cells) -> list[np.ndarray]:
@@ -160,7 +160,7 @@ def _shared_counts(reps: DataFrame, blocks: int) -> DataFrame:
         nodes, times = np.unique(owner[count[inverse[: len(alone)]] > 1], return_counts=True)
         return pd.DataFrame({"node": np.concatenate([nodes, read("settled", np.int64)]), "times": np.concatenate([times, read("times", np.int64)])})
 
-    sent = reps.select("node", "tokens").mapInPandas(send, "block int, alone binary, owner binary, several binary, settled binary, times binary")
+    sent = reps.select("node", "tokens").mapInPandas(lean(send), "block int, alone binary, owner binary, several binary, settled binary, times binary")
     met = sent.groupBy("block").applyInPandas(meet, "node long, times long")
     return met.groupBy("node").agg(F.sum("times").alias("shared"))
 
@@ -276,7 +276,7 @@ def _heavy(homes: DataFrame) -> np.ndarray:
             tokens, times = np.unique(np.concatenate([np.empty(0, np.uint64), *_as_tokens(batch["tokens"])]), return_counts=True)
             yield pd.DataFrame({"token": tokens.view(np.int64), "times": times})
 
-    counted = homes.select("tokens").mapInPandas(counts, "token long, times long").groupBy("token").agg(F.sum("times").alias("times"))
+    counted = homes.select("tokens").mapInPandas(lean(counts), "token long, times long").groupBy("token").agg(F.sum("times").alias("times"))
     found = counted.where(F.col("times") >= HEAVY).orderBy(F.desc("times"), "token").limit(HEAVY_MOST).collect()
     return np.sort(np.array([r["token"] for r in found], dtype=np.int64).view(np.uint64))
 
@@ -299,7 +299,7 @@ def _visits(homes: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
             frame["token"] = np.concatenate([np.empty(0, np.uint64), *lists]).view(np.int64)
             yield frame
 
-    postings = homes.select("node", "shard", "tokens").mapInPandas(firsts, "node long, shard int, fewest int, token long")
+    postings = homes.select("node", "shard", "tokens").mapInPandas(lean(firsts), "node long, shard int, fewest int, token long")
     postings = saved(postings.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
     by_label = postings.groupBy("token", "label").agg(F.count("*").alias("rows"))
     largest = by_label.groupBy("token").agg(F.max_by("label", F.struct("rows", "label")).alias("largest"), F.count("*").alias("labels"))

@@ -25,12 +25,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticketlake.llm.common import saved, table, text_of
+from ticketlake.llm.common import lean, saved, table, text_of
 
 CAPACITY = 2048
 LEAF = 20_000
 #: Different words whose ids a task remembers, and the most characters of one.
-REMEMBERED, REMEMBERED_LENGTH = 600_000, 64
+REMEMBERED, REMEMBERED_LENGTH = 150_000, 64
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -108,7 +108,7 @@ def cut_into_pieces(docs: DataFrame, path: str, key: str = "doc_id", text: str =
             frame = pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
             yield frame.astype({"doc_id": "Int64"})
 
-    return docs.select(F.col(key).alias("doc_id"), text_of(text).alias("text")).mapInPandas(pieces, _PIECES)
+    return docs.select(F.col(key).alias("doc_id"), text_of(text).alias("text")).mapInPandas(lean(pieces), _PIECES)
 
 
 def sum_of_squares(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticketlake.llm.common import is_small, saved, table, text_of
+from ticketlake.llm.common import is_small, lean, saved, table, text_of
 
 BUCKETS = 1 << 20
 #: Most labelled rows that the classifier is fitted on.
@@ -37,7 +37,7 @@ THRESHOLD = 0.7
 RIDGE = 1e-4
 FAIRNESS = 1.0
 #: Words whose features a task remembers.
-REMEMBERED = 300_000
+REMEMBERED = 100_000
 
 #: Terms of each list are swapped for each other.
 IDENTITY_TERMS = [
@@ -125,7 +125,7 @@ def telling_buckets(rows: DataFrame, z: float = Z, vocabulary: int = VOCABULARY)
     clean, toxic = rows.agg(F.count(F.when(F.col("toxic") == 0, 1)), F.count(F.when(F.col("toxic") == 1, 1))).head()
     if not clean or not toxic:
         return []
-    counts = rows.mapInPandas(_counts, "bucket long, clean long, toxic long").groupBy("bucket")
+    counts = rows.mapInPandas(lean(_counts), "bucket long, clean long, toxic long").groupBy("bucket")
     counts = counts.agg(F.sum("clean").alias("b"), F.sum("toxic").alias("a"))
     # Likelihood ratio of the feature's two rates against one common rate.
     both, total = F.col("a") + F.col("b"), clean + toxic
@@ -154,7 +154,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, fairness: floa
                 out.append((first, [o for o in others if o != first], toxic))
             yield pd.DataFrame(out, columns=["own", "others", "toxic"])
 
-    found = rows.mapInPandas(examples, "own array<int>, others array<array<int>>, toxic int").collect()
+    found = rows.mapInPandas(lean(examples), "own array<int>, others array<array<int>>, toxic int").collect()
     found.sort(key=lambda r: (r["toxic"], r["own"], r["others"]))  # sums don't depend on the order of arrival
     return _regression(found, chosen, fairness)
 
@@ -200,7 +200,7 @@ def score(docs: DataFrame, weights: dict[int, float], intercept: float, key: str
             yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "score": logistic(weights, intercept, features, batch["text"])})
 
     rows = docs.select(F.col(key).alias("doc_id"), text_of(text).alias("text"))
-    out = rows.mapInPandas(scores, "doc_id long, score double")
+    out = rows.mapInPandas(lean(scores), "doc_id long, score double")
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
@@ -217,7 +217,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
         for texts in batches:
             yield pd.Series(logistic(weights, intercept, features, texts))
 
-    return docs.where(F.pandas_udf(scores, "double")(text_of()) < THRESHOLD)
+    return docs.where(F.pandas_udf(lean(scores), "double")(text_of()) < THRESHOLD)
 
 
 QUERY = "op5_toxicity"
