@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -94,6 +95,29 @@ def test_lists_of_other_articles_stay_boilerplate(name):
         assert main_text.main_text(page) == words.strip()
 
 
+_SENTENCES = " ".join(f"<p>Sentence {n} of the article, which is long enough to count, says something.</p>" for n in range(8))
+
+
+@pytest.mark.parametrize("page", ["<form id='aspnetForm'><article>{}</article></form>", "<form id='aspnetForm'><div id='content'>{}</div></form>", "<aside><main>{}</main></aside>"])
+def test_forms_around_the_page_hold_its_article(page):
+    menu = "<form class='x'><label>Name</label> Subscribe here</form><aside>Other things, read too.</aside>"
+    text = main_text.main_text("<body>" + page.format(_SENTENCES) + menu + "</body>")
+    assert text.count("Sentence") == 8 and "Subscribe" not in text and "Other things" not in text
+
+
+def test_quotes_open_values_only():
+    page = "<article><p title=it's>" + _SENTENCES.replace("<p>", "<p title=it's>") + "</article>"
+    assert main_text.main_text(page).count("Sentence") == 8
+    assert main_text.main_text("<article>" + _SENTENCES + "<p data-x='a > b' title = \"c > d\">Last one, of enough words to count.</p></article>").endswith("\nLast one, of enough words to count.")
+
+
+@pytest.mark.parametrize("part", ["<a '", '<a "', "<a =\"", "<!", "</script", "<a b=c "])
+def test_open_tags_are_read_once(part):
+    started = time.perf_counter()
+    main_text.main_text("<script>" * (part == "</script") + part * 200_000)
+    assert time.perf_counter() - started < 10
+
+
 def test_minimum_cut_equals_brute_force():
     draw = np.random.default_rng(3)
     for _ in range(150):

@@ -11,7 +11,8 @@ are decided first (no cut does better), and a maximum flow is found for what is
 Scripts, styles, heads and comments of the markup are no text. Character references are decoded, white space in
 a block is one space, blocks are joined by one line end in page order. Null pages are empty pages; unclosed
 and stray tags are passed over, and text or an element of the body ends an open head. Elements are hidden by the attributes
-``hidden`` and ``aria-hidden="true"`` and by ``display: none`` or ``visibility: hidden`` in their style. Long pages take time in proportion to their blocks. Rows are read one by
+``hidden`` and ``aria-hidden="true"`` and by ``display: none`` or ``visibility: hidden`` in their style. Long pages are read in time
+proportional to their length; only blocks that the flow has to decide take more. Rows are read one by
 one, so repeated rows and null ids stay. An empty table gives an empty result. Other columns play no part.
 """
 
@@ -37,8 +38,10 @@ RAW = {"script", "style", "textarea", "title", "iframe", "noscript", "svg", "tem
 #: Elements that may stand in a head; all others end it.
 HEAD = set("html head base basefont bgsound link meta title style script noscript noframes template".split())
 #: Log odds of being content.
-ELEMENT_ODDS = {"article": 4.0, "main": 3.0, "nav": -9.0, "footer": -9.0, "aside": -9.0, "form": -9.0, "menu": -9.0, "dialog": -9.0, "header": -4.5, "h1": 1.0, "h2": 0.5, "h3": 0.5, "p": 1.0, "blockquote": 0.5, "pre": 0.5, "figcaption": 0.5, "td": 0.2, "li": -0.3}
+ELEMENT_ODDS = {"article": 4.0, "main": 3.0, "nav": -9.0, "footer": -9.0, "header": -4.5, "h1": 1.0, "h2": 0.5, "h3": 0.5, "p": 1.0, "blockquote": 0.5, "pre": 0.5, "figcaption": 0.5, "td": 0.2, "li": -0.3}
 NAME_ODDS = -9.0
+#: Elements that count like a boilerplate name, so neither where they hold the article; a form not around most of the page either.
+NAMING = {"aside": "layout", "menu": "layout", "dialog": "layout", "form": "form"}
 #: Known names of boilerplate. A class, id or role token is one if it is such a name, alone or with words that only say which
 #: part or place of it. Names of the first set may also name a layout, those of the second are lists beside the page's own text.
 LAYOUT_NAMES = set(
@@ -61,8 +64,9 @@ CONTENT_NAMES = re.compile(r"(?:^|[\s_-])(?:article|content|post|entry|story|bod
 #: Weights of edges between blocks that follow each other, and more within one container.
 ADJACENT, SIBLING = 0.5, 1.5
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
-_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+# A quote opens a value only after "="; nothing is tried twice, and a tag that is still open at the end of the page ends there.
+_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+)(?:>|\Z)""", re.S)
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>][^\s>]*)))?""")
 
 
 class Element:
@@ -112,7 +116,8 @@ def add_up(elements: list[Element]) -> None:
     """Turns odds of single elements into those of an element and all above it.
 
     Boilerplate names count neither on an article or main nor on what holds one, that is at least half of the text of
-    all articles (or mains) which stand in no other; for lists, at least half of the page's text. Teasers and
+    all articles (or mains) which stand in no other; for lists, at least half of the page's text. Elements of ``NAMING`` go by the
+same rule, and a form that holds half of the page's text is the page's own. Teasers and
     comments that are marked up as articles don't clear the list they stand in.
     """
     within: list[frozenset] = [frozenset()]
@@ -134,7 +139,8 @@ def add_up(elements: list[Element]) -> None:
             if not left_out[-1] and element.kind not in within[element.above]:  # else it says nothing more
                 element.odds += ELEMENT_ODDS[element.kind]
         elif element.named:
-            if not any(size and 2 * size >= (page.size if element.named == "list" else page.held[kind]) for kind, size in element.held.items()):
+            around = element.named == "form" and 2 * element.size >= page.size
+            if not around and not any(size and 2 * size >= (page.size if element.named == "list" else page.held[kind]) for kind, size in element.held.items()):
                 element.odds += NAME_ODDS
                 left_out[-1] = True
         element.odds += elements[element.above].odds
@@ -188,7 +194,7 @@ def blocks_of(page: str) -> list[Block]:
                 del open_tags[depth:]
             in_link = 0
         elif name in RAW and not found.group(3).endswith("/"):
-            end = re.compile(f"</{re.escape(name)}[^>]*>", re.I).search(page, at)
+            end = re.compile(f"</{re.escape(name)}[^>]*+(?:>|\\Z)", re.I).search(page, at)
             at = end.end() if end else length
         elif name not in EMPTY:
             in_link = 0
@@ -199,13 +205,13 @@ def blocks_of(page: str) -> list[Block]:
             elif open_tags[-1][0] == "p":
                 del open_tags[-1]
             _, silent, above = open_tags[-1]
-            element = Element(above, kind=name if name in ("article", "main") else "")
+            element = Element(above, named=NAMING.get(name, ""), kind=name if name in ("article", "main") else "")
             given = found.group(3)
             if given and name not in ("html", "body"):
                 given = attributes(given)
                 tokens = " ".join(given[n] for n in ("class", "id", "role") if given.get(n)).split()
                 kinds = [boilerplate(t) for t in tokens]
-                element.named = max(kinds, default="")
+                element.named = max(kinds, default="") or element.named
                 if any(CONTENT_NAMES.search(t) for t, kind in zip(tokens, kinds) if not kind):
                     element.odds += 1.5
                 if given.get("role", "").lower() in ("article", "main"):
