@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ticketlake.functions import text
 from ticketlake.functions.fixed_values import CHANNELS, FORMAT_CHANNELS, MINIMUM_HINT_LENGTH
+from ticketlake.session import durable
 
 
 class DetectionRule(NamedTuple):
@@ -177,13 +178,21 @@ def store_evidence(formats: DataFrame, hits: DataFrame, hints: DataFrame, defaul
 
     ``formats``: (document_id, parser_format chosen for scoping, null when unknown).
     """
-    rows = [(f, c) for f, channels in FORMAT_CHANNELS.items() for c in channels]
-    allowed = formats.sparkSession.createDataFrame(rows, "parser_format string, channel string")
-    known = F.col("parser_format").isin(list(FORMAT_CHANNELS))
-    found = hits.join(hints, "normalized_value").join(formats, "document_id")
-    unscoped = found.where(~F.coalesce(known, F.lit(False)))
-    scoped = found.where(known).join(F.broadcast(allowed), ["parser_format", "channel"], "left_semi")
-    metadata = unscoped.unionByName(scoped).select("document_id", "store_id", "parser_format", "source", "value", "position", "specific")
+    found = hits.join(hints, "normalized_value").join(formats, "document_id").where(_in_scope())
+    return _entries(found, default_formats)
+
+
+def _in_scope() -> Column:
+    """Whether a store's channel fits the format; a null or unknown format allows every channel."""
+    fits = F.lit(True)
+    for name, channels in FORMAT_CHANNELS.items():
+        fits = F.when(F.col("parser_format") == name, F.col("channel").isin(*channels)).otherwise(fits)
+    return fits
+
+
+def _entries(found: DataFrame, default_formats: DataFrame) -> DataFrame:
+    """Evidence entries of hints found in scope, and of their stores' default formats."""
+    metadata = found.select("document_id", "store_id", "parser_format", "source", "value", "position", "specific")
     stores = metadata.select("document_id", "store_id", "parser_format").distinct()
     defaults = stores.join(default_formats, "store_id").where(F.col("default_parser_format") == F.col("parser_format")).select(
         "document_id",
@@ -202,6 +211,56 @@ def store_evidence(formats: DataFrame, hits: DataFrame, hints: DataFrame, defaul
     return entries.unionByName(defaults)
 
 
+def hint_signatures(formats: DataFrame, hits: DataFrame) -> DataFrame:
+    """(document_id, parser_format, hints, signature): the hints a document names, as one sorted list.
+
+    What a store decision and its evidence depend on is the format and this list, so documents
+    that share both share one signature. Documents that name no hint have no row.
+    """
+    named = hits.groupBy("document_id").agg(F.array_sort(F.collect_set("normalized_value")).alias("hints"))
+    parts = F.concat_ws("|", F.coalesce("parser_format", F.lit("")), "hints")
+    return formats.select("document_id", "parser_format").join(named, "document_id").withColumn("signature", F.sha2(parts, 256))
+
+
+def decide_stores(signatures: DataFrame, hints: DataFrame) -> DataFrame:
+    """(signature, detected_store, many, specific): one store or several, without listing any.
+
+    Stores are reduced to their least and greatest id per hint value, channel and kind before they
+    meet a signature; a signature has one store exactly when least and greatest are equal over all
+    its hints. Specific hints shadow aliases. Signatures without a store in scope have no row.
+    """
+    own = F.when(F.col("specific"), F.col("store_id"))
+    bounds = hints.groupBy("normalized_value", "channel").agg(
+        F.min("store_id").alias("_low"), F.max("store_id").alias("_high"), F.min(own).alias("_own_low"), F.max(own).alias("_own_high")
+    )
+    asked = signatures.select("signature", "parser_format", "hints").distinct().select("signature", "parser_format", F.explode("hints").alias("normalized_value"))
+    met = asked.join(bounds, "normalized_value").where(_in_scope()).groupBy("signature").agg(
+        F.min("_low").alias("_low"), F.max("_high").alias("_high"), F.min("_own_low").alias("_own_low"), F.max("_own_high").alias("_own_high")
+    )
+    low, high = F.coalesce("_own_low", "_low"), F.coalesce("_own_high", "_high")
+    return met.select(
+        "signature", F.when(low == high, low).alias("detected_store"), (low != high).alias("many"), F.col("_own_low").isNotNull().alias("specific")
+    )
+
+
+def signature_evidence(signatures: DataFrame, hints: DataFrame, default_formats: DataFrame) -> DataFrame:
+    """Store, confidence and full evidence per signature, as ``choose_store`` gives them per document.
+
+    Aliases are spread over the stores of a brand only for signatures without a specific hint;
+    beside specific ones they are looked up for the stores those name.
+    """
+    known = durable(signatures.select(F.col("signature").alias("document_id"), "parser_format", "hints").distinct())
+    asked = known.select("document_id", "parser_format", F.explode("hints").alias("normalized_value"))
+    specific, aliases = hints.where("specific"), hints.where("not specific")
+    named = durable(asked.join(specific, "normalized_value").where(_in_scope()))
+    stores = named.select("document_id", "store_id").distinct()
+    columns = named.columns
+    beside = asked.join(stores, "document_id").join(aliases, ["normalized_value", "store_id"])
+    alone = asked.join(stores.select("document_id").distinct(), "document_id", "left_anti").join(aliases, "normalized_value").where(_in_scope())
+    found = named.unionByName(beside.select(*columns)).unionByName(alone.select(*columns))
+    return choose_store(_entries(durable(found), default_formats)).withColumnRenamed("document_id", "signature")
+
+
 def choose_store(entries: DataFrame) -> DataFrame:
     """Store per document: specific evidence shadows alias-only stores; one store wins, several are ambiguous.
 
@@ -266,14 +325,16 @@ def classify_documents(extractions: DataFrame, hints: DataFrame, default_formats
     """One detection row per extraction: format, store, confidences, status, evidence.
 
     ``extractions``: document_id, text, hint_format, hint_store. Texts are read twice (rules
-    and grams) but only ids and short keys are shuffled.
+    and grams), and only ids and short keys are shuffled. Store evidence is put together once per
+    signature (format and hints named), so no row per document and store is ever made.
     """
+    hints = durable(hints)
     ruled = extractions.select("document_id", "hint_format", "hint_store", match_format_rules(F.col("text"), rules).alias("matches"))
-    formats = apply_explicit_format(choose_format(ruled)).drop("matches")
-    hits = hint_hits(extractions, hints)
-    entries = store_evidence(formats.select("document_id", "parser_format"), hits, hints, default_formats)
-    stores = choose_store(entries)
-    joined = apply_explicit_store(formats.join(stores, "document_id", "left"))
+    formats = durable(apply_explicit_format(choose_format(ruled)).drop("matches"))
+    signatures = durable(hint_signatures(formats, hint_hits(extractions, hints)))
+    stores = signature_evidence(signatures, hints, default_formats)
+    found = signatures.select("document_id", "signature").join(stores, "signature").drop("signature")
+    joined = apply_explicit_store(formats.join(found, "document_id", "left"))
     classified = F.col("parser_format").isNotNull() & F.col("store_id").isNotNull()
     return joined.select(
         "document_id",

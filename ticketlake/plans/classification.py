@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ticketlake.operators import classify as ops
 from ticketlake.plans.registry import query
+from ticketlake.session import durable
 
 # Marker appended by doc_id % 8, as (text, SQL list of matching "format:tier:marker").
 MARKS = [
@@ -97,6 +98,18 @@ def choose_store(t):
     return ops.choose_store(entries(t)).select("document_id", "detected_store", "store_confidence", F.array_join("detected_stores", ",").alias("stores"))
 
 
+def signatures(t):
+    formats = ops.choose_format(ruled(t)).select("document_id", F.col("detected_format").alias("parser_format"))
+    return ops.hint_signatures(formats, ops.hint_hits(texts(t), hints(t)))
+
+
+@query("decide_stores", f"SELECT doc_id AS document_id, store AS detected_store, store IS NULL AS many FROM ({PICKED})")
+def decide_stores(t):
+    """The decision of ``choose_store`` without listing a store."""
+    known = durable(signatures(t))
+    return known.select("document_id", "signature").join(ops.decide_stores(known, hints(t)), "signature").select("document_id", "detected_store", "many")
+
+
 @query("apply_explicit_hints", f"""SELECT doc_id AS document_id, CASE WHEN doc_id % 2 = 0 THEN 'u.paper.v2' ELSE {ONE} END AS parser_format, CASE WHEN doc_id % 2 = 0 THEN 'manual' WHEN {ONE} IS NULL THEN 'none' ELSE 'high' END AS parser_confidence,
     doc_id % 2 = 0 AND {FORMATS} NOT IN ('', 'u.paper.v2') AS conflict FROM documents""")
 def apply_explicit_hints(t):
@@ -113,6 +126,40 @@ def classify_documents(t):
     return ops.classify_documents(hinted, hints(t), defaults).select("document_id", "parser_format", "store_id", "status")
 
 
+def _marked(marks):
+    """Format evidence of a mark as ``code:format:marker`` entries; hard markers shadow others."""
+    found = [m.split(":") for m in marks.split(",") if m]
+    kept = [m for m in found if m[1] == "hard"] or found
+    formats = sorted({m[0] for m in kept})
+    last = ["parser_format_not_detected::"] if not formats else ["parser_format_ambiguous:" + "|".join(formats) + ":"] if len(formats) > 1 else []
+    return ",".join([f"parser_format_marker:{m[0]}:{m[2]}" for m in kept] + last)
+
+
+MARKED = "[" + ", ".join(f"'{_marked(m[1])}'" for m in MARKS) + "][CAST(doc_id % 8 + 1 AS INTEGER)]"
+
+
+@query("classification_evidence", f"""WITH found AS (SELECT doc_id, store_id, source, CASE source WHEN 'store.location_name' THEN location_name ELSE aliases[1] END AS value, specific, max(specific) OVER (PARTITION BY doc_id) AS top,
+        max(specific) OVER (PARTITION BY doc_id, store_id) AS own, source = 'store.location_name' AS late FROM ({SCOPED}) JOIN stores_v USING (store_id) JOIN retail_brands_v USING (retail_brand_id)),
+    listed AS (SELECT doc_id, string_agg('store_metadata_match:' || store_id || ':' || source || ':' || value, ',' ORDER BY store_id, late) AS entries, count(DISTINCT store_id) AS n,
+        string_agg(DISTINCT CAST(store_id AS VARCHAR), '|' ORDER BY CAST(store_id AS VARCHAR)) AS ids FROM found WHERE own = top GROUP BY doc_id)
+    SELECT d.doc_id AS document_id, {MARKED.replace('doc_id', 'd.doc_id')} AS format_evidence, CASE WHEN n IS NULL THEN 'store_not_detected:::' WHEN n = 1 THEN entries ELSE entries || ',store_ambiguous:' || ids || '::' END AS store_evidence
+    FROM documents d LEFT JOIN listed USING (doc_id)""")
+def classification_evidence(t):
+    """Every evidence entry of every document, in order."""
+    plain = texts(t).selectExpr("*", "cast(null as string) as hint_format", "cast(null as bigint) as hint_store")
+    defaults = t.stores.selectExpr("store_id", "'none' as default_parser_format")
+    found = ops.classify_documents(plain, hints(t), defaults)
+    empty = F.lit("")
+
+    def shown(about_format, *parts):
+        kept = F.filter("evidence", lambda e: e["code"].startswith("parser_format") == about_format)
+        return F.array_join(F.transform(kept, lambda e: F.concat_ws(":", e["code"], *[part(e) for part in parts])), ",")
+
+    formats = shown(True, lambda e: F.coalesce(e["parser_format"], F.array_join(e["parser_formats"], "|"), empty), lambda e: F.coalesce(e["marker"], empty))
+    stores = shown(False, lambda e: F.coalesce(e["store_id"], F.array_join(e["store_ids"], "|"), empty), lambda e: F.coalesce(e["source"], empty), lambda e: F.coalesce(e["value"], empty))
+    return found.select("document_id", formats.alias("format_evidence"), stores.alias("store_evidence"))
+
+
 @query("resolve_evidence_stores", "SELECT event_id AS key, coalesce((SELECT location_name FROM stores_v WHERE store_id = user_id), CAST(user_id AS VARCHAR)) || ', unknown' AS stores FROM events")
 def resolve_evidence_stores(t):
     listed = t.table("events").selectExpr("event_id as key", "array(cast(user_id as string), 'unknown') as store_ids")
