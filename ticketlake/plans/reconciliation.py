@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ticketlake.functions import warnings
 from ticketlake.operators import reconcile as ops
+from ticketlake.operators.reparse import rerun_receipts as rerun_tables
 from ticketlake.plans.registry import query
 from ticketlake.plans.views import cents
 from ticketlake.sources.graph import read_receipt_graph, receipt_graph
@@ -182,6 +183,61 @@ def refused_reparses(t):
     return ops.reparse_receipts(stored(t), current_lines(t), t.matches, fresh, lines)[2]
 
 
+def rerun(t):
+    """Every third receipt parsed again; several ask for one key, some name a missing line, some fail."""
+    asked = stored(t).where("receipt_id % 3 = 0")
+    failure = F.array(warnings.build_warning("parser_exception", F.lit("failed")))
+    fresh = asked.selectExpr(
+        "receipt_id", "receipt_id % 14 = 0 as failed", "timestamp_ntz'2024-05-05 10:00:00' as purchased_at", "'R1' as register_number", "concat('N', receipt_id div 400) as ticket_number",
+        "total_cents + 1 as total_cents", "cast(null as int) as declared_article_count", "if(receipt_id % 14 = 0, 'needs_review', 'parsed') as parser_status", "parser_warnings",
+    ).withColumn("parser_warnings", F.when(F.col("failed"), failure).otherwise(F.col("parser_warnings")))
+    lines = single_lines(t)
+    new = asked.selectExpr(
+        "concat('new-', receipt_id) as line_id", "receipt_id", "1 as position", "'NEW' as label", "false as label_truncated", "cast(1 as decimal(10,3)) as quantity", "'piece' as unit_of_measure",
+        "total_cents + 1 as unit_price_cents", "total_cents + 1 as total_cents", "550 as vat_rate_bp", "false as tr_eligible", "'item' as kind", "concat('new-', receipt_id) as raw_text",
+    )
+    again = {
+        "receipts": fresh,
+        "lines": new,
+        "promotions": asked.selectExpr("concat('new-', receipt_id) as promotion_id", "receipt_id", "if(receipt_id % 33 = 0, 2, 1) as linked_line_position", "'parser_inferred' as linking_method"),
+        "payments": asked.selectExpr("receipt_id", "total_cents + if(receipt_id % 5 = 0, 51, 1) as amount_cents"),
+    }
+    tables = {"receipts": stored(t), "lines": lines.select(*new.columns), "promotions": promotions(t), "payments": t.receipts.selectExpr("receipt_id", "total_cents as amount_cents")}
+    return rerun_tables(tables, t.matches, again)
+
+
+RERUN = f"""WITH asked AS (SELECT receipt_id, store_id, created_at, receipt_id % 14 = 0 AS failed, CASE WHEN receipt_id IN ({MATCHED}) THEN 'lines_already_matched' WHEN receipt_id % 33 = 0 THEN 'missing_promotion_line' END AS barred,
+        'N' || CAST(receipt_id // 400 AS VARCHAR) AS ticket FROM receipts_v WHERE receipt_id % 3 = 0),
+    turns AS (SELECT *, row_number() OVER (PARTITION BY barred IS NULL AND NOT failed, store_id, ticket ORDER BY created_at, receipt_id) AS turn FROM asked),
+    judged AS (SELECT *, coalesce(barred, CASE WHEN NOT failed AND turn > 1 THEN 'duplicate_receipt' END) AS reason FROM turns)"""
+
+
+@query("rerun_receipts", RERUN + """ SELECT r.receipt_id, r.store_id, CASE WHEN done AND NOT failed THEN ticket ELSE ticket_number END AS ticket_number, CASE WHEN done AND NOT failed THEN total_cents + 1 ELSE total_cents END AS total_cents,
+    CASE WHEN NOT done THEN parser_status WHEN failed OR r.receipt_id % 5 = 0 THEN 'needs_review' ELSE 'parsed' END AS parser_status,
+    CASE WHEN NOT done THEN '' WHEN failed THEN 'parser_exception' WHEN r.receipt_id % 5 = 0 THEN 'payments_sum_mismatch' ELSE '' END AS codes
+    FROM (SELECT v.*, failed, ticket, j.receipt_id IS NOT NULL AND reason IS NULL AS done FROM receipts_v v LEFT JOIN judged j ON j.receipt_id = v.receipt_id) r""")
+def rerun_receipts(t):
+    return rerun(t)["receipts"].select("receipt_id", "store_id", "ticket_number", "total_cents", "parser_status", codes())
+
+
+@query("rerun_children", RERUN + """ SELECT 'line' AS kind, line_id AS child, total_cents AS cents FROM lines_v WHERE receipt_id NOT IN (SELECT receipt_id FROM judged WHERE reason IS NULL)
+    UNION ALL SELECT 'promotion', line_id || coalesce(CASE WHEN position % 2 = 0 THEN ' on ' || line_id END, ''), NULL FROM lines_v WHERE kind = 'discount' AND receipt_id NOT IN (SELECT receipt_id FROM judged WHERE reason IS NULL)
+    UNION ALL SELECT 'payment', CAST(receipt_id AS VARCHAR), total_cents FROM receipts_v WHERE receipt_id NOT IN (SELECT receipt_id FROM judged WHERE reason IS NULL)
+    UNION ALL SELECT 'line', 'new-' || receipt_id, total_cents + 1 FROM receipts_v JOIN judged USING (receipt_id) WHERE reason IS NULL AND NOT failed
+    UNION ALL SELECT 'promotion', 'new-' || receipt_id || ' on new-' || receipt_id, NULL FROM judged WHERE reason IS NULL AND NOT failed
+    UNION ALL SELECT 'payment', CAST(receipt_id AS VARCHAR), total_cents + CASE WHEN receipt_id % 5 = 0 THEN 51 ELSE 1 END FROM receipts_v JOIN judged USING (receipt_id) WHERE reason IS NULL AND NOT failed""")
+def rerun_children(t):
+    out = rerun(t)
+    lines = out["lines"].selectExpr("'line' as kind", "line_id as child", "total_cents as cents")
+    linked = out["promotions"].selectExpr("'promotion' as kind", "concat(promotion_id, coalesce(concat(' on ', linked_line_id), '')) as child", "cast(null as bigint) as cents")
+    return lines.unionByName(linked).unionByName(out["payments"].selectExpr("'payment' as kind", "cast(receipt_id as string) as child", "amount_cents as cents"))
+
+
+@query("refused_reruns", RERUN + " SELECT receipt_id, reason FROM judged WHERE reason IS NOT NULL")
+def refused_reruns(t):
+    return rerun(t)["refused"]
+
+
 @query("apply_review_edits", "SELECT receipt_id, CASE WHEN receipt_id % 7 = 1 THEN 'edited' ELSE ticket_number END AS ticket_number, total_cents FROM receipts_v WHERE receipt_id % 7 <> 2 UNION ALL SELECT receipt_id + 10000000, 'new', total_cents FROM receipts_v WHERE receipt_id % 7 = 3")
 def apply_review_edits(t):
     current = t.receipts.select("receipt_id", "ticket_number", "total_cents")
