@@ -222,6 +222,86 @@ def find_or_create(existing: DataFrame, names: DataFrame, prefix: str) -> DataFr
     )
 
 
+def find_or_create_units(existing: DataFrame, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Units after the requests, and the unit of each distinct (symbol, name) asked for.
+
+    ``existing``: record_id, name, normalized_name, slug, symbol. ``asked``: unit_symbol, unit_name; rows with
+    neither get no unit. A missing symbol is the slug of the name, a missing name the symbol. A unit is found
+    by symbol first, then by normalised name; stored ones never change. Unknown ones are made in rounds: each
+    name offers its least symbol and each symbol takes the least name offered, so that names and symbols stay
+    unique whatever the requests' order, until every request finds its unit.
+    """
+    given = asked.select("unit_symbol", "unit_name").distinct().where(~text.is_blank(F.col("unit_symbol")) | ~text.is_blank(F.col("unit_name")))
+    symbol = F.when(~text.is_blank(F.col("unit_symbol")), F.col("unit_symbol")).otherwise(text.slugify(F.col("unit_name")))
+    wanted = given.withColumn("symbol", symbol)
+    wanted = wanted.withColumn("name", F.when(~text.is_blank(F.col("unit_name")), F.col("unit_name")).otherwise(F.col("symbol")))
+    wanted = durable(wanted.withColumn("normalized_name", text.normalize_text(F.col("name"))))
+    columns = ["record_id", "name", "normalized_name", "slug", "symbol"]
+    units = existing.select(*columns)
+    while True:
+        by_symbol = units.where("symbol is not null").groupBy("symbol").agg(F.min("record_id").alias("_by_symbol"))
+        by_name = units.groupBy("normalized_name").agg(F.min("record_id").alias("_by_name"))
+        found = durable(
+            wanted.join(by_symbol, "symbol", "left").join(by_name, "normalized_name", "left")
+            .withColumn("comparison_unit_id", F.coalesce("_by_symbol", "_by_name")).drop("_by_symbol", "_by_name")
+        )
+        open_ones = found.where("comparison_unit_id is null")
+        if open_ones.isEmpty():
+            return units, found.select("unit_symbol", "unit_name", "symbol", "comparison_unit_id")
+        offered = open_ones.groupBy("normalized_name").agg(F.min(F.struct("symbol", "name")).alias("_least")).select("normalized_name", "_least.*")
+        made = earliest_by(offered, ["symbol"], ["normalized_name"]).withColumn("slug", text.slugify(F.col("name")))
+        made = made.withColumn("record_id", F.concat(F.lit("unit:"), F.substring(F.sha2("normalized_name", 256), 1, 16)))
+        units = durable(units.unionByName(made.select(*columns)))
+
+
+def fill_chain(requests: DataFrame, tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """``upsert_catalogue_chain`` with manufacturers and comparison units.
+
+    ``requests`` also has manufacturer_name, unit_name and unit_symbol. ``tables``: product_brands, categories,
+    products (with manufacturer_id), product_variants (with comparison_unit_id), manufacturers, comparison_units.
+    A blank manufacturer or unit leaves the reference as it is; stored references are never replaced. Of several
+    requests for one product the manufacturer with the least normalised name counts, for one variant the
+    unit with the least symbol. Rejected requests make no manufacturer and no unit.
+    """
+    whole = requests.select([c for c in requests.columns if c not in ("manufacturer_name", "unit_name", "unit_symbol")])
+    out = upsert_catalogue_chain(whole, tables["product_brands"], tables["categories"], tables["products"], tables["product_variants"])
+    turned_away = out["rejects"].select(*[F.col(c).alias("_" + c) for c in whole.columns]).distinct()
+    same = [F.col(c).eqNullSafe(F.col("_" + c)) for c in whole.columns]
+    accepted = durable(requests.join(turned_away, same, "left_anti"))
+    makers = find_or_create(tables["manufacturers"], accepted.where(~text.is_blank(F.col("manufacturer_name"))).select(F.col("manufacturer_name").alias("name")), "manufacturer")
+    units, found = find_or_create_units(tables["comparison_units"], accepted)
+
+    named = accepted.select(
+        text.normalize_text(F.col("brand_name")).alias("_brand"), text.normalize_text(F.col("category_name")).alias("_category"),
+        text.normalize_text(F.col("product_name")).alias("_product"), text.normalize_text(F.col("variant_name")).alias("_variant"),
+        text.normalize_text(F.col("manufacturer_name")).alias("_maker"), "unit_symbol", "unit_name",
+    )
+    place = (
+        out["products"].select("product_brand_id", "category_id", F.col("record_id").alias("product_id"), F.col("normalized_name").alias("_product"))
+        .join(out["product_brands"].select(F.col("record_id").alias("product_brand_id"), F.col("normalized_name").alias("_brand")), "product_brand_id")
+        .join(out["categories"].select(F.col("record_id").alias("category_id"), F.col("normalized_name").alias("_category")), "category_id")
+    )
+    placed = durable(named.join(place.select("product_id", "_brand", "_category", "_product"), ["_brand", "_category", "_product"]))
+    maker = makers.select(F.col("normalized_name").alias("_maker"), F.col("record_id").alias("_offered"))
+    makers_of = placed.join(maker, "_maker").groupBy(F.col("product_id").alias("record_id")).agg(F.min_by("_offered", "_maker").alias("_offered"))
+    units_of = (
+        placed.join(found.select(F.col("unit_symbol").alias("_s"), F.col("unit_name").alias("_n"), "symbol", "comparison_unit_id"),
+                    F.col("unit_symbol").eqNullSafe(F.col("_s")) & F.col("unit_name").eqNullSafe(F.col("_n")))
+        .groupBy("product_id", F.col("_variant").alias("normalized_name")).agg(F.min_by("comparison_unit_id", "symbol").alias("_offered"))
+    )
+    stored_makers = tables["products"].select("record_id", "manufacturer_id")
+    stored_units = tables["product_variants"].select("record_id", "comparison_unit_id")
+    products = out["products"].join(stored_makers, "record_id", "left").join(makers_of, "record_id", "left")
+    variants = out["product_variants"].join(stored_units, "record_id", "left").join(units_of, ["product_id", "normalized_name"], "left")
+    return {
+        **out,
+        "products": products.withColumn("manufacturer_id", F.coalesce("manufacturer_id", "_offered")).drop("_offered"),
+        "product_variants": variants.withColumn("comparison_unit_id", F.coalesce("comparison_unit_id", "_offered")).drop("_offered"),
+        "manufacturers": makers,
+        "comparison_units": units,
+    }
+
+
 def upsert_catalogue_chain(requests: DataFrame, brands: DataFrame, categories: DataFrame, products: DataFrame, variants: DataFrame) -> dict[str, DataFrame]:
     """Find or create brand, category, product and variant for each requested chain.
 

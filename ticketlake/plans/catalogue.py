@@ -158,3 +158,54 @@ def upsert_catalogue_chain(t):
         part = out[table].agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), "n")
         counted = part if counted is None else counted.unionByName(part)
     return counted
+
+
+def filled_chain(t):
+    """Chains for all parts over stored brands, categories, products, variants, makers and units; stored gaps are filled."""
+    sized = "element_at(array('SM', 'LG', 'MED', 'JUMBO', 'WRAP'), cast(p_size % 5 + 1 as int))"
+    parts = t.table("part").selectExpr(
+        "p_partkey", "p_brand as brand_name", "cast(null as int) as retail_brand_id", "p_type as category_name", "split(p_name, ' ')[1] as product_name", "upper(p_name) as variant_name", "p_size as package_count",
+        "cast(p_size as decimal(10,3)) as quantity_value", "concat('b', p_partkey) as barcode", "if(p_size > 10, concat('Maker ', substr(p_brand, 7, 1)), ' ') as manufacturer_name", f"if(p_partkey % 2 = 0, concat('Size ', {sized}), null) as unit_name",
+        f"{sized} as unit_symbol",
+    )
+    brands = t.product_brands.withColumn("slug", F.lower("name"))
+    named = ("name", "lower(name) as normalized_name", "lower(name) as slug")
+    categories = parts.where("p_partkey % 4 = 0").selectExpr("category_name as name").distinct().selectExpr("concat('c-', lower(name)) as record_id", *named)
+    key = "concat_ws('/', brand_name, lower(category_name), product_name)"
+    products = parts.where("p_partkey % 4 = 0").selectExpr(
+        f"concat('p-', {key}) as record_id", "brand_name as product_brand_id", "concat('c-', lower(category_name)) as category_id", "product_name as normalized_name", "product_name as name", "product_name as slug",
+        "if(length(product_name) % 2 = 0, 'm-stored', null) as manufacturer_id",
+    ).distinct()
+    variants = parts.where("p_partkey % 8 = 0").groupBy(F.expr(f"concat('p-', {key}) as product_id"), F.lower("variant_name").alias("normalized_name")).agg(
+        F.min(F.expr("if(p_partkey % 16 = 8, 7, null)")).alias("package_count")
+    ).selectExpr("concat('v-', product_id, normalized_name) as record_id", "*", "normalized_name as name", "normalized_name as slug", "cast(null as decimal(10,3)) as quantity_value", "'old' as barcode", "cast(null as string) as comparison_unit_id")
+    makers = t.table("part").selectExpr("concat('Maker ', substr(p_brand, 7, 1)) as name").distinct().where("name < 'Maker 3'").selectExpr("concat('m-', name) as record_id", *named)
+    units = parts.select("unit_symbol").distinct().where("unit_symbol in ('SM', 'LG')").selectExpr("concat('u-', unit_symbol) as record_id", "concat('stored ', unit_symbol) as name", "lower(concat('stored ', unit_symbol)) as normalized_name", "lower(unit_symbol) as slug", "unit_symbol as symbol")
+    tables = {"product_brands": brands, "categories": categories, "products": products, "product_variants": variants, "manufacturers": makers, "comparison_units": units}
+    return ops.fill_chain(parts.drop("p_partkey"), tables)
+
+
+CHAINED = """WITH a AS (SELECT *, p_brand AS b, lower(p_type) AS c, split_part(p_name, ' ', 2) AS p, p_name AS v, ['SM', 'LG', 'MED', 'JUMBO', 'WRAP'][CAST(p_size % 5 + 1 AS INTEGER)] AS u FROM part),
+    np AS (SELECT b, c, p, count(*) FILTER (WHERE p_partkey % 4 = 0) > 0 AS old, min(CASE WHEN p_size > 10 THEN 'Maker ' || substr(p_brand, 7, 1) END) AS m FROM a GROUP BY b, c, p),
+    nv AS (SELECT b, c, p, v, count(*) FILTER (WHERE p_partkey % 8 = 0) > 0 AS old, coalesce(min(CASE WHEN p_partkey % 16 = 8 THEN 7 END), min(p_size)) AS package_count,
+        CASE WHEN count(*) FILTER (WHERE p_partkey % 8 = 0) > 0 THEN 'old' ELSE min('b' || p_partkey) END AS barcode, min(u) AS symbol FROM a GROUP BY b, c, p, v)"""
+
+
+@query("catalogue_chain_products", CHAINED + """ SELECT b AS brand, c AS category, p AS product, old AS stored, CASE WHEN old AND length(p) % 2 = 0 THEN 'stored' ELSE m END AS maker FROM np""")
+def catalogue_chain_products(t):
+    out = filled_chain(t)
+    categories = out["categories"].selectExpr("record_id as category_id", "normalized_name as category")
+    makers = out["manufacturers"].selectExpr("record_id as manufacturer_id", "name as maker")
+    joined = out["products"].join(categories, "category_id").join(makers, "manufacturer_id", "left")
+    return joined.selectExpr("product_brand_id as brand", "category", "normalized_name as product", "record_id like 'p-%' as stored", "if(manufacturer_id = 'm-stored', 'stored', maker) as maker")
+
+
+@query("catalogue_chain_variants", CHAINED + """ SELECT b AS brand, c AS category, p AS product, v AS variant, old AS stored, package_count, barcode, symbol, symbol IN ('SM', 'LG') AS stored_unit FROM nv""")
+def catalogue_chain_variants(t):
+    out = filled_chain(t)
+    categories = out["categories"].selectExpr("record_id as category_id", "normalized_name as category")
+    products = out["products"].join(categories, "category_id").selectExpr("record_id as product_id", "product_brand_id as brand", "category", "normalized_name as product")
+    units = out["comparison_units"].selectExpr("record_id as comparison_unit_id", "symbol")
+    return out["product_variants"].join(products, "product_id").join(units, "comparison_unit_id").selectExpr(
+        "brand", "category", "product", "normalized_name as variant", "record_id like 'v-%' as stored", "package_count", "barcode", "symbol", "comparison_unit_id like 'u-%' as stored_unit"
+    )
