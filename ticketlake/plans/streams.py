@@ -11,8 +11,12 @@ from ticketlake.streaming import jobs
 
 
 def stream(t, name):
+    """A table as a stream, whether it is stored as one file or as a folder of files.
+
+    Streams don't take the path of a file, but a pattern that only this table fits.
+    """
     schema = t.table(name).schema
-    return t.spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(t.sf_dir)
+    return t.spark.readStream.schema(schema).parquet(f"{t.sf_dir}/{name}.parque[t]")
 
 
 @query("stream_register", "SELECT sha256(text) AS content_hash, arg_min(doc_id, (doc_id % 50, doc_id)) AS document_id FROM documents GROUP BY 1")
