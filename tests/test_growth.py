@@ -1,8 +1,12 @@
 """Plans that stay in proportion to their input, and tables stored as folders."""
 
 import pytest
+from pyspark.sql import functions as F
 
+from ticketlake.operators import fuzzy
+from ticketlake.operators.spread import spread_join
 from ticketlake.plans import QUERIES
+from ticketlake.sources import locations
 
 
 @pytest.mark.parametrize("folder", [False, True])
@@ -17,3 +21,38 @@ def test_streams_read_tables_stored_as_files_or_folders(spark, tmp_path, folder)
     # A table whose name begins alike is another table.
     rows.selectExpr("doc_id + 10 as doc_id", "text").write.parquet(str(tmp_path / "documents.parquet2"))
     assert sorted(r.document_id for r in QUERIES["stream_register"](spark, str(tmp_path)).collect()) == [1, 2]
+
+
+def test_hot_keys_are_cut_into_cells_and_lose_nothing(spark):
+    left = spark.createDataFrame([("hot", n) for n in range(40)] + [("hot", 7), ("cold", 1), (None, 2), ("left", 3)], "k string, a int")
+    right = spark.createDataFrame([("hot", n) for n in range(30)] + [("cold", 5), ("cold", 5), (None, 2), ("right", 3)], "k string, b int")
+    joined = spread_join(left, right, "k", cell_rows=100)
+    assert sorted(joined.select("k", "a", "b").collect()) == sorted(left.join(right, "k").select("k", "a", "b").collect())
+    tasks = joined.where("k = 'hot'").groupBy(F.spark_partition_id()).count().collect()
+    assert len(tasks) > 1
+
+
+def test_rejections_meet_lines_before_candidates_do(spark):
+    lines = spark.createDataFrame([("a", "x"), ("a", "x"), ("b", "x"), ("c", "y"), ("d", None)], "line_id string, normalized_label string")
+    candidates = spark.createDataFrame([("x", 1), ("x", 2), ("x", None), ("y", 1)], "normalized_label string, variant_id bigint")
+    matches = spark.createDataFrame([("a", 1, "rejected"), ("a", 1, "rejected"), ("a", 2, "ignored"), ("b", None, "rejected"), ("c", 1, "rejected")], "line_id string, variant_id bigint, status string")
+    kept = fuzzy.exclude_rejected_pairs(lines, candidates, matches).select("line_id", "variant_id")
+    found = sorted((r.line_id, r.variant_id or 0) for r in kept.collect())
+    assert found == [("a", 0), ("a", 0), ("a", 2), ("a", 2), ("b", 0), ("b", 1), ("b", 2)]
+    # Pairs are made above the last exchange, so none is shuffled.
+    plan = kept._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    depth = lambda word: min(len(line) - len(line.lstrip(" :+-")) for line in plan if word in line)
+    assert depth("Join Inner") < depth("Repartition") and "LeftAnti" not in "".join(plan)
+
+
+def test_nested_leaves_come_from_one_chain(spark, tmp_path):
+    texts = ['{"a":"x","b":{"c":["p",["q",{"d":"r"}],7,null],"e":{}},"f":null,"g":[]}', '"s"', "null", '["t"]', "[]", None]
+    spark.createDataFrame(list(enumerate(texts)), "id int, hints string").write.parquet(str(tmp_path / "t"))
+    stored = spark.read.parquet(str(tmp_path / "t"))
+    flat = locations.flatten_identifiers(stored, ["id"], "hints", "h")
+    assert sorted(tuple(r) for r in flat.collect()) == [
+        (0, "h.a", "x"), (0, "h.b.c", "p"), (0, "h.b.c", "q"), (0, "h.b.c.d", "r"), (1, "h.", "s"), (3, "h.", "t"),
+    ]
+    assert flat._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    leaves = {(r.id, ".".join(r.path), r.kind, r.json) for r in locations._leaves(stored, ["id"], "hints").collect()}
+    assert (0, "g", "ARRAY", "[]") in leaves and (2, "", "VOID", "null") in leaves and len(leaves) == 8
