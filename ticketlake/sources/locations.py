@@ -35,29 +35,31 @@ def _kind(value: Column) -> Column:
 def _leaves(frame: DataFrame, key: list[str], column: str, into_lists: bool = False) -> DataFrame:
     """Leaf rows (key, path, kind, json text) of a JSON object column, one level per round.
 
-    Rounds stop at the depth of the data; only nested values are carried to the next round.
-    Lists are leaves, or with ``into_lists`` are opened without adding a path step.
+    Rounds stop at the depth of the data. Each round opens what is nested and passes leaves on in the same
+    rows, so that the rounds are one chain over one scan. Lists are leaves, or with
+    ``into_lists`` are opened without adding a path step.
     """
     level = frame.where(F.col(column).isNotNull()).select(
         *key, F.array().cast("array<string>").alias("path"), F.parse_json(column).alias("value")
     )
-    leaves = None
-    while True:
-        typed = level.withColumn("kind", _kind(F.col("value")))
-        members = typed.where("kind = 'OBJECT'").select(
-            *key, "path", F.explode(F.col("value").cast("map<string,variant>")).alias("field", "value")
-        ).select(*key, F.concat("path", F.array("field")).alias("path"), "value")
-        opened = members
-        closed = typed.where(~F.col("kind").isin("OBJECT", "ARRAY") if into_lists else F.col("kind") != "OBJECT")
-        if into_lists:
-            opened = members.unionByName(
-                typed.where("kind = 'ARRAY'").select(*key, "path", F.explode(F.col("value").cast("array<variant>")).alias("value"))
-            )
-        found = closed.select(*key, "path", "kind", F.to_json("value").alias("json"), F.when(F.col("kind") == "STRING", F.col("value").cast("string")).alias("text"))
-        leaves = found if leaves is None else leaves.unionByName(found)
-        if opened.isEmpty():
-            return leaves
-        level = opened
+    level = level.select("*", _kind(F.col("value")).alias("kind"))
+    nested = ["OBJECT", "ARRAY"] if into_lists else ["OBJECT"]
+
+    def placed(path: Column, value: Column) -> Column:
+        return F.struct(path.alias("path"), value.alias("value"), _kind(value).alias("kind"))
+
+    fields = F.map_entries(F.col("value").cast("map<string,variant>"))
+    members = F.transform(fields, lambda m: placed(F.concat("path", F.array(m["key"])), m["value"]))
+    items = F.transform(F.col("value").cast("array<variant>"), lambda v: placed(F.col("path"), v))
+    opened = F.when(F.col("kind") == "OBJECT", members)
+    if into_lists:
+        opened = opened.when(F.col("kind") == "ARRAY", items)
+    opened = opened.otherwise(F.array(F.struct("path", "value", "kind")))
+    while not level.where(F.col("kind").isin(nested)).isEmpty():
+        level = level.select(*key, F.inline(opened))
+    return level.where("kind is not null").select(
+        *key, "path", "kind", F.to_json("value").alias("json"), F.when(F.col("kind") == "STRING", F.col("value").cast("string")).alias("text")
+    )
 
 
 def merge_identifier_leaves(tracked: DataFrame, local: DataFrame, key: list[str], column: str = "identifiers") -> DataFrame:
