@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from ticketlake.operators import fuzzy
+from ticketlake.operators import classify, fuzzy
 from ticketlake.operators.spread import spread_join
 from ticketlake.plans import QUERIES
 from ticketlake.sources import locations
@@ -56,3 +56,25 @@ def test_nested_leaves_come_from_one_chain(spark, tmp_path):
     assert flat._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
     leaves = {(r.id, ".".join(r.path), r.kind, r.json) for r in locations._leaves(stored, ["id"], "hints").collect()}
     assert (0, "g", "ARRAY", "[]") in leaves and (2, "", "VOID", "null") in leaves and len(leaves) == 8
+
+
+def test_stores_are_chosen_once_for_documents_that_name_the_same(spark):
+    hits = [(d, h) for d in range(6) for h in (["alias"] if d < 4 else ["place", "alias"])]
+    hits = spark.createDataFrame(hits + [(9, "alias"), (None, "alias")], "document_id bigint, normalized_value string")
+    formats = [(d, "u.paper.v1") for d in range(6)] + [(8, "u.paper.v1"), (None, None), (3, "leclerc.web.v1"), (3, "leclerc.web.v1"), (2, None)]
+    formats = spark.createDataFrame(formats, "document_id bigint, parser_format string")
+    stores = [(n, ["physical", "drive"][n % 2], "alias", False) for n in range(4)] + [(2, "physical", "place", True)]
+    hints = spark.createDataFrame(stores, "store_id bigint, channel string, normalized_value string, specific boolean").selectExpr(
+        "*", "'s' as source", "normalized_value as value", "named_struct('_rank', 0, '_at', 0, 'source', 's', 'value', normalized_value) as position")
+    defaults = spark.createDataFrame([(0, "u.paper.v1"), (1, "other"), (0, "u.paper.v1")], "store_id bigint, default_parser_format string")
+    documents, *signed = classify.shared_signatures(formats, hits)
+    assert documents.select("signature").distinct().count() == 4 and documents.count() == 6
+    shown = ["document_id", "detected_store", "store_confidence", "detected_stores"]
+    once = classify.choose_store(classify.store_evidence(*signed, hints, defaults)).withColumnRenamed("document_id", "signature")
+    each = classify.store_evidence(formats, hits, hints, defaults)
+    found = documents.join(once, "signature").select(*shown).collect()
+    assert sorted(found) == sorted(classify.choose_store(each).select(*shown).collect())
+    lists = {r.document_id: ",".join(r.detected_stores) for r in found}
+    assert lists == {0: "0,2", 1: "0,2", 2: "0,1,2,3", 3: "0,1,2,3", 4: "2", 5: "2"}
+    # Both default rows of store 0, once for each document it is in scope of.
+    assert each.where("entry.code = 'store_default_parser_format'").count() == 2 * 6

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ticketlake.functions import text
 from ticketlake.functions.fixed_values import CHANNELS, FORMAT_CHANNELS, MINIMUM_HINT_LENGTH
+from ticketlake.operators.spread import spread_join
 from ticketlake.session import durable
 
 
@@ -178,10 +179,18 @@ def store_evidence(formats: DataFrame, hits: DataFrame, hints: DataFrame, defaul
 
     ``formats``: (document_id, parser_format chosen for scoping, null when unknown).
     """
-    found = hits.join(hints, "normalized_value").join(formats, "document_id").where(_in_scope())
+    # Documents get their format, and hints their store's default formats, before they meet: rows per document
+    # and store are made once, in cells, and only those with a fitting default are compared again.
+    scoped = durable(hits.join(formats.select("document_id", "parser_format"), "document_id"))
+    found = spread_join(scoped, _with_defaults(hints, default_formats), "normalized_value").where(_in_scope())
     return _entries(found, default_formats)
 
 
+def _with_defaults(hints: DataFrame, default_formats: DataFrame) -> DataFrame:
+    defaults = default_formats.groupBy("store_id").agg(F.collect_set("default_parser_format").alias("default_formats"))
+    return hints.join(defaults, "store_id", "left")
+
+
 def _in_scope() -> Column:
     """Whether a store's channel fits the format; a null or unknown format allows every channel."""
     fits = F.lit(True)
@@ -193,7 +202,8 @@ def _in_scope() -> Column:
 def _entries(found: DataFrame, default_formats: DataFrame) -> DataFrame:
     """Evidence entries of hints found in scope, and of their stores' default formats."""
     metadata = found.select("document_id", "store_id", "parser_format", "source", "value", "position", "specific")
-    stores = metadata.select("document_id", "store_id", "parser_format").distinct()
+    fitting = found.where(F.array_contains("default_formats", F.col("parser_format")))
+    stores = fitting.select("document_id", "store_id", "parser_format").distinct()
     defaults = stores.join(default_formats, "store_id").where(F.col("default_parser_format") == F.col("parser_format")).select(
         "document_id",
         "store_id",
@@ -222,6 +232,20 @@ def hint_signatures(formats: DataFrame, hits: DataFrame) -> DataFrame:
     return formats.select("document_id", "parser_format").join(named, "document_id").withColumn("signature", F.sha2(parts, 256))
 
 
+def shared_signatures(formats: DataFrame, hits: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(document_id, signature), and per signature its formats and hits, each named as ``store_evidence`` takes them.
+
+    Stores of a document follow from its formats and the hints it names, so evidence for choosing stores is put
+    together once per signature. Documents without a format row or a hit have no signature.
+    """
+    named = hits.groupBy("document_id").agg(F.array_sort(F.collect_set("normalized_value")).alias("_hints"))
+    scopes = formats.groupBy("document_id").agg(F.array_sort(F.collect_set(F.struct("parser_format"))).alias("_formats"))
+    signature = F.sha2(F.to_json(F.struct("_formats", "_hints")), 256)
+    known = durable(scopes.join(named, "document_id").withColumn("signature", signature))
+    each = known.groupBy("signature").agg(F.any_value("_formats").alias("_formats"), F.any_value("_hints").alias("_hints")).withColumnRenamed("signature", "document_id")
+    return known.select("document_id", "signature"), each.select("document_id", F.inline("_formats")), each.select("document_id", F.explode("_hints").alias("normalized_value"))
+
+
 def decide_stores(signatures: DataFrame, hints: DataFrame) -> DataFrame:
     """(signature, detected_store, many, specific): one store or several, without listing any.
 
@@ -251,6 +275,7 @@ def signature_evidence(signatures: DataFrame, hints: DataFrame, default_formats:
     """
     known = durable(signatures.select(F.col("signature").alias("document_id"), "parser_format", "hints").distinct())
     asked = known.select("document_id", "parser_format", F.explode("hints").alias("normalized_value"))
+    hints = _with_defaults(hints, default_formats)
     specific, aliases = hints.where("specific"), hints.where("not specific")
     named = durable(asked.join(specific, "normalized_value").where(_in_scope()))
     stores = named.select("document_id", "store_id").distinct()

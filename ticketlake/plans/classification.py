@@ -78,15 +78,20 @@ SCOPED = f"""SELECT e.doc_id, e.store_id, e.source, e.specific FROM (SELECT doc_
     JOIN stores_v s USING (store_id) JOIN (SELECT doc_id, {ONE} AS f FROM documents) d USING (doc_id) WHERE f IS NULL OR (f = 'leclerc.web.v1') = (channel <> 'physical')"""
 
 
-def entries(t):
+def scoped(t):
+    """Formats and hints found per document."""
     formats = ops.choose_format(ruled(t)).select("document_id", F.col("detected_format").alias("parser_format"))
+    return formats, ops.hint_hits(texts(t), hints(t))
+
+
+def entries(t, formats, hits):
     defaults = t.stores.selectExpr("store_id", "'none' as default_parser_format")
-    return ops.store_evidence(formats, ops.hint_hits(texts(t), hints(t)), hints(t), defaults)
+    return ops.store_evidence(formats, hits, hints(t), defaults)
 
 
 @query("store_evidence", f"SELECT doc_id AS document_id, store_id, source FROM ({SCOPED})")
 def store_evidence(t):
-    return entries(t).select("document_id", "store_id", F.col("entry.source").alias("source"))
+    return entries(t, *scoped(t)).select("document_id", "store_id", F.col("entry.source").alias("source"))
 
 
 PICKED = f"""SELECT doc_id, CASE WHEN count(DISTINCT store_id) = 1 THEN min(store_id) END AS store, string_agg(DISTINCT CAST(store_id AS VARCHAR), ',' ORDER BY CAST(store_id AS VARCHAR)) AS stores
@@ -95,7 +100,11 @@ PICKED = f"""SELECT doc_id, CASE WHEN count(DISTINCT store_id) = 1 THEN min(stor
 
 @query("choose_store", f"SELECT doc_id AS document_id, store AS detected_store, CASE WHEN store IS NULL THEN 'none' ELSE 'high' END AS store_confidence, stores FROM ({PICKED})")
 def choose_store(t):
-    return ops.choose_store(entries(t)).select("document_id", "detected_store", "store_confidence", F.array_join("detected_stores", ",").alias("stores"))
+    """Stores are listed once per signature, not per document."""
+    documents, *signed = ops.shared_signatures(*scoped(t))
+    chosen = ops.choose_store(entries(t, *signed)).withColumnRenamed("document_id", "signature")
+    listed = chosen.select("signature", "detected_store", "store_confidence", F.array_join("detected_stores", ",").alias("stores"))
+    return documents.join(listed, "signature").select("document_id", "detected_store", "store_confidence", "stores")
 
 
 def signatures(t):
