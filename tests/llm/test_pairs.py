@@ -211,3 +211,16 @@ def test_large_components_and_few_rows(spark):
     assert sorted(tuple(r) for r in out.collect()) == brute_negatives(rows, 100, 5)  # the last scores more than a positive, so its size plays no part
     assert hard_negatives.hard_negatives(spark.createDataFrame([], EMBEDDING)).count() == 0
     assert hard_negatives.hard_negatives(spark.createDataFrame([(0, [1.0], 1)], EMBEDDING)).count() == 0
+
+
+def test_runs_are_aligned_a_slice_at_a_time(monkeypatch):
+    a, b, _ = alignment.sides()
+    aligner = alignment.Aligner(alignment.Side(*a), alignment.Side(*b))
+    texts = ["one two three", "", "é" * 50, "four five", "word " * 300, "six"]
+    whole, sizes, align = aligner.align(texts), [], aligner.align
+    monkeypatch.setattr(alignment, "SLICE", 200)
+    monkeypatch.setattr(aligner, "align", lambda part: sizes.append(len(part)) or align(part))
+    sliced = aligner.align_run(texts)
+    assert len(sizes) > 1 and sum(sizes) == len(texts)
+    assert (sliced["figures"] == whole["figures"]).all() and all((x == y).all() for x, y in zip(sliced["links"], whole["links"]))
+    assert sliced["digests"] == b"".join(hashlib.sha256(g.encode()).digest() if g else bytes(32) for g in whole["groups"])

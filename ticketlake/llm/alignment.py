@@ -37,10 +37,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticketlake.llm.common import saved, table, text_of
+from ticketlake.llm.common import lean, saved, table, text_of
 
-#: Bytes of text of a run, radixes, runs that a merge takes, entries that a reader holds.
-RUN, RADIX, FAN, HELD = 6_000_000, 64, 64, 4096
+#: Bytes of text of a run, of a slice of it that is aligned at once, radixes, runs that a merge takes, entries that a reader holds.
+RUN, SLICE, RADIX, FAN, HELD = 6_000_000, 750_000, 64, 64, 4096
 
 _RUNS = "run long, radix int, pairs binary, ids binary, known binary, figures binary, digests binary, records binary"
 _OUT = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
@@ -101,6 +101,21 @@ class Aligner:
         links = ids_a[np.searchsorted(ends_a, ends)], ids_b[np.searchsorted(ends_b, ends)], np.array(at, dtype=np.int64)[document(ends)]
         return {"figures": figures, "links": links, "groups": self._groups(ids_a, ids_b, ends_a, ends_b, both, len(texts), at, figures)}
 
+    def align_run(self, texts: list[str]) -> dict:
+        """As ``align``, a slice at a time and with digests in place of groups: only figures and links are held for all texts."""
+        figures, links, digests, first = [], [], [], 0
+        while first < len(texts):
+            last, size = first, 0
+            while last < len(texts) and size < SLICE:
+                size, last = size + len(texts[last]) + 100, last + 1
+            done = self.align(texts[first:last])
+            id_a, id_b, document = done["links"]
+            links.append((id_a, id_b, document + first))
+            figures.append(done["figures"])
+            digests += [hashlib.sha256(g.encode()).digest() if g else bytes(32) for g in done["groups"]]
+            first = last
+        return {"figures": np.concatenate(figures, axis=1), "links": tuple(map(np.concatenate, zip(*links))), "digests": b"".join(digests)}
+
     def _groups(self, ids_a, ids_b, ends_a, ends_b, both, count: int, at: list[int], figures) -> list[str]:
         last_a, last_b = np.isin(ends_a, both, assume_unique=True), np.isin(ends_b, both, assume_unique=True)
         group_a, group_b = np.cumsum(last_a) - last_a, np.cumsum(last_b) - last_b
@@ -154,8 +169,8 @@ def alignment_runs(docs: DataFrame, a: tuple, b: tuple, key: str = "doc_id", tex
         size_b, number = len(aligner.b.names), TaskContext.get().partitionId() << 32
 
         def finished() -> pd.DataFrame:
-            done = aligner.align(texts)
-            id_a, id_b, document = done["links"]
+            done = aligner.align_run(texts)
+            id_a, id_b, document = done.pop("links")
             count = max(len(texts), 1)
             order = ((radix_of(id_a) * len(aligner.a.names) + id_a) * size_b + id_b) * count + document
             order, times = np.unique(order, return_counts=True)
@@ -164,9 +179,8 @@ def alignment_runs(docs: DataFrame, a: tuple, b: tuple, key: str = "doc_id", tex
             held, pair = np.diff(np.append(first, len(pair))), pair[first] % (len(aligner.a.names) * size_b)
             entries, radix = np.stack([pair, held], axis=1), radix_of(pair // size_b)
             edges = np.searchsorted(radix, np.arange(RADIX + 1))
-            digests = b"".join(hashlib.sha256(g.encode()).digest() if g else bytes(32) for g in done["groups"])
             known = np.array([i is not None for i in ids])
-            rows = [(number, -1, b"", _packed(np.array([i or 0 for i in ids], dtype=np.int64)), _packed(known), _packed(done["figures"]), digests, b"".join(p.to_bytes(8, "little") + x for x in (_packed(held.astype(np.uint32)), _packed(document.astype(np.uint32)), _packed(times.astype(np.uint32))) for p in [len(x)]))]
+            rows = [(number, -1, b"", _packed(np.array([i or 0 for i in ids], dtype=np.int64)), _packed(known), _packed(done["figures"]), done["digests"], b"".join(p.to_bytes(8, "little") + x for x in (_packed(held.astype(np.uint32)), _packed(document.astype(np.uint32)), _packed(times.astype(np.uint32))) for p in [len(x)]))]
             rows += [(number, r, _packed(entries[edges[r] : edges[r + 1]]), b"", b"", b"", b"", b"") for r in np.flatnonzero(edges[1:] > edges[:-1]).tolist()]
             return pd.DataFrame(rows, columns=[c.split()[0] for c in _RUNS.split(", ")])
 
@@ -183,7 +197,7 @@ def alignment_runs(docs: DataFrame, a: tuple, b: tuple, key: str = "doc_id", tex
             yield finished()
 
     rows = docs.select(F.col(key).cast("bigint").alias("doc_id"), text_of(text).alias("text"))
-    return saved(rows.mapInPandas(runs, _RUNS))
+    return saved(rows.mapInPandas(lean(runs), _RUNS))
 
 
 def _counted(runs: DataFrame, size_b: int) -> DataFrame:
