@@ -68,7 +68,7 @@ def slugify(text: Column) -> Column:
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, "^[\\s\\x00]+|[\\s\\x00]+\\z", "")
+    return F.btrim(text, F.lit(" \t\n\x0b\f\r\0"))
 
 
 def clean_label(label: Column) -> Column:

@@ -1,8 +1,8 @@
 """The six shipped receipt formats.
 
-Patterns are fixed values (they decide which texts match); everything else is windows over
-one document's lines: running maxima for "items started/finished", last non-null values for
-section labels and pending labels.
+Patterns are fixed values (they decide which texts match). Each body marks a document's lines with
+letters; where items start and finish, the section label and the pending label of a line are found
+in that string. Promotion rules are windows over the few lines they mention.
 """
 
 from __future__ import annotations
@@ -15,10 +15,19 @@ from ticketlake.operators.receipt_text import (
     DateRule,
     FormatSpec,
     after,
+    at_places,
     before,
-    by_line,
+    body_places,
+    bounded,
     captured_row,
     captured_rows,
+    last_place,
+    letter_at,
+    letters,
+    letters_to,
+    line_at,
+    lines_where,
+    matching,
     promotion,
     promotion_rows,
     register_format,
@@ -125,6 +134,15 @@ U_V2 = {
     "footer": r"(?d)\A(\d{2})/(\d{2})/(\d{2})\s+(\d{2}):(\d{2}):(\d{2})\s+(\d+)\s+(\d+)\s+(\d+)\s+(\d+)\z",
 }
 NO_LABEL = "quantity line without a label"
+LECLERC_REMISES = "REMISES"
+# Every pattern a promotion rule asks, coupons' amounts apart.
+LECLERC_PROMOTING = "|".join(
+    f"(?:{LECLERC[name]})"
+    for name in [
+        "separator", "bons", "bon_achat", "cumul", "points_section", "points_accrual", "points_consumption",
+        "vignette_accrual", "vignette_consumption", "vignette_section", "vignette_operation",
+    ]
+)
 
 
 def _is(pattern: str) -> Column:
@@ -161,70 +179,85 @@ def detail_section(lines: DataFrame, heading: str, flag: str) -> DataFrame:
     return inside.withColumn("_closed", closed).withColumn(flag, row).drop("_open", "_closed")
 
 
-def leclerc_body(patterns: dict[str, str]):
+def leclerc_details(documents: DataFrame) -> DataFrame:
+    """Places of the rows ``detail_section`` flags under REMISES, in ``details``."""
+
+    def letter(line: Column) -> Column:
+        counted = line.rlike(LECLERC["detail"]) & ~F.regexp_extract(line, LECLERC["detail"], 1).rlike(LECLERC["detail_total"])
+        return F.when(line.rlike(LECLERC["separator"]), "-").when(counted, "d").otherwise("x")
+
+    df = documents.withColumn("remises", F.array_position("lines", F.lit(LECLERC_REMISES)).cast("int"))
+    # Up to the first separator after the heading.
+    below = F.array_join(F.transform(F.slice("lines", F.col("remises") + 1, F.size("lines")), letter), "")
+    flagged = F.transform(F.split(F.substring_index(below, "-", 1), ""), lambda c, at: F.when(c == "d", F.col("remises") + at + 1))
+    details = F.when(F.col("remises") > 0, F.filter(flagged, lambda place: place.isNotNull()))
+    return df.withColumn("details", F.coalesce(details, F.array().cast("array<int>")))
+
+
+def leclerc_marks(patterns: dict[str, str]):
     coded = "body_header" in patterns
 
-    def body(lines: DataFrame) -> DataFrame:
-        marker = _is(patterns["body_header"]) if coded else F.lit(False)
-        discount = _is(patterns["discount"]) if "discount" in patterns else F.lit(False)
-        df = detail_section(lines, "remises", "is_detail")
-        df = (
-            df.withColumn("is_section", _is(LECLERC["section"]))
-            .withColumn("is_marker", marker)
-            .withColumn("is_aside", _is(LECLERC["contribution"]))
-            .withColumn("is_quantity", _is(patterns["quantity"]))
-            .withColumn("is_discount", discount)
-            .withColumn("is_item", _is(patterns["item"]))
-            .withColumn("is_total", _is(LECLERC["total"]))
-            .withColumn("skipped", F.expr("is_section or is_marker or is_aside"))
+    def mark(documents: DataFrame) -> DataFrame:
+        """S section, M column heads, A aside, T total, Q quantity, D discount, I item, L any other line."""
+        rules = [("S", matching(LECLERC["section"])), ("A", matching(LECLERC["contribution"]))]
+        rules += [("M", matching(patterns["body_header"]))] if coded else []
+        rules += [("T", matching(LECLERC["total"])), ("Q", matching(patterns["quantity"]))]
+        rules += [("D", matching(patterns["discount"]))] if "discount" in patterns else []
+        marks = letters("L", *rules, ("I", matching(patterns["item"])))
+        # Without column heads an item or total begins the body too; a quantity line makes the line before it begin.
+        begins = "[SM]|[ITLQ](?=Q)" if coded else "[SIQT]|[LD](?=Q)"
+        return bounded(
+            documents, marks, f"regexp_instr(letters, '{begins}')", "if(start > 0, locate('T', letters, start), 0)",
+            f"if(start > 0 and translate(substr(letters, start, finish - start), 'SMA', '') rlike '(^|[^L])Q', '{NO_LABEL}', null)",
         )
-        df = df.withColumn("next_quantity", F.coalesce(F.lead("is_quantity").over(by_line()), F.lit(False)))
-        df = df.withColumn("has_details", F.max("is_detail").over(whole()))
-        implicit = F.col("next_quantity") if coded else F.col("is_item") | F.col("next_quantity")
-        begins = F.col("is_section") | F.col("is_marker") | (~F.col("is_aside") & implicit)
-        df = df.withColumn("started", _ever(begins, up_to()))
-        df = df.withColumn("section_label", _carried(F.when(F.col("is_section"), _part(LECLERC["section"], 1)), up_to()))
-        df = df.withColumn("ends", F.expr("started and is_total and not skipped"))
-        df = df.withColumn("finished", _ever(F.col("ends"), before()))
-        df = df.withColumn("kept", F.expr("started and not finished and not ends and not skipped"))
-        plain = ~F.col("is_quantity") & ~F.col("is_discount") & ~F.col("is_item")
-        bare = F.struct(plain.alias("is_label"), text.unstarred_label(F.col("line")).alias("label"))
-        df = df.withColumn("previous", _carried(F.when(F.col("kept"), bare), before()))
-        df = df.withColumn("pending", F.when(F.col("previous.is_label"), F.col("previous.label")))
+
+    return mark
+
+
+def leclerc_body(patterns: dict[str, str]):
+    coded = "body_header" in patterns
+
+    def body(documents: DataFrame) -> DataFrame:
+        # Detail discounts replace discounts of the body and follow it: their places are negative.
+        df = leclerc_details(documents)
+        sold = F.when(F.size("details") > 0, body_places("QI")).otherwise(body_places("QID"))
+        places = F.concat(F.coalesce(sold, F.array().cast("array<int>")), F.transform("details", lambda place: -place))
+        df = at_places(df, places).withColumns({"letter": letter_at(F.abs("place")), "before": last_place("SMA", F.col("place") - 1)})
+        held = (F.col("before") >= F.col("start")) & (letter_at(F.col("before")) == "L")
+        df = df.withColumn("pending", F.when(held, text.unstarred_label(line_at(F.col("before")))))
+        df = df.withColumn("section_at", last_place("MATQDIL", F.col("place")))
+        section = F.regexp_extract(line_at(F.col("section_at")), LECLERC["section"], 1)
 
         q, it, d = patterns["quantity"], patterns["item"], patterns.get("discount", "(?!)")
-        is_q = F.col("is_quantity")
-        is_d = ~is_q & F.col("is_discount")
+        is_q, is_d = F.col("letter") == "Q", F.col("letter") == "D"
+        is_detail = F.col("place") < 0
         plain_row = _part(it, 1) if coded else F.when(is_d, _part(d, 1)).otherwise(_part(it, 1))
         plain_total = _part(it, 2) if coded else F.when(is_d, _part(d, 2)).otherwise(_part(it, 2))
-        sold = F.expr("kept and (is_quantity or is_item or is_discount) and (is_quantity or not is_discount or not has_details)")
+        counted = is_q & ~is_detail
+        detail = LECLERC["detail"]
         row = captured_row(
-            line_index=F.col("line_no"),
-            raw_text=F.when(is_q, F.concat_ws("\n", "pending", "line")).otherwise(F.col("line")),
-            printed_label=F.when(is_q, F.col("pending")).otherwise(text.unstarred_label(plain_row)),
-            printed_quantity=F.when(is_q, _part(q, 1)),
-            printed_price=F.when(is_q, _part(q, 2)),
-            printed_total=F.when(is_q, _part(q, 3)).otherwise(plain_total),
-            vat_code=F.when(is_q, _part(q, 4)).otherwise(_part(it, 3)) if coded else F.lit(None),
-            vat_lookup=F.lit(coded),
-            section_label=F.col("section_label"),
-            kind=F.when(is_d, F.lit("discount")).otherwise(F.lit("item")),
-            failure=F.when(is_q & F.col("pending").isNull(), F.lit(NO_LABEL)),
+            line_index=F.col("line_no") + F.when(is_detail, F.lit(1_000_000_000)).otherwise(F.lit(0)),
+            raw_text=F.when(counted, F.concat_ws("\n", "pending", "line")).otherwise(F.col("line")),
+            printed_label=F.when(is_detail, text.unstarred_label(_part(detail, 1))).when(is_q, F.col("pending")).otherwise(text.unstarred_label(plain_row)),
+            printed_quantity=F.when(counted, _part(q, 1)),
+            printed_price=F.when(counted, _part(q, 2)),
+            printed_total=F.when(is_detail, _part(detail, 2)).when(is_q, _part(q, 3)).otherwise(plain_total),
+            negated=is_detail,
+            vat_code=F.when(is_detail, F.lit(None)).when(is_q, _part(q, 4)).otherwise(_part(it, 3)) if coded else F.lit(None),
+            vat_lookup=~is_detail & coded,
+            section_label=F.when(~is_detail & (F.col("section_at") > 0), section),
+            kind=F.when(is_detail | is_d, F.lit("discount")).otherwise(F.lit("item")),
         )
-        detail = captured_row(
-            # Detail discounts follow the whole body.
-            line_index=F.col("line_no") + 1_000_000_000,
-            raw_text=F.col("line"),
-            printed_label=text.unstarred_label(_part(LECLERC["detail"], 1)),
-            printed_total=_part(LECLERC["detail"], 2),
-            negated=F.lit(True),
-            kind=F.lit("discount"),
-        )
-        return captured_rows(df, F.when(sold, row), F.when(F.col("is_detail"), detail))
+        return captured_rows(df, row)
 
     return body
 
 
+def leclerc_promoting(line: Column, place: Column) -> Column:
+    """Lines some rule mentions; amounts only below the coupons' heading."""
+    return line.rlike(LECLERC_PROMOTING) | ((F.col("opened") > 0) & (place > F.col("opened")) & line.rlike(LECLERC["detail"]))
+
+
 def leclerc_promotions(lines: DataFrame) -> DataFrame:
     """All promotion rules in one pass: each line yields at most one promotion per rule."""
     heading = F.when(_is(LECLERC["points_section"]), text.clean_label(_part(LECLERC["points_section"], 1))).when(
@@ -284,10 +317,13 @@ def _leclerc(name: str, patterns: dict[str, str], vat_row=None) -> FormatSpec:
         headers={k: LECLERC[k] for k in ("header", "ticket", "total")},
         fields={"register_number": ("header", 1), "ticket_number": ("ticket", 1), "total": ("total", 2), "count": ("total", 1)},
         date=DateRule("header", year=4, month=3, day=2, hour=5, minute=6, month_is_name=True),
+        mark=leclerc_marks(patterns),
         body=leclerc_body(patterns),
         payment=LECLERC["payment"],
         vat_row=vat_row,
         promotions=leclerc_promotions,
+        promoting=leclerc_promoting,
+        opens=LECLERC["bons"],
     )
 
 
@@ -309,8 +345,13 @@ LECLERC_PAPER_V2 = register_format(
 # --- Leclerc web -------------------------------------------------------------------------
 
 
-def web_body(lines: DataFrame) -> DataFrame:
-    df = lines.withColumn("over", _ever(_is(WEB["total"]), up_to())).where(~F.col("over") & _is(WEB["line"]))
+def web_marks(documents: DataFrame) -> DataFrame:
+    """T total, I line with an amount, L any other; the body starts with the text."""
+    return bounded(documents, letters("L", ("T", matching(WEB["total"])), ("I", matching(WEB["line"]))), "1", "locate('T', letters)")
+
+
+def web_body(documents: DataFrame) -> DataFrame:
+    df = at_places(documents, body_places("I"))
     df = df.withColumn("printed", text.strip(_part(WEB["line"], 1)))
     counted = F.col("printed").rlike(WEB["counted"])
     df = df.withColumns(
@@ -338,6 +379,7 @@ LECLERC_WEB_V1 = register_format(
         headers={k: WEB[k] for k in ("date", "total")},
         fields={"total": ("total", 2), "count": ("total", 1)},
         date=DateRule("date", year=3, month=2, day=1, month_is_name=True),
+        mark=web_marks,
         body=web_body,
         payment=WEB["payment"],
     )
@@ -346,34 +388,36 @@ LECLERC_WEB_V1 = register_format(
 # --- Auchan paper ------------------------------------------------------------------------
 
 
-def auchan_body(lines: DataFrame) -> DataFrame:
-    # The first matching branch decides what a marker line does.
-    marker = (
-        F.when(_is(AUCHAN["selfscan_start"]), "start")
-        .when(_is(AUCHAN["selfscan_end"]), "stop")
-        .when(_is(AUCHAN["discounts"]), "discounts")
-        .when(_is(AUCHAN["end"]), "total")
-        .when(_is(AUCHAN["host"]), "host")
-    )
-    df = lines.withColumn("marker", marker).withColumn("selfscan", F.max(_is(AUCHAN["selfscan_start"])).over(whole()))
-    begins = F.col("marker").isin("start", "discounts") | ((F.col("marker") == "host") & ~F.col("selfscan"))
-    section = (
-        F.when(F.col("marker") == "start", F.lit(SELFSCAN_SECTION))
-        .when(F.col("marker") == "stop", F.lit(""))
-        .when(F.col("marker") == "discounts", F.lit(DISCOUNT_SECTION))
-    )
-    df = (
-        df.withColumn("started", _ever(begins, up_to()))
-        .withColumn("finished", _ever(F.col("marker") == "total", up_to()))
-        .withColumn("discounting", _ever(F.col("marker") == "discounts", up_to()))
-        .withColumn("section_label", F.nullif(_carried(section, up_to()), F.lit("")))
-    )
-    aside = (
-        _is(AUCHAN["selfscan_start"]) | _is(AUCHAN["selfscan_end"]) | _is(AUCHAN["discounts"])
-        | _is(AUCHAN["scan_warning"]) | _is(AUCHAN["correction"]) | _is(AUCHAN["noise"])
-    )
+def auchan_marks(documents: DataFrame) -> DataFrame:
+    """b and e: self-scan begins and ends, d discounts, t total, H and h: host line that is an item line or not, I item, L any other."""
+    p = AUCHAN["item"]
+
+    def sells(line: Column) -> Column:
+        aside = line.rlike(AUCHAN["scan_warning"]) | line.rlike(AUCHAN["correction"]) | line.rlike(AUCHAN["noise"])
+        label, total = text.strip(F.regexp_extract(line, p, 2)), F.regexp_extract(line, p, 5)
+        # A negative "TOTAL REMISES" repeats the discounts above it.
+        repeated = (text.clean_label(label) == "TOTAL REMISES") & total.startswith("-")
+        return line.rlike(p) & ~aside & ~repeated
+
+    marks = letters(
+        "L",
+        ("b", matching(AUCHAN["selfscan_start"])),
+        ("e", matching(AUCHAN["selfscan_end"])),
+        ("d", matching(AUCHAN["discounts"])),
+        ("t", matching(AUCHAN["end"])),
+        ("H", lambda line: line.rlike(AUCHAN["host"]) & sells(line)),
+        ("h", matching(AUCHAN["host"])),
+        ("I", sells),
+    )
+    # With self-scan the host line begins nothing.
+    start = "regexp_instr(letters, if(contains(letters, 'b'), '[bd]', '[bdhH]'))"
+    return bounded(documents, marks, start, "locate('t', letters)")
+
+
+def auchan_body(documents: DataFrame) -> DataFrame:
+    df = at_places(documents, body_places("IH"))
+    df = df.withColumn("section", letter_at(last_place("HhIL", F.col("place"))))
     p = AUCHAN["item"]
-    sold = df.where("started and not finished").where(~aside & _is(p))
     row = captured_row(
         line_index=F.col("line_no"),
         raw_text=F.col("line"),
@@ -381,13 +425,16 @@ def auchan_body(lines: DataFrame) -> DataFrame:
         printed_quantity=_part(p, 3),
         printed_price=_part(p, 4),
         printed_total=_part(p, 5),
-        recomputed=F.col("discounting"),
+        recomputed=F.contains(letters_to(F.col("place")), F.lit("d")),
         tr_eligible=_part(p, 1) == "*",
-        section_label=F.col("section_label"),
+        section_label=F.when(F.col("section") == "b", F.lit(SELFSCAN_SECTION)).when(F.col("section") == "d", F.lit(DISCOUNT_SECTION)),
     )
-    # A negative "TOTAL REMISES" repeats the discounts above it.
-    repeated = (text.clean_label(text.strip(_part(p, 2))) == "TOTAL REMISES") & _part(p, 5).startswith("-")
-    return captured_rows(sold.where(~repeated), row)
+    return captured_rows(df, row)
+
+
+def auchan_promoting(line: Column, place: Column) -> Column:
+    """Lines from the first account heading on."""
+    return (F.col("opened") > 0) & (place >= F.col("opened"))
 
 
 def auchan_loyalty(lines: DataFrame) -> DataFrame:
@@ -410,8 +457,8 @@ def auchan_loyalty(lines: DataFrame) -> DataFrame:
     return promotion_rows(inside, F.when(_is(day), event).when(_is(credit), credited))
 
 
-def auchan_scan_warnings(lines: DataFrame) -> DataFrame:
-    return lines.where(_is(AUCHAN["scan_warning"])).select(
+def auchan_scan_warnings(documents: DataFrame) -> DataFrame:
+    return lines_where(documents, lambda line, _: line.rlike(AUCHAN["scan_warning"])).select(
         "document_id", "line_no", warnings.build_warning("auchan_selfscan_warning", F.col("line")).alias("warning")
     )
 
@@ -428,9 +475,12 @@ AUCHAN_PAPER_V1 = register_format(
             "count": ("count", 1),
         },
         date=DateRule("date", year=3, month=2, day=1, hour=4, minute=5, second=6, month_is_name=True),
+        mark=auchan_marks,
         body=auchan_body,
         payment=AUCHAN["payment"],
         promotions=auchan_loyalty,
+        promoting=auchan_promoting,
+        opens=AUCHAN["account"],
         line_warnings=auchan_scan_warnings,
         mild=lambda w: (w["code"] == "auchan_selfscan_warning") & ~w["detail"].rlike(AUCHAN["severe"]),
     )
@@ -439,32 +489,31 @@ AUCHAN_PAPER_V1 = register_format(
 # --- Magasins U paper --------------------------------------------------------------------
 
 
-def u_v1_body(lines: DataFrame) -> DataFrame:
-    df = (
-        lines.withColumn("is_section", _is(U_V1["section"]))
-        .withColumn("is_quantity", _is(U_V1["quantity"]))
-        .withColumn("is_weighted", _is(U_V1["weighted"]))
-        .withColumn("is_item", _is(U_V1["item"]))
-    )
-    df = df.withColumn("started", _ever(F.col("is_section"), up_to())).withColumn(
-        "section_label", _carried(F.when(F.col("is_section"), _part(U_V1["section"], 1)), up_to())
+def u_v1_marks(documents: DataFrame) -> DataFrame:
+    """S section, E end of the body, Q quantity, G weighed, I item, L any other."""
+    marks = letters(
+        "L",
+        ("S", matching(U_V1["section"])),
+        ("E", lambda line: line.rlike(U_V1["end"]) | line.rlike(U_V1["total"])),
+        ("Q", matching(U_V1["quantity"])),
+        ("G", matching(U_V1["weighted"])),
+        ("I", matching(U_V1["item"])),
     )
-    df = df.withColumn("ends", F.col("started") & ~F.col("is_section") & (_is(U_V1["end"]) | _is(U_V1["total"])))
-    df = df.withColumn("finished", _ever(F.col("ends"), before()))
-    df = df.withColumn("kept", F.expr("started and not finished and not ends and not is_section"))
-    coded = _is(U_V1["coded_label"])
-    bare = F.struct(
-        F.expr("not (is_section or is_quantity or is_weighted or is_item)").alias("is_label"),
-        text.strip(F.when(coded, _part(U_V1["coded_label"], 1)).otherwise(F.col("line"))).alias("label"),
-        F.when(coded, _part(U_V1["coded_label"], 2)).alias("code"),
-    )
-    df = df.withColumn("previous", _carried(F.when(F.expr("kept or is_section"), bare), before()))
-    df = df.withColumn("pending", F.when(F.col("previous.is_label"), F.col("previous.label"))).withColumn(
-        "pending_code", F.when(F.col("previous.is_label"), F.col("previous.code"))
+    return bounded(
+        documents, marks, "locate('S', letters)", "if(start > 0, locate('E', letters, start), 0)",
+        f"if(start > 0 and substr(letters, start, finish - start) rlike '[^L][QG]', '{NO_LABEL}', null)",
     )
+
+
+def u_v1_body(documents: DataFrame) -> DataFrame:
+    df = at_places(documents, body_places("QGI")).withColumn("letter", letter_at(F.col("place")))
+    # Inside the body only sections are no rows, so the label of a quantity stands right above it.
+    df = df.withColumn("above", F.when(letter_at(F.col("place") - 1) == "L", line_at(F.col("place") - 1)))
+    coded = F.col("above").rlike(U_V1["coded_label"])
+    label = F.when(coded, F.regexp_extract("above", U_V1["coded_label"], 1)).otherwise(F.col("above"))
+    df = df.withColumn("pending", text.strip(label)).withColumn("pending_code", F.when(coded, F.regexp_extract("above", U_V1["coded_label"], 2)))
     q, g, it = U_V1["quantity"], U_V1["weighted"], U_V1["item"]
-    is_q = F.col("is_quantity")
-    is_g = ~is_q & F.col("is_weighted")
+    is_q, is_g = F.col("letter") == "Q", F.col("letter") == "G"
     continued = is_q | is_g
     row = captured_row(
         line_index=F.col("line_no"),
@@ -478,68 +527,60 @@ def u_v1_body(lines: DataFrame) -> DataFrame:
         unit_of_measure=F.when(is_g, F.lower(_part(g, 2))).otherwise(F.lit("piece")),
         vat_code=F.when(is_q, _part(q, 4)).when(is_g, F.col("pending_code")).otherwise(_part(it, 3)),
         vat_lookup=F.lit(True),
-        section_label=F.col("section_label"),
+        section_label=F.regexp_extract(line_at(last_place("EQGIL", F.col("place"))), U_V1["section"], 1),
         kind=F.lit("item"),
-        failure=F.when(continued & F.col("pending").isNull(), F.lit(NO_LABEL)),
     )
-    return captured_rows(df.where("kept and (is_quantity or is_weighted or is_item)"), row)
+    return captured_rows(df, row)
 
 
-def u_v2_body(lines: DataFrame) -> DataFrame:
-    df = (
-        lines.withColumn("is_sale", _is(U_V2["sale"]))
-        .withColumn("is_quantity", _is(U_V2["quantity"]))
-        .withColumn("is_item", _is(U_V2["item"]))
+def u_v2_marks(documents: DataFrame) -> DataFrame:
+    """S sale, E end of the body, Q quantity, I item, L any other."""
+    marks = letters(
+        "L",
+        ("S", matching(U_V2["sale"])),
+        ("E", lambda line: line.rlike(U_V2["end"]) | line.rlike(U_V2["total"])),
+        ("Q", matching(U_V2["quantity"])),
+        ("I", matching(U_V2["item"])),
     )
-    df = df.withColumn("started", _ever(F.col("is_sale"), up_to()))
-    df = df.withColumn("ends", F.col("started") & ~F.col("is_sale") & (_is(U_V2["end"]) | _is(U_V2["total"])))
-    df = df.withColumn("finished", _ever(F.col("ends"), before()))
-    df = df.withColumn("kept", F.expr("started and not finished and not ends and not is_sale"))
-    df = df.withColumn(
-        "section_label", _carried(F.when(F.expr("kept and not is_quantity and not is_item"), F.col("line")), up_to())
+    return bounded(
+        documents, marks, "locate('S', letters)", "if(start > 0, locate('E', letters, start), 0)",
+        f"if(start > 0 and translate(substr(letters, start, finish - start), 'SL', '') rlike '(^|Q)Q', '{NO_LABEL}', null)",
     )
-    it, q = U_V2["item"], U_V2["quantity"]
+
+
+def u_v2_body(documents: DataFrame) -> DataFrame:
+    df = at_places(documents, body_places("QI")).withColumn("is_quantity", letter_at(F.col("place")) == "Q")
     # The last item or quantity line before decides: an item is pending, a quantity line is not.
-    event = F.struct(
-        (~F.col("is_quantity")).alias("is_item"),
-        F.col("line").alias("line"),
-        text.strip(_part(it, 1)).alias("label"),
-        _part(it, 2).alias("tr"),
-        _part(it, 3).alias("total"),
-        _part(it, 4).alias("code"),
-        F.col("section_label").alias("section_label"),
-    )
-    df = df.withColumn("previous", _carried(F.when(F.expr("kept and (is_quantity or is_item)"), event), before()))
-    df = df.withColumn("pending", F.when(F.col("previous.is_item"), F.col("previous")))
-    sold = captured_row(
-        line_index=F.col("line_no"),
-        raw_text=F.concat_ws("\n", "pending.line", "line"),
-        printed_label=F.col("pending.label"),
-        printed_quantity=_part(q, 1),
-        printed_price=_part(q, 2),
-        printed_total=F.col("pending.total"),
-        vat_code=F.col("pending.code"),
-        vat_lookup=F.lit(True),
-        # A missing code is reported once, by the item line below.
-        reports_vat=F.lit(False),
-        tr_eligible=F.col("pending.tr") == "(T)",
-        section_label=F.col("pending.section_label"),
-        kind=F.lit("item"),
-        failure=F.when(F.col("pending").isNull(), F.lit(NO_LABEL)),
-    )
-    # Every item line looks its VAT code up, also one that no quantity line follows.
-    looked_up = captured_row(
+    df = df.withColumn("sold_at", last_place("SL", F.col("place") - 1)).withColumn("label_at", last_place("SQI", F.col("sold_at")))
+    held = F.col("is_quantity") & (F.col("sold_at") > F.col("start")) & (letter_at(F.col("sold_at")) == "I")
+    df = df.withColumn("pending", F.when(held, line_at(F.col("sold_at"))))
+    it, q = U_V2["item"], U_V2["quantity"]
+    is_q = F.col("is_quantity")
+
+    def of_pending(group: int) -> Column:
+        return F.regexp_extract("pending", it, group)
+
+    row = captured_row(
         line_index=F.col("line_no"),
-        raw_text=F.col("line"),
-        printed_label=F.lit(""),
-        vat_code=_part(it, 4),
+        raw_text=F.when(is_q, F.concat_ws("\n", "pending", "line")).otherwise(F.col("line")),
+        printed_label=F.when(is_q, text.strip(of_pending(1))).otherwise(F.lit("")),
+        printed_quantity=F.when(is_q, _part(q, 1)),
+        printed_price=F.when(is_q, _part(q, 2)),
+        printed_total=F.when(is_q, of_pending(3)),
+        vat_code=F.when(is_q, of_pending(4)).otherwise(_part(it, 4)),
         vat_lookup=F.lit(True),
+        # A missing code is reported once, by the item line itself: it looks its code up, also if no quantity line follows.
+        reports_vat=~is_q,
+        tr_eligible=is_q & (of_pending(2) == "(T)"),
+        section_label=F.when(is_q & (F.col("label_at") > F.col("start")), line_at(F.col("label_at"))),
         kind=F.lit("item"),
-        emitted=F.lit(False),
-    )
-    return captured_rows(
-        df.where("kept and (is_quantity or is_item)"), F.when(F.col("is_quantity"), sold).otherwise(looked_up)
+        emitted=is_q,
     )
+    return captured_rows(df, row)
+
+
+def u_promoting(line: Column, place: Column) -> Column:
+    return (place <= F.greatest("copies", F.lit(1))) | line.rlike("|".join(f"(?:{pattern})" for pattern in U.values()))
 
 
 def u_promotions(lines: DataFrame) -> DataFrame:
@@ -580,10 +621,12 @@ U_PAPER_V1 = register_format(
             "count": ("total", 1),
         },
         date=DateRule("header", year=4, month=3, day=2, hour=5, minute=6),
+        mark=u_v1_marks,
         body=u_v1_body,
         payment=U_V1["payment"],
         vat_row=_u_vat(U_V1["vat_row"]),
         promotions=u_promotions,
+        promoting=u_promoting,
     )
 )
 U_PAPER_V2 = register_format(
@@ -598,9 +641,11 @@ U_PAPER_V2 = register_format(
             "count": ("total", 1),
         },
         date=DateRule("footer", year=3, month=2, day=1, hour=4, minute=5, second=6),
+        mark=u_v2_marks,
         body=u_v2_body,
         payment=U_V2["payment"],
         vat_row=_u_vat(U_V2["vat_row"]),
         promotions=u_promotions,
+        promoting=u_promoting,
     )
 )

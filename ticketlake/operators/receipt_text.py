@@ -2,7 +2,9 @@
 
 Every stage is keyed by document. Texts are hash-partitioned by document once, before
 they are cut into lines; all later windows, aggregates and joins use that partitioning.
-A format is a ``FormatSpec``: patterns plus functions that turn classified lines into rows.
+Lines stay in the row of their document: each is marked with one letter, so where a body begins,
+ends or fails is a search in the document's letters. Only lines that state something become rows.
+A format is a ``FormatSpec``: patterns plus functions that turn marked documents into rows.
 """
 
 from __future__ import annotations
@@ -38,6 +40,15 @@ def whole():
     return Window.partitionBy("document_id")
 
 
+HEADER_COLUMNS = [
+    "parser_format",
+    "purchased_at",
+    "register_number",
+    "ticket_number",
+    "cashier_code",
+    "total_cents",
+    "declared_article_count",
+]
 LINE_COLUMNS = [
     "raw_text",
     "label",
@@ -70,32 +81,125 @@ class FormatSpec(NamedTuple):
     """Declaration of one receipt format.
 
     ``headers``: named patterns; the first matching line of each is kept per document.
-    ``fields``: header field -> (header name, group). ``body``: lines -> item rows.
+    ``fields``: header field -> (header name, group). ``mark``: documents with ``letters``, ``start``,
+    ``finish`` and ``failure`` of the body. ``body``: marked documents -> item rows.
     ``vat_row``: (pattern, code group, rate from the matching line). ``promotions``: lines ->
-    promotion rows. ``line_warnings``: lines -> warning rows. ``mild``: warning codes that do
-    not force review by themselves.
+    promotion rows; ``promoting``: which lines (line, place) these rules read; ``opens``: pattern whose first
+    line is at ``opened`` for it (0: none).
+    ``line_warnings``: lines -> warning rows. ``mild``: warning codes that do not force review by themselves.
     """
 
     name: str
     headers: dict[str, str]
     fields: dict[str, tuple[str, int]]
     date: DateRule
+    mark: Callable[[DataFrame], DataFrame]
     body: Callable[[DataFrame], DataFrame]
     payment: str
     vat_row: tuple[str, int, Callable[[Column], Column]] | None = None
     promotions: Callable[[DataFrame], DataFrame] | None = None
+    promoting: Callable[[Column, Column], Column] | None = None
+    opens: str = "(?!)"
     line_warnings: Callable[[DataFrame], DataFrame] | None = None
     mild: Callable[[Column], Column] | None = None
 
 
+def cut_lines(whole_text: Column) -> Column:
+    """Non-blank trimmed lines."""
+    return F.filter(F.transform(F.split(whole_text, "\n"), text.strip), lambda line: ~text.is_blank(line))
+
+
 def explode_lines(documents: DataFrame) -> DataFrame:
     """Non-blank trimmed lines, numbered from 1 inside the row that holds the text."""
-    kept = F.filter(F.transform(F.split("text", "\n"), text.strip), lambda line: ~text.is_blank(line))
-    return documents.select("document_id", F.posexplode(kept).alias("_at", "line")).select(
+    return documents.select("document_id", F.posexplode(cut_lines(F.col("text"))).alias("_at", "line")).select(
         "document_id", (F.col("_at") + 1).alias("line_no"), "line"
     )
 
 
+def whole_documents(documents: DataFrame) -> DataFrame:
+    """One row per id with its ``lines``; ``copies`` counts the rows it had.
+
+    Texts that share an id are one document, its lines in order of their numbers in each text: only
+    then ``numbers`` holds these, else a line's number is its place.
+    """
+    texts = documents.groupBy("document_id").agg(F.count("*").cast("int").alias("copies"), F.collect_list("text").alias("_texts"))
+    numbered = F.transform(
+        "_texts", lambda t: F.transform(cut_lines(t), lambda line, at: F.struct((at + 1).alias("line_no"), line.alias("line")))
+    )
+    several = F.size("_texts") > 1
+    merged = texts.withColumn("_merged", F.when(several, F.array_sort(F.flatten(numbered))))
+    return merged.select(
+        "document_id",
+        "copies",
+        F.when(several, F.col("_merged.line")).otherwise(F.coalesce(cut_lines(F.get("_texts", F.lit(0))), F.array().cast("array<string>"))).alias("lines"),
+        F.col("_merged.line_no").alias("numbers"),
+    )
+
+
+def number_of(place: Column) -> Column:
+    return F.coalesce(F.get("numbers", place - 1), place)
+
+
+def lines_where(documents: DataFrame, wanted: Callable[[Column, Column], Column], of: Column | None = None) -> DataFrame:
+    """Lines for which ``wanted`` (line, place) holds, as rows; of documents for which ``of`` holds."""
+    found = F.transform("lines", lambda line, at: F.when(wanted(line, at + 1), F.struct((at + 1).alias("place"), line.alias("line"))))
+    kept = F.filter(found, lambda one: one.isNotNull())
+    rows = documents.select("document_id", "numbers", F.inline(kept if of is None else F.when(of, kept)))
+    return rows.select("document_id", number_of(F.col("place")).alias("line_no"), "line")
+
+
+def letters(otherwise: str, *rules: tuple[str, Callable[[Column], Column]]) -> Column:
+    """One letter per line: that of the first rule that holds."""
+
+    def letter(line: Column) -> Column:
+        cases = F.when(F.lit(False), F.lit(""))
+        for name, holds in rules:
+            cases = cases.when(holds(line), F.lit(name))
+        return cases.otherwise(F.lit(otherwise))
+
+    return F.array_join(F.transform("lines", letter), "")
+
+
+def matching(pattern: str) -> Callable[[Column], Column]:
+    return lambda line: line.rlike(pattern)
+
+
+def letter_at(place: Column) -> Column:
+    return F.substr("letters", place, F.lit(1))
+
+
+def letters_to(place: Column) -> Column:
+    return F.substr("letters", F.lit(1), place)
+
+
+def line_at(place: Column) -> Column:
+    return F.get("lines", place - 1)
+
+
+def last_place(passed: str, place: Column) -> Column:
+    """The last place up to ``place`` whose letter is none of ``passed``; 0 if there is none."""
+    return F.length(F.rtrim(letters_to(place), F.lit(passed)))
+
+
+def body_places(wanted: str) -> Column:
+    """Places of the body (``start`` to before ``finish``) with one of the ``wanted`` letters."""
+    within = F.when(F.expr("start > 0 and start < finish"), F.sequence(F.col("start"), F.col("finish") - 1))
+    return F.filter(within, lambda place: F.lit(wanted).contains(letter_at(place)))
+
+
+def at_places(documents: DataFrame, places: Column) -> DataFrame:
+    """A row per place of sound documents, with its line; a negative place keeps its sign."""
+    placed = documents.select("*", F.explode(F.when(F.col("sound"), places)).alias("place"))
+    return placed.withColumns({"line": line_at(F.abs("place")), "line_no": number_of(F.abs("place"))})
+
+
+def bounded(documents: DataFrame, marks: Column, start: str, finish: str, failure: str | None = None) -> DataFrame:
+    """``letters`` of the lines and, from SQL over them, where the body starts (0: nowhere), finishes and how it fails."""
+    df = documents.withColumn("letters", marks).withColumn("start", F.expr(start))
+    df = df.withColumn("finish", F.expr(f"coalesce(nullif({finish}, 0), length(letters) + 1)"))
+    return df.withColumn("failure", F.expr(failure or "cast(null as string)"))
+
+
 def first_matches(lines: DataFrame, patterns: dict[str, str]) -> DataFrame:
     """Per document the first line matching each named pattern: one aggregation for all patterns."""
     hits = {f"_hit_{name}": F.col("line").rlike(pattern) for name, pattern in patterns.items()}
@@ -107,9 +211,10 @@ def first_matches(lines: DataFrame, patterns: dict[str, str]) -> DataFrame:
     return matching.groupBy("document_id").agg(*firsts)
 
 
-def extract_header(documents: DataFrame, lines: DataFrame, spec: FormatSpec) -> DataFrame:
-    """Register, ticket, cashier, time, total and declared count per document."""
-    found = documents.select("document_id").join(first_matches(lines, spec.headers), "document_id", "left")
+def extract_header(documents: DataFrame, spec: FormatSpec) -> DataFrame:
+    """Register, ticket, cashier, time, total and declared count of each document, beside its columns."""
+    firsts = {f"first_{name}": F.get(F.filter("lines", matching(pattern)), F.lit(0)) for name, pattern in spec.headers.items()}
+    found = documents.withColumns({name: F.when(F.col("document_id").isNotNull(), first) for name, first in firsts.items()})
 
     def group(name: str, index: int) -> Column:
         return F.nullif(F.regexp_extract(f"first_{name}", spec.headers[name], index), F.lit(""))
@@ -123,7 +228,7 @@ def extract_header(documents: DataFrame, lines: DataFrame, spec: FormatSpec) ->
         for part in ("year", "month", "day", "hour", "minute", "second")
     }
     captured = found.select(
-        "document_id",
+        *documents.columns,
         F.col(f"first_{rule.pattern}").isNotNull().alias("_dated"),
         *[text_part.alias("_" + part) for part, text_part in printed.items()],
         *[field(f).alias(f) for f in ("register_number", "ticket_number", "cashier_code", "total", "count")],
@@ -134,7 +239,7 @@ def extract_header(documents: DataFrame, lines: DataFrame, spec: FormatSpec) ->
     )
     purchased = dates.purchase_timestamp(*[F.col("_" + part) for part in ("year", "month", "day", "hour", "minute", "second")])
     return numbers.select(
-        "document_id",
+        *documents.columns,
         F.lit(spec.name).alias("parser_format"),
         purchased.alias("purchased_at"),
         "register_number",
@@ -159,28 +264,25 @@ def extract_payments(lines: DataFrame, spec: FormatSpec) -> DataFrame:
     )
 
 
-def vat_tables(lines: DataFrame, spec: FormatSpec) -> DataFrame:
-    """Per document its VAT rows, last row of a code first."""
+def vat_table(spec: FormatSpec) -> Column:
+    """VAT rows of a document, last row of a code first."""
+    if spec.vat_row is None:
+        return F.lit(None)
     pattern, code, rate = spec.vat_row
-    rows = lines.where(F.col("line").rlike(pattern)).select(
-        "document_id",
-        F.struct(
-            (-F.col("line_no")).alias("place"),
-            F.regexp_extract("line", pattern, code).alias("code"),
-            rate(F.col("line")).alias("rate"),
-        ).alias("row"),
+    rows = F.transform(
+        F.filter("lines", matching(pattern)),
+        lambda line: F.struct(F.regexp_extract(line, pattern, code).alias("code"), rate(line).alias("rate")),
     )
-    return rows.groupBy("document_id").agg(F.array_sort(F.collect_list("row")).alias("vat_rows"))
+    return F.reverse(rows)
 
 
-def vat_code_lookup(rows: DataFrame, lines: DataFrame, spec: FormatSpec) -> DataFrame:
+def vat_code_lookup(rows: DataFrame, spec: FormatSpec) -> DataFrame:
     """VAT rate per row from its document's table; ``vat_missing`` marks looked-up codes without a row."""
     if spec.vat_row is None:
-        return rows.withColumn("vat_rate_bp", F.col("vat_fixed_bp")).withColumn("vat_missing", F.lit(False))
-    joined = rows.join(vat_tables(lines, spec), "document_id", "left")
+        return rows.withColumn("vat_rate_bp", F.col("vat_fixed_bp")).withColumn("vat_missing", F.lit(False)).drop("vat_rows")
     hit = F.get(F.filter("vat_rows", lambda v: v["code"] == F.col("vat_code")), 0)
     return (
-        joined.withColumn("_hit", hit)
+        rows.withColumn("_hit", hit)
         .withColumn("vat_rate_bp", F.when(F.col("vat_lookup"), F.col("_hit.rate")).otherwise(F.col("vat_fixed_bp")))
         .withColumn("vat_missing", F.col("vat_lookup") & F.col("reports_vat") & F.col("_hit").isNull())
         .drop("_hit", "vat_rows")
@@ -220,10 +322,9 @@ def captured_row(**stated: Column) -> Column:
     )
 
 
-def captured_rows(df: DataFrame, *rows: Column) -> DataFrame:
-    """The non-null structs of each line as rows."""
-    kept = F.filter(F.array(*rows), lambda r: r.isNotNull()) if len(rows) > 1 else F.array(*rows)
-    return df.select("document_id", F.inline(kept))
+def captured_rows(df: DataFrame, row: Column) -> DataFrame:
+    """The struct of each place as a row."""
+    return df.select("document_id", "vat_rows", F.inline(F.array(row)))
 
 
 def converted_rows(rows: DataFrame) -> DataFrame:
@@ -316,53 +417,62 @@ class ParsedReceipts:
         self.placed = by_document(documents.select("document_id", "text"))
 
     @cached_property
-    def text_lines(self) -> DataFrame:
-        return explode_lines(self.placed)
+    def _headed(self) -> DataFrame:
+        """Documents with their lines, header values and the reason a document fails, if it does."""
+        headed = extract_header(self.spec.mark(whole_documents(self.placed)), self.spec)
+        reason = F.coalesce(
+            F.col("failure"),
+            F.when(F.col("bad_date"), F.lit("unreadable purchase date")),
+            F.when(F.col("total_cents").isNull(), F.lit("no receipt total")),
+        )
+        return headed.withColumn("failure", reason).withColumn("sound", F.col("failure").isNull())
+
+    def _of_rows(self, *columns: str) -> DataFrame:
+        """Values of a document, once for each row it had."""
+        rows = self._headed.select("document_id", *columns, F.explode(F.sequence(F.lit(1), "copies")))
+        return rows.select("document_id", *columns)
 
     @cached_property
     def _rows(self) -> DataFrame:
-        return vat_code_lookup(converted_rows(self.spec.body(self.text_lines)), self.text_lines, self.spec)
+        """What the bodies of sound documents state."""
+        stated = self.spec.body(self._headed.withColumn("vat_rows", vat_table(self.spec)))
+        return vat_code_lookup(converted_rows(stated), self.spec)
 
     @cached_property
     def header(self) -> DataFrame:
-        return extract_header(self.placed, self.text_lines, self.spec)
+        return self._of_rows(*HEADER_COLUMNS, "bad_date")
 
     @cached_property
     def judged(self) -> DataFrame:
         """Header values, VAT warnings and the reason a document fails, if it does."""
+        header = self._of_rows(*HEADER_COLUMNS, "failure")
+        if self.spec.vat_row is None:
+            return header.withColumn("_vat", F.lit(None).cast(f"array<struct<line_index:int,warning:{warnings.WARNING_TYPE}>>"))
         vat_warning = warnings.build_warning("missing_vat_code", F.format_string(fixed.VAT_TEXT, F.coalesce("vat_code", F.lit(""))))
-        per_body = self._rows.groupBy("document_id").agg(
-            F.min("failure").alias("body_failure"),
-            F.array_sort(F.collect_list(F.when(F.col("vat_missing"), F.struct("line_index", vat_warning.alias("warning"))))).alias("_vat"),
-        )
-        reason = F.coalesce(
-            F.col("body_failure"),
-            F.when(F.col("bad_date"), F.lit("unreadable purchase date")),
-            F.when(F.col("total_cents").isNull(), F.lit("no receipt total")),
+        missing = self._rows.where("vat_missing").groupBy("document_id").agg(
+            F.array_sort(F.collect_list(F.struct("line_index", vat_warning.alias("warning")))).alias("_vat")
         )
-        return self.header.join(per_body, "document_id", "left").withColumn("failure", reason).drop("body_failure", "bad_date")
-
-    def _of_sound(self, children: DataFrame) -> DataFrame:
-        return children.join(self.judged.where("failure is null").select("document_id"), "document_id", "left_semi")
+        return header.join(missing, "document_id", "left")
 
     @cached_property
     def lines(self) -> DataFrame:
-        """Lines of sound documents. The body is evaluated once: its failures spread by window."""
-        readable = self.header.where("not bad_date and total_cents is not null").select("document_id")
-        rows = self._rows.withColumn("_failure", F.max("failure").over(whole())).where("_failure is null and emitted")
-        emitted = rows.join(readable, "document_id", "left_semi").select("document_id", "line_index", *LINE_COLUMNS)
+        """Lines of sound documents."""
+        emitted = self._rows.where("emitted and document_id is not null").select("document_id", "line_index", *LINE_COLUMNS)
         merged = coalesce_repeated_in_place(emitted, "document_id", "line_index")
         return assign_line_positions(merged).select("document_id", "position", *LINE_COLUMNS)
 
     @cached_property
     def payments(self) -> DataFrame:
-        return self._of_sound(extract_payments(self.text_lines, self.spec))
+        return extract_payments(lines_where(self._headed, lambda line, _: line.rlike(self.spec.payment), F.col("sound")), self.spec)
 
     @cached_property
     def promotions(self) -> DataFrame:
         rules = self.spec.promotions
-        stated = rules(self.text_lines) if rules else promotion_rows(self.text_lines, F.lit(None).cast(PROMOTION_TYPE))
-        return link_promotion_to_line(self._of_sound(stated), self.lines).drop("link_label")
+        promoting = self.spec.promoting or (lambda line, place: F.lit(False))
+        opened = F.array_position(F.transform("lines", matching(self.spec.opens)), F.lit(True))
+        lines = lines_where(self._headed.withColumn("opened", opened), promoting, F.col("sound"))
+        stated = rules(lines) if rules else promotion_rows(lines, F.lit(None).cast(PROMOTION_TYPE))
+        return link_promotion_to_line(stated, self.lines).drop("link_label")
 
     @cached_property
     def receipts(self) -> DataFrame:
@@ -370,7 +480,7 @@ class ParsedReceipts:
         found = F.transform("_vat", lambda n: n["warning"])
         none = F.array().cast(f"array<{warnings.WARNING_TYPE}>")
         if self.spec.line_warnings is not None:
-            noted = self.spec.line_warnings(self.text_lines).groupBy("document_id").agg(
+            noted = self.spec.line_warnings(self._headed).groupBy("document_id").agg(
                 F.array_sort(F.collect_list(F.struct("line_no", "warning"))).alias("_noted")
             )
             judged = judged.join(noted, "document_id", "left")

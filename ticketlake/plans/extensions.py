@@ -11,12 +11,17 @@ from ticketlake.plans.registry import query
 ITEM = r"(?d)\A(.+?) ; (\d+\.\d{2})\z"
 
 
-def stall_body(lines):
+def stall_marks(documents):
+    """I item, L any other line; the body is the whole text."""
+    return parsing.bounded(documents, parsing.letters("L", ("I", parsing.matching(ITEM))), "1", "0")
+
+
+def stall_body(documents):
     row = parsing.captured_row(
         line_index=F.col("line_no"), raw_text=F.col("line"), printed_label=F.regexp_extract("line", ITEM, 1),
         printed_total=F.regexp_extract("line", ITEM, 2), kind=F.lit("item"),
     )
-    return parsing.captured_rows(lines.where(F.col("line").rlike(ITEM)), row)
+    return parsing.captured_rows(parsing.at_places(documents, parsing.body_places("I")), row)
 
 
 STALL = parsing.FormatSpec(
@@ -24,6 +29,7 @@ STALL = parsing.FormatSpec(
     headers={"when": r"\ADate (\d{4})-(\d{2})-(\d{2})\z", "sum": r"\ASomme (\d+\.\d{2})\z"},
     fields={"total": ("sum", 1)},
     date=parsing.DateRule("when", year=1, month=2, day=3),
+    mark=stall_marks,
     body=stall_body,
     payment=r"\A(ESPECES) (\d+\.\d{2})\z",
 )
