@@ -72,15 +72,15 @@ def strip(text: Column) -> Column:
 
 
 def clean_label(label: Column) -> Column:
-    return strip(F.regexp_replace(label, "\\s*\\.\\.\\z", ""))
+    return strip(F.when(label_truncated(label), F.regexp_replace(label, "\\s*\\.\\.\\z", "")).otherwise(label))
 
 
 def label_truncated(label: Column) -> Column:
-    return label.rlike("\\.\\.\\z")
+    return label.endswith("..")
 
 
 def unstarred_label(label: Column) -> Column:
-    return strip(F.regexp_replace(label, "\\A\\*", ""))
+    return strip(F.when(label.startswith("*"), F.substr(label, F.lit(2))).otherwise(label))
 
 
 def comparable_label(label: Column) -> Column:

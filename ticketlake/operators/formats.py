@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ticketlake.functions import money, text, warnings
 from ticketlake.operators.receipt_text import (
+    SIGNS,
     DateRule,
     FormatSpec,
     after,
@@ -21,6 +22,11 @@ from ticketlake.operators.receipt_text import (
     bounded,
     captured_row,
     captured_rows,
+    cents_after,
+    first_of,
+    group_of,
+    groups,
+    has,
     last_place,
     letter_at,
     letters,
@@ -31,6 +37,7 @@ from ticketlake.operators.receipt_text import (
     promotion,
     promotion_rows,
     register_format,
+    starts,
     up_to,
     whole,
 )
@@ -135,6 +142,62 @@ U_V2 = {
 }
 NO_LABEL = "quantity line without a label"
 LECLERC_REMISES = "REMISES"
+DIGITS = "0123456789"
+SIGNS |= {
+    LECLERC["header"]: starts("Caisse "),
+    LECLERC["ticket"]: first_of("T" + DIGITS),
+    LECLERC["section"]: starts(">>"),
+    LECLERC["total"]: starts("Total "),
+    LECLERC["separator"]: starts("-"),
+    LECLERC["bons"]: starts("BONS"),
+    LECLERC["contribution"]: starts("("),
+    LECLERC["payment"]: first_of("BbCc"),
+    LECLERC["bon_achat"]: starts("Bon achat carte"),
+    LECLERC["detail"]: cents_after("."),  # v1 items and web lines have this pattern too
+    LECLERC_V1["discount"]: lambda line: has("-")(line) & cents_after(".")(line),
+    LECLERC_V1["quantity"]: first_of(DIGITS),
+    LECLERC_V2["body_header"]: starts("TTC"),
+    LECLERC_V2["item"]: has("."),
+    LECLERC_V2["quantity"]: first_of(DIGITS),
+    LECLERC_V2["vat_row"]: has("%"),
+    WEB["date"]: starts("Caisse"),
+    WEB["payment"]: starts("CB Web "),
+    AUCHAN["item"]: cents_after(","),
+    AUCHAN["date"]: starts("Le "),
+    AUCHAN["register"]: starts("Caisse"),
+    AUCHAN["cashier"]: starts("Hôte(sse)"),
+    AUCHAN["total"]: starts("Total "),
+    AUCHAN["count"]: first_of(DIGITS),
+    AUCHAN["payment"]: starts("Reçu "),
+    AUCHAN["selfscan_start"]: has(AUCHAN["selfscan_start"]),
+    AUCHAN["selfscan_end"]: has(AUCHAN["selfscan_end"]),
+    AUCHAN["discounts"]: starts(DISCOUNT_SECTION),
+    AUCHAN["end"]: starts("Total"),
+    AUCHAN["host"]: has("Hôte(sse)"),
+    AUCHAN["scan_warning"]: lambda line: has("lecture part")(F.lower(line)) | has("nouveau ")(F.lower(line)),
+    AUCHAN["correction"]: first_of("+-"),
+    AUCHAN["account"]: first_of("VvCc"),
+    U["before"]: first_of("Cc"),
+    U["after"]: first_of("Cc"),
+    U["vignettes"]: first_of(DIGITS),
+    U_V1["header"]: first_of(DIGITS),
+    U_V1["section"]: starts(">>>>"),
+    U_V1["item"]: has("€"),
+    U_V1["quantity"]: first_of(DIGITS),
+    U_V1["weighted"]: first_of(DIGITS),
+    U_V1["total"]: starts("TOTAL"),
+    U_V1["end"]: starts("="),
+    U_V1["payment"]: first_of("CE"),
+    U_V1["vat_row"]: first_of(DIGITS),
+    U_V2["sale"]: starts("***"),
+    U_V2["item"]: has("€"),
+    U_V2["quantity"]: first_of(DIGITS),
+    U_V2["total"]: starts("TOTAL ["),
+    U_V2["end"]: starts("Nombre"),
+    U_V2["payment"]: starts("CB "),
+    U_V2["vat_row"]: first_of(DIGITS),
+    U_V2["footer"]: first_of(DIGITS),
+}
 # Every pattern a promotion rule asks, coupons' amounts apart.
 LECLERC_PROMOTING = "|".join(
     f"(?:{LECLERC[name]})"
@@ -143,10 +206,12 @@ LECLERC_PROMOTING = "|".join(
         "vignette_accrual", "vignette_consumption", "vignette_section", "vignette_operation",
     ]
 )
+# These begin with a dash, "Bon", "Cumul", "Operation" or "Vous", some in letters of either case.
+SIGNS[LECLERC_PROMOTING] = first_of("-BCcOoVv")
 
 
 def _is(pattern: str) -> Column:
-    return F.col("line").rlike(pattern)
+    return matching(pattern)(F.col("line"))
 
 
 def _part(pattern: str, group: int) -> Column:
@@ -183,8 +248,8 @@ def leclerc_details(documents: DataFrame) -> DataFrame:
     """Places of the rows ``detail_section`` flags under REMISES, in ``details``."""
 
     def letter(line: Column) -> Column:
-        counted = line.rlike(LECLERC["detail"]) & ~F.regexp_extract(line, LECLERC["detail"], 1).rlike(LECLERC["detail_total"])
-        return F.when(line.rlike(LECLERC["separator"]), "-").when(counted, "d").otherwise("x")
+        counted = matching(LECLERC["detail"])(line) & ~F.regexp_extract(line, LECLERC["detail"], 1).rlike(LECLERC["detail_total"])
+        return F.when(matching(LECLERC["separator"])(line), "-").when(counted, "d").otherwise("x")
 
     df = documents.withColumn("remises", F.array_position("lines", F.lit(LECLERC_REMISES)).cast("int"))
     # Up to the first separator after the heading.
@@ -228,22 +293,22 @@ def leclerc_body(patterns: dict[str, str]):
         df = df.withColumn("section_at", last_place("MATQDIL", F.col("place")))
         section = F.regexp_extract(line_at(F.col("section_at")), LECLERC["section"], 1)
 
-        q, it, d = patterns["quantity"], patterns["item"], patterns.get("discount", "(?!)")
-        is_q, is_d = F.col("letter") == "Q", F.col("letter") == "D"
-        is_detail = F.col("place") < 0
-        plain_row = _part(it, 1) if coded else F.when(is_d, _part(d, 1)).otherwise(_part(it, 1))
-        plain_total = _part(it, 2) if coded else F.when(is_d, _part(d, 2)).otherwise(_part(it, 2))
-        counted = is_q & ~is_detail
-        detail = LECLERC["detail"]
+        is_detail, is_d = F.col("place") < 0, F.col("letter") == "D"
+        counted = (F.col("letter") == "Q") & ~is_detail
+        # Quantity, price, total and code of a quantity line; label, amount and code of any other.
+        printed = F.when(is_detail, groups("line", LECLERC["detail"], 2)).when(counted, groups("line", patterns["quantity"], 4 if coded else 3))
+        if "discount" in patterns:
+            printed = printed.when(is_d, groups("line", patterns["discount"], 2))
+        df = df.withColumn("printed", printed.otherwise(groups("line", patterns["item"], 3 if coded else 2)))
         row = captured_row(
             line_index=F.col("line_no") + F.when(is_detail, F.lit(1_000_000_000)).otherwise(F.lit(0)),
             raw_text=F.when(counted, F.concat_ws("\n", "pending", "line")).otherwise(F.col("line")),
-            printed_label=F.when(is_detail, text.unstarred_label(_part(detail, 1))).when(is_q, F.col("pending")).otherwise(text.unstarred_label(plain_row)),
-            printed_quantity=F.when(counted, _part(q, 1)),
-            printed_price=F.when(counted, _part(q, 2)),
-            printed_total=F.when(is_detail, _part(detail, 2)).when(is_q, _part(q, 3)).otherwise(plain_total),
+            printed_label=F.when(counted, F.col("pending")).otherwise(text.unstarred_label(group_of("printed", 1))),
+            printed_quantity=F.when(counted, group_of("printed", 1)),
+            printed_price=F.when(counted, group_of("printed", 2)),
+            printed_total=F.when(counted, group_of("printed", 3)).otherwise(group_of("printed", 2)),
             negated=is_detail,
-            vat_code=F.when(is_detail, F.lit(None)).when(is_q, _part(q, 4)).otherwise(_part(it, 3)) if coded else F.lit(None),
+            vat_code=F.when(counted, group_of("printed", 4)).when(~is_detail, group_of("printed", 3)) if coded else F.lit(None),
             vat_lookup=~is_detail & coded,
             section_label=F.when(~is_detail & (F.col("section_at") > 0), section),
             kind=F.when(is_detail | is_d, F.lit("discount")).otherwise(F.lit("item")),
@@ -255,7 +320,8 @@ def leclerc_body(patterns: dict[str, str]):
 
 def leclerc_promoting(line: Column, place: Column) -> Column:
     """Lines some rule mentions; amounts only below the coupons' heading."""
-    return line.rlike(LECLERC_PROMOTING) | ((F.col("opened") > 0) & (place > F.col("opened")) & line.rlike(LECLERC["detail"]))
+    priced = matching(LECLERC["detail"])(line)
+    return matching(LECLERC_PROMOTING)(line) | ((F.col("opened") > 0) & (place > F.col("opened")) & priced)
 
 
 def leclerc_promotions(lines: DataFrame) -> DataFrame:
@@ -393,11 +459,11 @@ def auchan_marks(documents: DataFrame) -> DataFrame:
     p = AUCHAN["item"]
 
     def sells(line: Column) -> Column:
-        aside = line.rlike(AUCHAN["scan_warning"]) | line.rlike(AUCHAN["correction"]) | line.rlike(AUCHAN["noise"])
+        aside = matching(AUCHAN["scan_warning"])(line) | matching(AUCHAN["correction"])(line) | line.rlike(AUCHAN["noise"])
         label, total = text.strip(F.regexp_extract(line, p, 2)), F.regexp_extract(line, p, 5)
         # A negative "TOTAL REMISES" repeats the discounts above it.
-        repeated = (text.clean_label(label) == "TOTAL REMISES") & total.startswith("-")
-        return line.rlike(p) & ~aside & ~repeated
+        repeated = has("TOTAL REMISES")(line) & (text.clean_label(label) == "TOTAL REMISES") & total.startswith("-")
+        return matching(p)(line) & ~aside & ~repeated
 
     marks = letters(
         "L",
@@ -405,7 +471,7 @@ def auchan_marks(documents: DataFrame) -> DataFrame:
         ("e", matching(AUCHAN["selfscan_end"])),
         ("d", matching(AUCHAN["discounts"])),
         ("t", matching(AUCHAN["end"])),
-        ("H", lambda line: line.rlike(AUCHAN["host"]) & sells(line)),
+        ("H", lambda line: matching(AUCHAN["host"])(line) & sells(line)),
         ("h", matching(AUCHAN["host"])),
         ("I", sells),
     )
@@ -417,16 +483,16 @@ def auchan_marks(documents: DataFrame) -> DataFrame:
 def auchan_body(documents: DataFrame) -> DataFrame:
     df = at_places(documents, body_places("IH"))
     df = df.withColumn("section", letter_at(last_place("HhIL", F.col("place"))))
-    p = AUCHAN["item"]
+    df = df.withColumn("printed", groups("line", AUCHAN["item"], 5))
     row = captured_row(
         line_index=F.col("line_no"),
         raw_text=F.col("line"),
-        printed_label=text.strip(_part(p, 2)),
-        printed_quantity=_part(p, 3),
-        printed_price=_part(p, 4),
-        printed_total=_part(p, 5),
+        printed_label=text.strip(group_of("printed", 2)),
+        printed_quantity=group_of("printed", 3),
+        printed_price=group_of("printed", 4),
+        printed_total=group_of("printed", 5),
         recomputed=F.contains(letters_to(F.col("place")), F.lit("d")),
-        tr_eligible=_part(p, 1) == "*",
+        tr_eligible=group_of("printed", 1) == "*",
         section_label=F.when(F.col("section") == "b", F.lit(SELFSCAN_SECTION)).when(F.col("section") == "d", F.lit(DISCOUNT_SECTION)),
     )
     return captured_rows(df, row)
@@ -458,7 +524,7 @@ def auchan_loyalty(lines: DataFrame) -> DataFrame:
 
 
 def auchan_scan_warnings(documents: DataFrame) -> DataFrame:
-    return lines_where(documents, lambda line, _: line.rlike(AUCHAN["scan_warning"])).select(
+    return lines_where(documents, lambda line, _: matching(AUCHAN["scan_warning"])(line)).select(
         "document_id", "line_no", warnings.build_warning("auchan_selfscan_warning", F.col("line")).alias("warning")
     )
 
@@ -494,7 +560,7 @@ def u_v1_marks(documents: DataFrame) -> DataFrame:
     marks = letters(
         "L",
         ("S", matching(U_V1["section"])),
-        ("E", lambda line: line.rlike(U_V1["end"]) | line.rlike(U_V1["total"])),
+        ("E", lambda line: matching(U_V1["end"])(line) | matching(U_V1["total"])(line)),
         ("Q", matching(U_V1["quantity"])),
         ("G", matching(U_V1["weighted"])),
         ("I", matching(U_V1["item"])),
@@ -512,20 +578,21 @@ def u_v1_body(documents: DataFrame) -> DataFrame:
     coded = F.col("above").rlike(U_V1["coded_label"])
     label = F.when(coded, F.regexp_extract("above", U_V1["coded_label"], 1)).otherwise(F.col("above"))
     df = df.withColumn("pending", text.strip(label)).withColumn("pending_code", F.when(coded, F.regexp_extract("above", U_V1["coded_label"], 2)))
-    q, g, it = U_V1["quantity"], U_V1["weighted"], U_V1["item"]
     is_q, is_g = F.col("letter") == "Q", F.col("letter") == "G"
     continued = is_q | is_g
+    counted, weighed, priced = groups("line", U_V1["quantity"], 4), groups("line", U_V1["weighted"], 5), groups("line", U_V1["item"], 3)
+    df = df.withColumn("printed", F.when(is_q, counted).when(is_g, weighed).otherwise(priced))
     row = captured_row(
         line_index=F.col("line_no"),
         raw_text=F.when(is_q, F.concat_ws("\n", "pending", "line"))
         .when(is_g, F.concat_ws("\n", F.concat_ws(" ", "pending", "pending_code"), "line"))
         .otherwise(F.col("line")),
-        printed_label=F.when(continued, F.col("pending")).otherwise(text.strip(_part(it, 1))),
-        printed_quantity=F.when(is_q, _part(q, 1)).when(is_g, _part(g, 1)),
-        printed_price=F.when(is_q, _part(q, 2)).when(is_g, _part(g, 3)),
-        printed_total=F.when(is_q, _part(q, 3)).when(is_g, _part(g, 5)).otherwise(_part(it, 2)),
-        unit_of_measure=F.when(is_g, F.lower(_part(g, 2))).otherwise(F.lit("piece")),
-        vat_code=F.when(is_q, _part(q, 4)).when(is_g, F.col("pending_code")).otherwise(_part(it, 3)),
+        printed_label=F.when(continued, F.col("pending")).otherwise(text.strip(group_of("printed", 1))),
+        printed_quantity=F.when(continued, group_of("printed", 1)),
+        printed_price=F.when(is_q, group_of("printed", 2)).when(is_g, group_of("printed", 3)),
+        printed_total=F.when(is_q, group_of("printed", 3)).when(is_g, group_of("printed", 5)).otherwise(group_of("printed", 2)),
+        unit_of_measure=F.when(is_g, F.lower(group_of("printed", 2))).otherwise(F.lit("piece")),
+        vat_code=F.when(is_q, group_of("printed", 4)).when(is_g, F.col("pending_code")).otherwise(group_of("printed", 3)),
         vat_lookup=F.lit(True),
         section_label=F.regexp_extract(line_at(last_place("EQGIL", F.col("place"))), U_V1["section"], 1),
         kind=F.lit("item"),
@@ -538,7 +605,7 @@ def u_v2_marks(documents: DataFrame) -> DataFrame:
     marks = letters(
         "L",
         ("S", matching(U_V2["sale"])),
-        ("E", lambda line: line.rlike(U_V2["end"]) | line.rlike(U_V2["total"])),
+        ("E", lambda line: matching(U_V2["end"])(line) | matching(U_V2["total"])(line)),
         ("Q", matching(U_V2["quantity"])),
         ("I", matching(U_V2["item"])),
     )
@@ -554,24 +621,23 @@ def u_v2_body(documents: DataFrame) -> DataFrame:
     df = df.withColumn("sold_at", last_place("SL", F.col("place") - 1)).withColumn("label_at", last_place("SQI", F.col("sold_at")))
     held = F.col("is_quantity") & (F.col("sold_at") > F.col("start")) & (letter_at(F.col("sold_at")) == "I")
     df = df.withColumn("pending", F.when(held, line_at(F.col("sold_at"))))
-    it, q = U_V2["item"], U_V2["quantity"]
     is_q = F.col("is_quantity")
-
-    def of_pending(group: int) -> Column:
-        return F.regexp_extract("pending", it, group)
-
+    # A quantity line is printed with the item line that it follows.
+    df = df.withColumns(
+        {"sold": groups(F.when(is_q, F.col("pending")).otherwise(F.col("line")), U_V2["item"], 4), "counted": F.when(is_q, groups("line", U_V2["quantity"], 2))}
+    )
     row = captured_row(
         line_index=F.col("line_no"),
         raw_text=F.when(is_q, F.concat_ws("\n", "pending", "line")).otherwise(F.col("line")),
-        printed_label=F.when(is_q, text.strip(of_pending(1))).otherwise(F.lit("")),
-        printed_quantity=F.when(is_q, _part(q, 1)),
-        printed_price=F.when(is_q, _part(q, 2)),
-        printed_total=F.when(is_q, of_pending(3)),
-        vat_code=F.when(is_q, of_pending(4)).otherwise(_part(it, 4)),
+        printed_label=F.when(is_q, text.strip(group_of("sold", 1))).otherwise(F.lit("")),
+        printed_quantity=group_of("counted", 1),
+        printed_price=group_of("counted", 2),
+        printed_total=F.when(is_q, group_of("sold", 3)),
+        vat_code=group_of("sold", 4),
         vat_lookup=F.lit(True),
         # A missing code is reported once, by the item line itself: it looks its code up, also if no quantity line follows.
         reports_vat=~is_q,
-        tr_eligible=is_q & (of_pending(2) == "(T)"),
+        tr_eligible=is_q & (group_of("sold", 2) == "(T)"),
         section_label=F.when(is_q & (F.col("label_at") > F.col("start")), line_at(F.col("label_at"))),
         kind=F.lit("item"),
         emitted=is_q,
@@ -580,7 +646,8 @@ def u_v2_body(documents: DataFrame) -> DataFrame:
 
 
 def u_promoting(line: Column, place: Column) -> Column:
-    return (place <= F.greatest("copies", F.lit(1))) | line.rlike("|".join(f"(?:{pattern})" for pattern in U.values()))
+    stated = [matching(pattern)(line) for pattern in U.values()]
+    return (place <= F.greatest("copies", F.lit(1))) | stated[0] | stated[1] | stated[2]
 
 
 def u_promotions(lines: DataFrame) -> DataFrame:

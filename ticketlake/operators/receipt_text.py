@@ -160,8 +160,38 @@ def letters(otherwise: str, *rules: tuple[str, Callable[[Column], Column]]) -> C
     return F.array_join(F.transform("lines", letter), "")
 
 
+def starts(plain: str) -> Callable[[Column], Column]:
+    return lambda line: line.startswith(plain)
+
+
+def has(plain: str) -> Callable[[Column], Column]:
+    return lambda line: F.contains(line, F.lit(plain))
+
+
+def first_of(characters: str) -> Callable[[Column], Column]:
+    return lambda line: F.contains(F.lit(characters), F.substring(line, 1, 1))
+
+
+def cents_after(mark: str) -> Callable[[Column], Column]:
+    return lambda line: F.substring(line, -3, 1) == mark
+
+
+#: Pattern -> what every line that it matches shows. Cheaper to see, so only lines that show it are asked for the pattern.
+SIGNS: dict[str, Callable[[Column], Column]] = {}
+
+
 def matching(pattern: str) -> Callable[[Column], Column]:
-    return lambda line: line.rlike(pattern)
+    shows = SIGNS.get(pattern)
+    return lambda line: line.rlike(pattern) if shows is None else shows(line) & line.rlike(pattern)
+
+
+def groups(line: Column | str, pattern: str, count: int) -> Column:
+    """Groups 1 to ``count`` of a line that matches, each at its number, from one pass of the pattern. A line holds no line feed."""
+    return F.split(F.regexp_replace(line, pattern, "\n" + "".join(f"${n}\n" for n in range(1, count + 1))), "\n")
+
+
+def group_of(found: str, number: int) -> Column:
+    return F.get(found, F.lit(number))
 
 
 def letter_at(place: Column) -> Column:
@@ -215,9 +245,13 @@ def extract_header(documents: DataFrame, spec: FormatSpec) -> DataFrame:
     """Register, ticket, cashier, time, total and declared count of each document, beside its columns."""
     firsts = {f"first_{name}": F.get(F.filter("lines", matching(pattern)), F.lit(0)) for name, pattern in spec.headers.items()}
     found = documents.withColumns({name: F.when(F.col("document_id").isNotNull(), first) for name, first in firsts.items()})
+    dated = [getattr(spec.date, part) for part in ("year", "month", "day", "hour", "minute", "second")]
+    asked = [*spec.fields.values(), *((spec.date.pattern, index) for index in dated)]
+    last = {name: max((index for of, index in asked if of == name), default=0) for name in spec.headers}
+    found = found.withColumns({f"_of_{name}": groups(f"first_{name}", pattern, last[name]) for name, pattern in spec.headers.items()})
 
     def group(name: str, index: int) -> Column:
-        return F.nullif(F.regexp_extract(f"first_{name}", spec.headers[name], index), F.lit(""))
+        return F.nullif(group_of(f"_of_{name}", index) if index else F.regexp_extract(f"first_{name}", spec.headers[name], 0), F.lit(""))
 
     def field(name: str) -> Column:
         return group(*spec.fields[name]) if name in spec.fields else F.lit(None).cast("string")
@@ -251,16 +285,17 @@ def extract_header(documents: DataFrame, spec: FormatSpec) -> DataFrame:
     )
 
 
-def extract_payments(lines: DataFrame, spec: FormatSpec) -> DataFrame:
-    """Payments at their line number; the pattern captures (raw label, amount)."""
-    hits = lines.where(F.col("line").rlike(spec.payment))
-    label = F.regexp_extract("line", spec.payment, 1)
-    return hits.select(
+def extract_payments(documents: DataFrame, spec: FormatSpec) -> DataFrame:
+    """Payments of sound documents at their line number; the pattern captures (raw label, amount)."""
+    hits = lines_where(documents, lambda line, _: matching(spec.payment)(line), F.col("sound"))
+    paid = hits.withColumn("_paid", groups("line", spec.payment, 2))
+    paid = paid.withColumns({"raw_label": group_of("_paid", 1), "_amount": group_of("_paid", 2)})
+    return paid.select(
         "document_id",
         F.col("line_no").alias("position"),
-        label.alias("raw_label"),
-        money.payment_category(label).alias("category"),
-        money.cents_from(F.regexp_extract("line", spec.payment, 2)).alias("amount_cents"),
+        "raw_label",
+        money.payment_category(F.col("raw_label")).alias("category"),
+        money.cents_from(F.col("_amount")).alias("amount_cents"),
     )
 
 
@@ -355,18 +390,20 @@ def assign_line_positions(lines: DataFrame) -> DataFrame:
 def link_promotion_to_line(promotions: DataFrame, lines: DataFrame, key: str = "document_id") -> DataFrame:
     """First line by position whose label is a prefix of the promotion's link label, or the reverse.
 
-    Either way both labels start with the same letter, which keys the join with the receipt.
+    A receipt's labels are one row that meets its promotions once. Promotions of one rule and line number share their link.
     """
-    asked = promotions.withColumn("_asked", text.comparable_label(F.col("link_label"))).where("_asked <> ''")
     offered = lines.select(key, "position", text.comparable_label(F.col("label")).alias("_offered")).where("_offered <> ''")
-    asked = asked.withColumn("_letter", F.substring("_asked", 1, 1))
-    offered = offered.withColumn("_letter", F.substring("_offered", 1, 1))
-    either = F.col("_asked").startswith(F.col("_offered")) | F.col("_offered").startswith(F.col("_asked"))
-    place = [key, "rule_order", "line_no"]
-    linked = asked.join(offered, [key, "_letter"]).where(either).groupBy(*place).agg(F.min("position").alias("linked_line_position"))
-    return promotions.join(linked, place, "left").withColumn(
-        "linking_method",
-        F.when(F.col("linked_line_position").isNotNull(), F.lit("parser_inferred")).otherwise(F.lit("unallocated")),
+    offers = offered.groupBy(key).agg(F.collect_list(F.struct("position", "_offered")).alias("_offers"))
+    asked = promotions.withColumn("_asked", F.nullif(text.comparable_label(F.col("link_label")), F.lit(""))).join(offers, key, "left")
+    asks = F.col("_asked")
+    either = F.filter("_offers", lambda one: asks.startswith(one["_offered"]) | one["_offered"].startswith(asks))
+    first = F.when(asks.isNotNull(), F.array_min(F.transform(either, lambda one: one["position"])))
+    place = Window.partitionBy(key, "rule_order", "line_no")
+    linked = asked.withColumn("_first", first).withColumn("linked_line_position", F.min("_first").over(place))
+    return linked.select(
+        *promotions.columns,
+        "linked_line_position",
+        F.when(F.col("linked_line_position").isNotNull(), F.lit("parser_inferred")).otherwise(F.lit("unallocated")).alias("linking_method"),
     )
 
 
@@ -445,7 +482,7 @@ class ParsedReceipts:
     @cached_property
     def judged(self) -> DataFrame:
         """Header values, VAT warnings and the reason a document fails, if it does."""
-        header = self._of_rows(*HEADER_COLUMNS, "failure")
+        header = self._of_rows(*HEADER_COLUMNS, "failure", "copies")
         if self.spec.vat_row is None:
             return header.withColumn("_vat", F.lit(None).cast(f"array<struct<line_index:int,warning:{warnings.WARNING_TYPE}>>"))
         vat_warning = warnings.build_warning("missing_vat_code", F.format_string(fixed.VAT_TEXT, F.coalesce("vat_code", F.lit(""))))
@@ -463,7 +500,7 @@ class ParsedReceipts:
 
     @cached_property
     def payments(self) -> DataFrame:
-        return extract_payments(lines_where(self._headed, lambda line, _: line.rlike(self.spec.payment), F.col("sound")), self.spec)
+        return extract_payments(self._headed, self.spec)
 
     @cached_property
     def promotions(self) -> DataFrame:
@@ -486,14 +523,17 @@ class ParsedReceipts:
             judged = judged.join(noted, "document_id", "left")
             found = F.concat(F.coalesce(found, none), F.coalesce(F.transform("_noted", lambda n: n["warning"]), none))
         judged = judged.withColumn("_found", F.coalesce(found, none))
-        checked = validator_results(judged, self.lines, self.payments, "document_id").select("document_id", "validator_warnings")
+        kept = [c for c in judged.columns if c not in ("document_id", "total_cents", "declared_article_count")]
+        checked = validator_results(judged.where("document_id is not null"), self.lines, self.payments, "document_id", kept)
+        # Every row of a document meets all its rows.
+        checked = checked.select("*", F.explode(F.sequence(F.lit(1), "copies")))
         mild = self.spec.mild
         blocking = F.col("_found") if mild is None else F.filter("_found", lambda w: ~mild(w))
         exception = F.array(warnings.build_warning("parser_exception", F.format_string(fixed.FAILURE_TEXT, "failure")))
         failed = F.col("failure").isNotNull()
         passed = ~failed & (F.size("validator_warnings") == 0) & (F.size(blocking) == 0)
         fields = ["purchased_at", "register_number", "ticket_number", "cashier_code", "total_cents", "declared_article_count"]
-        return judged.join(checked, "document_id").select(
+        return checked.select(
             "document_id",
             "parser_format",
             *[F.when(~failed, F.col(c)).alias(c) for c in fields],

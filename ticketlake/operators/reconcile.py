@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -134,15 +134,15 @@ def line_article_count() -> Column:
     return F.when(F.col("kind") == "item", counted).otherwise(F.lit(0))
 
 
-def receipt_sums(receipts: DataFrame, lines: DataFrame, payments: DataFrame, key: str) -> DataFrame:
-    """Line total, article count and payment total next to the declared values; missing children are 0."""
+def receipt_sums(receipts: DataFrame, lines: DataFrame, payments: DataFrame, key: str, kept: Sequence[str] = ()) -> DataFrame:
+    """Line total, article count and payment total next to the declared values and ``kept`` columns; missing children are 0."""
     line_sums = lines.groupBy(key).agg(
         F.sum(F.coalesce("total_cents", F.lit(0)).cast("bigint")).alias("line_total"),
         F.sum(line_article_count()).alias("article_count"),
     )
     payment_sums = payments.groupBy(key).agg(F.sum(F.col("amount_cents").cast("bigint")).alias("payment_total"))
     return (
-        receipts.select(key, "total_cents", "declared_article_count")
+        receipts.select(key, "total_cents", "declared_article_count", *kept)
         .join(line_sums, key, "left")
         .join(payment_sums, key, "left")
         .na.fill(0, ["line_total", "article_count", "payment_total"])
@@ -161,9 +161,9 @@ def discrepancies(sums: DataFrame) -> DataFrame:
     )
 
 
-def validator_results(receipts: DataFrame, lines: DataFrame, payments: DataFrame, key: str) -> DataFrame:
-    """Per receipt the failed validators in fixed order and their warnings."""
-    judged = discrepancies(receipt_sums(receipts, lines, payments, key))
+def validator_results(receipts: DataFrame, lines: DataFrame, payments: DataFrame, key: str, kept: Sequence[str] = ()) -> DataFrame:
+    """Per receipt the failed validators in fixed order and their warnings, with its ``kept`` columns."""
+    judged = discrepancies(receipt_sums(receipts, lines, payments, key, kept))
     checks = [("totals_ok", "totals_gap"), ("articles_ok", "article_gap"), ("payments_ok", "payments_gap")]
     raised = [
         F.when(~F.col(ok), warnings.validator_warning(name, F.col(gap)))
