@@ -72,14 +72,27 @@ def first_match_per_document(t):
     return ops.first_matches(lines_of(t), {"number": "[0-9]{4}", "letter": "\\A[A-E]"})
 
 
+MOST_ITEMS = 4  # 1 + k % 4
+
+
+def each_item(one):
+    """Items' texts, one below the other; ``one`` writes that of a unit price and its place from 0."""
+    shown = ", ".join(f"if(items > {j}, {one(f'u{j}', j)}, null)" for j in range(MOST_ITEMS))
+    return f"if(n is null, null, concat_ws('\\n', {shown}))"
+
+
 def rendered(t, *parts, case="true"):
     """Order columns the texts are made of, and the text built from ``parts`` (SQL expressions)."""
     base = t.table("orders").selectExpr(
         "o_orderkey as k", "o_custkey as c", "o_orderdate as at", "cast(cast(o_totalprice as decimal(18,2)) * 100 as bigint) as cents",
-    ).selectExpr("*", "cast(1 + k % 4 as int) as n").withColumn("unit", F.expr("transform(sequence(1, n), i -> 50 + (cents + 37 * i) % 950)"))
+    ).selectExpr("*", "cast(1 + k % 4 as int) as n")
+    # Item j is written out, not an array's: Spark compiles such expressions, but interprets functions over arrays.
+    base = base.selectExpr("*", "if(n >= 1, n, 2 - n) as items").selectExpr(
+        "*", *[f"if(items > {j}, 50 + (cents + 37 * if(n >= 1, {1 + j}, {1 - j})) % 950, null) as u{j}" for j in range(MOST_ITEMS)]
+    )
     months = "array(" + ", ".join(f"'{m}'" for m in FULL_MONTHS) + ")"
     base = base.selectExpr(
-        "*", "aggregate(transform(unit, (u, i) -> if(i = 1, u * 2, u)), 0L, (a, u) -> a + u) as total",
+        "*", f"u0 + {' + '.join(f'if(items > {j}, u{j}{" * 2" if j == 1 else ""}, 0L)' for j in range(1, MOST_ITEMS))} as total",
         f"if(k % 10 = 8, 'brumaire', element_at({months}, month(at))) as month_name", "n + if(n > 1, 1, 0) as articles",
     )
     return base.selectExpr("*", f"concat_ws('\\n', {', '.join(parts)}) as text").withColumn("document_id", F.col("k"))
@@ -96,7 +109,8 @@ ROUND_V = """SELECT k, c, d, n, i, CASE WHEN i = 2 THEN 2 WHEN i = 1 AND k % 10
     50 + (cents + 37 * i) % 950 AS u FROM (SELECT o_orderkey AS k, o_custkey AS c, o_orderdate AS d, CAST(CAST(o_totalprice AS DECIMAL(18,2)) * 100 AS BIGINT) AS cents, 1 + o_orderkey % 4 AS n,
     unnest(range(1, 2 + CAST(o_orderkey % 4 AS BIGINT))) AS i FROM orders)"""
 
-LEC_ITEM = "concat('ARTICLE ', chr(64 + i + 1), ' ', c % 97"
+def article(i):
+    return f"concat('ARTICLE {chr(65 + i)} ', c % 97)"
 
 
 def leclerc_v1_texts(t):
@@ -106,12 +120,12 @@ def leclerc_v1_texts(t):
         "concat(date_format(at, 'dd/MM/yy'), ' 0 T', k)",
         "'>> RAYON'",
         "if(k % 10 = 5, '3 X 1.00€   3.00', '(A) Dont DEEE / DEA : 0.10')",
-        f"array_join(transform(unit, (u, i) -> if(i = 1, concat({LEC_ITEM}), '\\n   2 X ', {money('u')}, '€   ', {money('(u * 2)')}), concat({LEC_ITEM}), '   ', {money('u')}))), '\\n')",
-        f"if(k % 10 = 4, concat('ARTICLE A ', c % 97, '   ', {money('unit[0]')}), '')",
-        f"if(k % 10 = 7, '', concat('Total ', articles + if(k % 10 = 4, 1, 0), ' articles  ', {money('(total + if(k % 10 = 4, unit[0], 0) + if(k % 10 = 3, 2, 0))')}))",
-        f"concat('CB   ', {money('(total + if(k % 10 = 4, unit[0], 0))')})",
+        each_item(lambda u, i: f"concat({article(i)}, '\\n   2 X ', {money(u)}, '€   ', {money(f'({u} * 2)')})" if i == 1 else f"concat({article(i)}, '   ', {money(u)})"),
+        f"if(k % 10 = 4, concat('ARTICLE A ', c % 97, '   ', {money('u0')}), '')",
+        f"if(k % 10 = 7, '', concat('Total ', articles + if(k % 10 = 4, 1, 0), ' articles  ', {money('(total + if(k % 10 = 4, u0, 0) + if(k % 10 = 3, 2, 0))')}))",
+        f"concat('CB   ', {money('(total + if(k % 10 = 4, u0, 0))')})",
         "'REMISES'", "if(k % 3 = 0, 'Lot fidele 0.30', 'rien')", "'Total 0.30'", "'-----'",
-        f"concat('Bon achat carte  ', {money('(unit[0])')})", "if(k % 2 = 0, 'CUMUL DISPONIBLE', '')",
+        f"concat('Bon achat carte  ', {money('(u0)')})", "if(k % 2 = 0, 'CUMUL DISPONIBLE', '')",
         "'BONS DE REDUCTION'", "concat('ARTICLE A ', c % 97, ' (X1)  0.40')", "'-----'",
         "concat('Vous avez obtenu : ', 1 + k % 5, ' Vignette(s)')", "'---- VOS VIGNETTES PYREX ----'",
     )
@@ -206,13 +220,13 @@ def parse_failure_rows(t):
 
 
 def leclerc_v2_texts(t):
-    code = "if(k % 10 = 6, 9, 1 + i % 2)"
+    code = lambda i: f"if(k % 10 = 6, 9, {1 + i % 2})"
     return rendered(
         t,
         "concat('Caisse 001-1 ', date_format(at, 'dd'), ' ', month_name, ' ', date_format(at, 'yyyy HH:mm'))", "'TTC   TVA'",
         "if(k % 10 = 5, '3 X 1.00€   3.00 1', '')",
-        f"array_join(transform(unit, (u, i) -> if(i = 1, concat({LEC_ITEM}), ' ..\\n   2 X ', {money('u')}, '€   ', {money('(u * 2)')}, ' ', {code}), concat({LEC_ITEM}), '   ', {money('u')}, ' ', {code}))), '\\n')",
-        f"if(k % 10 = 4, concat('ARTICLE A ', c % 97, '   ', {money('unit[0]')}, ' 1'), '')",
+        each_item(lambda u, i: f"concat({article(i)}, ' ..\\n   2 X ', {money(u)}, '€   ', {money(f'({u} * 2)')}, ' ', {code(i)})" if i == 1 else f"concat({article(i)}, '   ', {money(u)}, ' ', {code(i)})"),
+        f"if(k % 10 = 4, concat('ARTICLE A ', c % 97, '   ', {money('u0')}, ' 1'), '')",
         f"if(k % 10 = 7, '', concat('Total ', articles, ' articles  ', {money('total')}))", f"concat('CB   ', {money('total')})",
         "'1 9%99 1.00 0.10 1.10'", "'1 5%50 1.00 0.10 1.10'", "'2 20%00 1.00 0.10 1.10'",
     )
@@ -242,8 +256,8 @@ WEB_GOOD = "k % 10 NOT IN (7, 8)"
 def parse_leclerc_web_v1(t):
     texts = rendered(
         t, "concat('Caisse Drive 7-79 - ', day(at), ' ', month_name, ' ', year(at))",
-        f"array_join(transform(unit, (u, i) -> if(i = 1, concat('2 X ', {LEC_ITEM}), '  ', {money('(u * 2)')}), concat({LEC_ITEM}), '  ', {money('u')}))), '\\n')",
-        f"if(k % 10 = 4, concat('ARTICLE A ', c % 97, '  ', {money('unit[0]')}), '')",
+        each_item(lambda u, i: f"concat('2 X ', {article(i)}, '  ', {money(f'({u} * 2)')})" if i == 1 else f"concat({article(i)}, '  ', {money(u)})"),
+        f"if(k % 10 = 4, concat('ARTICLE A ', c % 97, '  ', {money('u0')}), '')",
         "concat('FRAIS DE LIVRAISON ', k % 7, '   3.00')", "if(k % 10 = 7, 'CB Web Drive', 'Total 2 articles  9.99')", "'APRES   5.00'",
     )
     return lines_shown(parsed(t, texts, "leclerc.web.v1", "lines"))
@@ -253,7 +267,7 @@ def auchan_texts(t):
     return rendered(
         t, "concat('Le ', date_format(at, 'dd'), ' ', month_name, ' ', date_format(at, 'yyyy'), ' à ', date_format(at, 'HH:mm:ss'))",
         "concat('Caisse : ', c, ' Ticket : ', k)", "'AVANT 9,99'", "'Hôte(sse) : 77'", "if(k % 2 = 0, '=== Début Selfscan ===', '')",
-        f"array_join(transform(unit, (u, i) -> concat(if(i % 2 = 0, '*', ''), {LEC_ITEM}), if(i = 1, concat(' 2*', {money('u', True)}), ''), ' ', {money('if(i = 1, u * 2, u)', True)})), '\\n')",
+        each_item(lambda u, i: f"concat('{'' if i % 2 else '*'}', {article(i)}, {f"concat(' 2*', {money(u, True)}, ' ', {money(f'({u} * 2)', True)})" if i == 1 else f"concat(' ', {money(u, True)})"})"),
         "if(k % 2 = 0, 'Fin Selfscan', '')", "'+ ANNULATION 1,00'", "'(note)'", "'Articles avec Remise'", "'REMISE TEST 2*1,00 0,50'", "'LOT -0,25'", "'TOTAL REMISES -0,25'",
         f"if(k % 10 = 7, 'Total', concat('Total ', {money('(total + 175)', True)}, ' €'))", f"concat('Reçu CARTE BANCAIRE ', {money('(total + 175)', True)})",
         "'VOTRE COMPTE WAAOH'", "'ARTICLE A 0,40'", "if(k % 3 = 0, 'Débit du jour : 1,50 €', 'Votre solde : 9,00 €')",
@@ -293,10 +307,10 @@ WEIGHED_CENTS = f"({WEIGHED_GRAMS} * {WEIGHED_PRICE} div 1000)"
 
 
 def u_v1_texts(t):
-    code = "if(k % 10 = 6, 9, 11 + i % 2)"
+    code = lambda i: f"if(k % 10 = 6, 9, {11 + i % 2})"
     return rendered(
         t, "concat(c % 500, '  C', c % 7, '  ', date_format(at, 'dd/MM/yy  HH:mm'), '  ', 1 + c % 9, '  ', k)", "'>>>> RAYON'", "if(k % 10 = 5, '2 x 1,00 €  2,00 €  11', '')",
-        f"array_join(transform(unit, (u, i) -> if(i = 1, concat({LEC_ITEM}), 'Z\\n2 x  ', {money('u', True)}, ' €  ', {money('(u * 2)', True)}, ' €  ', {code}), concat({LEC_ITEM}), 'Z  ', {money('u', True)}, ' €  ', {code}))), '\\n')",
+        each_item(lambda u, i: f"concat({article(i)}, 'Z\\n2 x  ', {money(u, True)}, ' €  ', {money(f'({u} * 2)', True)}, ' €  ', {code(i)})" if i == 1 else f"concat({article(i)}, 'Z  ', {money(u, True)}, ' €  ', {code(i)})"),
         "concat('VRAC ', c % 97, '  11')", f"concat(replace(cast(cast(({WEIGHED_GRAMS}) / 1000 as decimal(6,3)) as string), '.', ','), ' kg x  ', {money(WEIGHED_PRICE, True)}, ' €/kg  ', {money(WEIGHED_CENTS, True)}, ' €')", "'====='",
         f"if(k % 10 = 7, '', concat('TOTAL  ', articles + 1, ' Article(s)  ', {money(f'(total + {WEIGHED_CENTS})', True)}, ' €'))", f"concat('CB SANS CONTACT  EUR  ', {money(f'(total + {WEIGHED_CENTS})', True)}, ' €')",
         "'11 /  5,50  1,00 €  1,00 €  1,00 €'", "'12  20,00  1,00 €  1,00 €  1,00 €'", "concat(1 + k % 5, ' vignette(s) JBL offerte(s)')", "concat('Carte U solde avant ticket  ', 1 + c % 50, ',00 €')",
@@ -331,10 +345,10 @@ def parse_u_paper_v2(t):
 
 
 def u_v2_texts(t):
-    code = "if(k % 10 = 6, 9, 11 + i % 2)"
+    code = lambda i: f"if(k % 10 = 6, 9, {11 + i % 2})"
     return rendered(
         t, "'*** VENTE ***'", "'RAYON'", "if(k % 10 = 5, '2 x 1,00 EUR', 'JAMAIS SUIVI  9,99 €  11')",
-        f"array_join(transform(unit, (u, i) -> concat({LEC_ITEM}), 'Z  ', if(i % 2 = 0, '(T)  ', ''), {money('if(i = 1, u * 2, u)', True)}, ' €  ', {code}, '\\n', if(i = 1, 2, 1), ' x  ', {money('u', True)}, ' EUR')), '\\n')",
+        each_item(lambda u, i: f"concat({article(i)}, 'Z  {'' if i % 2 else '(T)  '}', {money(f'({u} * 2)' if i == 1 else u, True)}, ' €  ', {code(i)}, '\\n{2 if i == 1 else 1} x  ', {money(u, True)}, ' EUR')"),
         "concat('Nombre de lignes d', chr(39), 'article 3')", f"if(k % 10 = 7, '', concat('TOTAL [', articles, '] Articles  ', {money('total', True)}, ' €'))",
         f"concat('CB TRD  ', {money('total', True)}, ' €')", "'11  5,50  1,00 €  1,00 €  1,00 €'", "'12  20,00  1,00 €  1,00 €  1,00 €'",
         "concat(date_format(at, 'dd/MM/yy HH:mm:ss'), ' ', 20000 + c % 999, '  ', 1 + c % 9, '  ', 300 + c % 41, '  ', k)",
