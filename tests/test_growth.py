@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ticketlake.operators import classify, fuzzy
+from ticketlake.operators import spread as spreading
 from ticketlake.operators.spread import spread_join
 from ticketlake.plans import QUERIES
 from ticketlake.sources import locations
@@ -32,6 +33,19 @@ def test_hot_keys_are_cut_into_cells_and_lose_nothing(spark):
     assert len(tasks) > 1
 
 
+def test_rows_copied_for_a_hot_key_follow_the_tasks_not_the_pairs(spark):
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    left = spark.range(3000).selectExpr("if(id < 2900, 'hot', 'cold') as k", "id as a")
+    right = spark.range(2000).selectExpr("if(id < 1900, 'hot', 'cold') as k", "id as b")
+    sides = spreading.spread(left, right, "k", cell_rows=100)
+    cells = spreading.CELLS_PER_TASK * tasks
+    assert sides[0].select("k", "_row", "_column").distinct().count() >= tasks
+    # A copy of the right rows for each 100 pairs would be 2,900 times 1,900 rows.
+    assert sum(side.count() for side in sides) < 5000 * 2 * cells**0.5
+    joined = spread_join(left, right, "k", cell_rows=100)
+    assert joined.count() == joined.distinct().count() == 2900 * 1900 + 100 * 100
+
+
 def test_rejections_meet_lines_before_candidates_do(spark):
     lines = spark.createDataFrame([("a", "x"), ("a", "x"), ("b", "x"), ("c", "y"), ("d", None)], "line_id string, normalized_label string")
     candidates = spark.createDataFrame([("x", 1), ("x", 2), ("x", None), ("y", 1)], "normalized_label string, variant_id bigint")
