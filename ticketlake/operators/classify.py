@@ -353,23 +353,46 @@ def classify_documents(extractions: DataFrame, hints: DataFrame, default_formats
     and grams), and only ids and short keys are shuffled. Store evidence is put together once per
     signature (format and hints named), so no row per document and store is ever made.
     """
+    formats, signatures, stores = _decided(extractions, hints, default_formats, rules)
+    found = signatures.select("document_id", "signature").join(stores, "signature").drop("signature")
+    joined = apply_explicit_store(formats.join(found, "document_id", "left"))
+    return joined.select(*_detection(), F.concat("format_evidence", "store_evidence").alias("evidence"))
+
+
+def classify_by_evidence(extractions: DataFrame, hints: DataFrame, default_formats: DataFrame, rules: list[DetectionRule] = DETECTION_RULES) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``classify_documents`` with ``evidence_id`` for their evidence, and (evidence_id, evidence).
+
+    Evidence may name every store of a brand. It follows from the signature, the format evidence and the explicit store, so it is
+    put together once for each of these and never travels with a document.
+    """
+    formats, signatures, stores = _decided(extractions, hints, default_formats, rules)
+    found = signatures.select("document_id", "signature").join(stores.select("signature", "detected_store", "store_confidence"), "signature")
+    unlisted = {"detected_stores": F.lit(None).cast("array<string>"), "store_evidence": F.lit(None).cast(f"array<{EVIDENCE_TYPE}>")}
+    joined = formats.join(found, "document_id", "left")
+    given = ["format_evidence", "hint_store", "signature"]
+    joined = joined.withColumns({"evidence_id": F.sha2(F.to_json(F.struct(*given)), 256), **unlisted})
+    detections = apply_explicit_store(joined).select(*_detection(), "evidence_id")
+    named = joined.groupBy("evidence_id").agg(*[F.any_value(name).alias(name) for name in given])
+    listed = apply_explicit_store(named.join(stores, "signature", "left"))
+    return detections, listed.select("evidence_id", F.concat("format_evidence", "store_evidence").alias("evidence"))
+
+
+def _decided(extractions: DataFrame, hints: DataFrame, default_formats: DataFrame, rules: list[DetectionRule]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Formats per extraction, the signatures of those that name hints, and stores per signature."""
     hints = durable(hints)
     ruled = extractions.select("document_id", "hint_format", "hint_store", match_format_rules(F.col("text"), rules).alias("matches"))
     formats = durable(apply_explicit_format(choose_format(ruled)).drop("matches"))
     signatures = durable(hint_signatures(formats, hint_hits(extractions, hints)))
-    stores = signature_evidence(signatures, hints, default_formats)
-    found = signatures.select("document_id", "signature").join(stores, "signature").drop("signature")
-    joined = apply_explicit_store(formats.join(found, "document_id", "left"))
+    return formats, signatures, signature_evidence(signatures, hints, default_formats)
+
+
+def _detection() -> list[Column]:
     classified = F.col("parser_format").isNotNull() & F.col("store_id").isNotNull()
-    return joined.select(
-        "document_id",
+    return [
+        F.col("document_id"),
         F.when(classified, F.lit("classified")).otherwise(F.lit("needs_classification")).alias("status"),
-        "parser_format",
-        "parser_confidence",
-        "store_id",
-        "store_confidence",
-        F.concat("format_evidence", "store_evidence").alias("evidence"),
-    )
+        *map(F.col, ("parser_format", "parser_confidence", "store_id", "store_confidence")),
+    ]
 
 
 def manual_classification(requests: DataFrame, latest_extractions: DataFrame) -> tuple[DataFrame, DataFrame]:

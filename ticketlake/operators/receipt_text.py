@@ -9,7 +9,7 @@ A format is a ``FormatSpec``: patterns plus functions that turn marked documents
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from functools import cached_property, reduce
 from typing import NamedTuple
 
@@ -116,13 +116,13 @@ def explode_lines(documents: DataFrame) -> DataFrame:
     )
 
 
-def whole_documents(documents: DataFrame) -> DataFrame:
-    """One row per id with its ``lines``; ``copies`` counts the rows it had.
+def whole_documents(documents: DataFrame, *beside: str) -> DataFrame:
+    """One row per id (and values of ``beside``) with its ``lines``; ``copies`` counts the rows it had.
 
     Texts that share an id are one document, its lines in order of their numbers in each text: only
     then ``numbers`` holds these, else a line's number is its place.
     """
-    texts = documents.groupBy("document_id").agg(F.count("*").cast("int").alias("copies"), F.collect_list("text").alias("_texts"))
+    texts = documents.groupBy("document_id", *beside).agg(F.count("*").cast("int").alias("copies"), F.collect_list("text").alias("_texts"))
     numbered = F.transform(
         "_texts", lambda t: F.transform(cut_lines(t), lambda line, at: F.struct((at + 1).alias("line_no"), line.alias("line")))
     )
@@ -130,6 +130,7 @@ def whole_documents(documents: DataFrame) -> DataFrame:
     merged = texts.withColumn("_merged", F.when(several, F.array_sort(F.flatten(numbered))))
     return merged.select(
         "document_id",
+        *beside,
         "copies",
         F.when(several, F.col("_merged.line")).otherwise(F.coalesce(cut_lines(F.get("_texts", F.lit(0))), F.array().cast("array<string>"))).alias("lines"),
         F.col("_merged.line_no").alias("numbers"),
@@ -453,10 +454,22 @@ class ParsedReceipts:
         self.spec = spec
         self.placed = by_document(documents.select("document_id", "text"))
 
+    @cached_property
+    def whole(self) -> DataFrame:
+        return whole_documents(self.placed)
+
+    @classmethod
+    def of_whole(cls, whole: DataFrame, spec: FormatSpec, keep: Callable[[DataFrame, str], DataFrame]) -> ParsedReceipts:
+        """Receipts of ``whole_documents``; what all parts start from is made once and kept."""
+        parsed = cls.__new__(cls)
+        parsed.spec, parsed.whole = spec, whole
+        parsed._headed = keep(parsed._headed, f"headed/{spec.name}")
+        return parsed
+
     @cached_property
     def _headed(self) -> DataFrame:
         """Documents with their lines, header values and the reason a document fails, if it does."""
-        headed = extract_header(self.spec.mark(whole_documents(self.placed)), self.spec)
+        headed = extract_header(self.spec.mark(self.whole), self.spec)
         reason = F.coalesce(
             F.col("failure"),
             F.when(F.col("bad_date"), F.lit("unreadable purchase date")),
@@ -573,6 +586,21 @@ def parse_corpus(documents: DataFrame, part: str, formats: list[str] | None = No
     return reduce(DataFrame.unionByName, parsed)
 
 
+def parse_parts(documents: DataFrame, parts: Sequence[str], formats: list[str], keep: Callable[[DataFrame, str], DataFrame], write: Callable[[DataFrame, str], None]) -> None:
+    """Writes several parts, as ``parse_corpus`` gives them, cutting and marking every text once.
+
+    ``documents``: as for ``parse_corpus``, already hash-partitioned by document. ``keep`` stores rows under a name and returns
+    the copy, "whole" by ``parser_format``; ``write`` stores a part.
+    """
+    whole = keep(whole_documents(documents, "parser_format"), "whole")
+    parsed = [ParsedReceipts.of_whole(whole.where(F.col("parser_format") == name).drop("parser_format"), FORMATS[name], keep) for name in formats]
+    for part in parts:
+        found = [getattr(one, part) for one in parsed]
+        if part == "receipts":
+            found.append(unparsed_receipts(documents, found[0]))
+        write(reduce(DataFrame.unionByName, found), part)
+
+
 def unparsed_receipts(documents: DataFrame, like: DataFrame) -> DataFrame:
     """Bare receipts of documents that no registered format can parse, shaped like ``like``."""
     unknown = documents.where(~F.coalesce(F.col("parser_format").isin(list(FORMATS)), F.lit(False)))

@@ -16,11 +16,14 @@ from pyspark.sql import functions as F
 
 from ticketlake.operators import classify, decisions, reconcile
 from ticketlake.operators.ordering import latest_by
-from ticketlake.operators.receipt_text import parse_corpus
+from ticketlake.operators.receipt_text import FORMATS, by_document, parse_corpus, parse_parts
 from ticketlake.sources import documents
 
 Job = Callable[[DataFrame, int], None]
 
+#: What is parsed from a classified document.
+PARTS = ("receipts", "lines", "promotions", "payments")
+
 
 def workspace(spark: SparkSession, name: str) -> str:
     """A fresh folder for a run, under the shared folder the cluster names."""
@@ -77,22 +80,49 @@ def register_job(path: str) -> Job:
     return job
 
 
-def classify_and_parse_job(path: str, hints: DataFrame, default_formats: DataFrame, parts: tuple[str, ...] = ("receipts", "lines", "promotions", "payments")) -> Job:
-    """Classify successful extractions; parse the classified ones; the rest wait for a manual decision."""
+def classify_and_parse_job(path: str, hints: DataFrame, default_formats: DataFrame) -> Job:
+    """Classify successful extractions; parse the classified ones; the rest wait for a manual decision.
+
+    ``{path}/detections`` names evidence by ``evidence_id``; ``{path}/evidence`` holds it once per batch (see ``detections``).
+    What all parts are parsed from is kept in ``{path}/work`` until the batch is done.
+    """
 
     def job(batch: DataFrame, batch_id: int) -> None:
-        found = classify.classify_documents(batch, hints, default_formats)
+        found, evidence = classify.classify_by_evidence(batch, hints, default_formats)
         write_batch(found, f"{path}/detections", batch_id)
+        write_batch(evidence, f"{path}/evidence", batch_id)
         stored = batch.sparkSession.read.parquet(f"{path}/detections/batch_id={batch_id}").where("status = 'classified'")
-        ready = batch.join(stored.select("document_id", "parser_format", "store_id"), "document_id")
+        # Texts are shuffled once, by document; what is known of a document comes to them.
+        known = stored.select("document_id", "parser_format").hint("shuffle_hash")
+        ready = by_document(batch.select("document_id", "text")).join(known, "document_id").select("document_id", "parser_format", "text")
         # At most one name per known format reaches the driver.
         present = sorted(r[0] for r in stored.select("parser_format").distinct().collect())
-        for part in parts if present else ():
-            write_batch(parse_corpus(ready.select("document_id", "parser_format", "text"), part, present), f"{path}/{part}", batch_id)
+        work = f"{path}/work/batch_id={batch_id}"
+
+        def keep(rows: DataFrame, name: str) -> DataFrame:
+            by = ["parser_format"] if name == "whole" else []
+            rows.write.mode("overwrite").partitionBy(*by).parquet(f"{work}/{name}")
+            return rows.sparkSession.read.schema(rows.schema).parquet(f"{work}/{name}")
+
+        if present:
+            known_formats = [name for name in present if name in FORMATS] or list(FORMATS)
+            parse_parts(ready, PARTS, known_formats, keep, lambda rows, part: write_batch(rows, f"{path}/{part}", batch_id))
+            discard(batch.sparkSession, work)
 
     return job
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def detections(spark: SparkSession, path: str) -> DataFrame:
+    """Detections of all batches with their evidence, as ``classify_documents`` gives them."""
+    found, evidence = (spark.read.parquet(f"{path}/{name}") for name in ("detections", "evidence"))
+    return found.join(evidence, ["batch_id", "evidence_id"]).drop("batch_id", "evidence_id")
+
+
 def duplicates_job(path: str) -> Job:
     """Strict and suspected duplicates of arriving receipts, against history and the batch itself.
 
