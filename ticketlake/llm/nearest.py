@@ -33,8 +33,8 @@ CURVES, AXES, BITS = 4, 8, 7
 WINDOW = 64
 #: Vectors (curves counted) of a range partition, vectors of a block, queries of a block.
 PART, BLOCK, QUERIES_BLOCK = 50_000, 2048, 2048
-#: Row blocks that meet one copy of a query block.
-TOGETHER = 4
+#: Vector blocks that meet one copy of the queries, at most; query blocks that meet one copy of a vector block.
+TOGETHER, QUERIES_TOGETHER = 32, 8
 
 _FOUND = "query_id long, vec_id long, score double"
 
@@ -177,10 +177,14 @@ def completion(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 
     vector_blocks, count = _blocks(vectors, BLOCK)
     query_blocks, query_count = _blocks(queries, QUERIES_BLOCK, "bound")
-    salts = -(-count // TOGETHER) or 1
-    rows = vector_blocks.select("ids", "vectors", (F.col("block") % salts).alias("salt"), F.explode(F.sequence(F.lit(0), F.lit(max(query_count - 1, 0)))).alias("query_block"))
-    asked = query_blocks.select(F.col("ids").alias("query_ids"), F.col("vectors").alias("query_vectors"), F.col("extra").alias("bounds"), F.col("block").alias("query_block"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    return rows.join(asked.withColumn("query_block", F.col("query_block").cast("int")).withColumn("salt", F.col("salt").cast("bigint")), ["query_block", "salt"]).mapInPandas(search, _FOUND)
+    tasks = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    salts = max(-(-count // TOGETHER), min(count, tasks), 1)
+    groups = -(-query_count // QUERIES_TOGETHER) or 1
+    copies = lambda n, name: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
+    rows = vector_blocks.select("ids", "vectors", (F.col("block") % salts).cast("int").alias("salt"), copies(groups, "query_group"))
+    asked = query_blocks.select(F.col("ids").alias("query_ids"), F.col("vectors").alias("query_vectors"), F.col("extra").alias("bounds"), F.expr(f"cast(block div {QUERIES_TOGETHER} as int)").alias("query_group"), copies(salts, "salt"))
+    # Spark would judge these copies by the size of the table they are made of, and broadcast them through the driver.
+    return rows.join(asked.hint("merge"), ["query_group", "salt"]).mapInPandas(search, _FOUND)
 
 
 def nearest(embeddings: DataFrame, k: int = K, every: int = EVERY, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
