@@ -56,3 +56,11 @@ def test_the_stream_parses_every_part_and_stores_evidence_once(spark, tmp_path,
     paid = spark.read.parquet(f"{folder}/payments").select("document_id", "amount_cents").collect()
     assert (33, 200) in map(tuple, paid) and (tmp_path / "stored" / "promotions").exists()
     assert not list((tmp_path / "stored" / "work").glob("*"))
+
+
+def test_receipts_read_texts_once(spark):
+    texts = spark.createDataFrame([(1, "Le 03 mars 2024 à 10:11:12\nCaisse : 1 Ticket : 2\nNouveau scan valide"), (None, "x"), (2, None)], "document_id bigint, text string")
+    receipts = receipt_text.parse_format(texts, receipt_text.FORMATS["auchan.paper.v1"]).receipts
+    # Header, warnings, lines and payments start from one copy of the marked texts.
+    assert "RepartitionByExpression" not in receipts._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r.document_id or 0, r.parser_status) for r in receipts.collect()) == [(1, "needs_review"), (2, "needs_review")]

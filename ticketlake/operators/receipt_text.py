@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from ticketlake.functions import dates, money, text, warnings
 from ticketlake.functions import fixed_values as fixed
 from ticketlake.operators.reconcile import coalesce_repeated_in_place, validator_results
+from ticketlake.session import stored_copy
+
 
 def by_line():
     return Window.partitionBy("document_id").orderBy("line_no")
@@ -450,6 +452,9 @@ class ParsedReceipts:
     header values and no children.
     """
 
+    #: Whether ``_headed`` is read from a copy.
+    kept = False
+
     def __init__(self, documents: DataFrame, spec: FormatSpec):
         self.spec = spec
         self.placed = by_document(documents.select("document_id", "text"))
@@ -463,7 +468,7 @@ class ParsedReceipts:
         """Receipts of ``whole_documents``; what all parts start from is made once and kept."""
         parsed = cls.__new__(cls)
         parsed.spec, parsed.whole = spec, whole
-        parsed._headed = keep(parsed._headed, f"headed/{spec.name}")
+        parsed._headed, parsed.kept = keep(parsed._headed, f"headed/{spec.name}"), True
         return parsed
 
     @cached_property
@@ -526,6 +531,9 @@ class ParsedReceipts:
 
     @cached_property
     def receipts(self) -> DataFrame:
+        # Header, warnings, lines and payments all start from the marked texts, which take most of the time.
+        if not self.kept:
+            self._headed, self.kept = stored_copy(self._headed), True
         judged = self.judged
         found = F.transform("_vat", lambda n: n["warning"])
         none = F.array().cast(f"array<{warnings.WARNING_TYPE}>")
